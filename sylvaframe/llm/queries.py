@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylvaframe.llm.clusters import describe, kmeans, tight_groups, trunk_points
+from sylvaframe.llm.encoding import encode_corpus, token_counts
+from sylvaframe.llm.packing import container_table, pack
 from sylvaframe.llm.quantiles import medians_above, merge_sketches, percentiles, sketches
+from sylvaframe.llm.reading import reading_levels
 from sylvaframe.llm.splitting import found_strips, piece_table, split_oversized
 from sylvaframe.schema import load, valid_points
 
@@ -45,6 +48,34 @@ def p7_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percentiles(merge_sketches(by_file, ["instance_id"]), ["instance_id"], (0.5, 0.9, 0.99))
 
 
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_corpus(load(spark, sf_dir, "documents"))
+
+
+CAPACITY = 4096
+
+
+def p9_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(token_counts(load(spark, sf_dir, "documents")), CAPACITY)
+
+
+def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return container_table(p9_assignment(spark, sf_dir))
+
+
+def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading_levels(load(spark, sf_dir, "documents"), load(spark, sf_dir, "reading_labels"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _levels(spark, sf_dir).where((F.col("n_sentences") >= 3) & (F.col("n_words") > 20 * F.col("n_sentences")) & (F.col("n_letters") > 6 * F.col("n_words")))
+    return found.select("doc_id").distinct()
+
+
+def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _levels(spark, sf_dir).select("doc_id", "n_sentences", "n_words", "n_letters", "level", F.round("demand", 3).alias("demand"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
@@ -52,6 +83,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_clusters": p3_clusters,
     "p7_found": p7_found,
     "p7_percentiles": p7_percentiles,
+    "p8_ids": p8_ids,
+    "p9_assignment": p9_assignment,
+    "p9_containers": p9_containers,
+    "p10_found": p10_found,
+    "p10_levels": p10_levels,
 }
 
 VALID = "x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL AND isfinite(x) AND isfinite(y) AND isfinite(z) AND abs(z) <= 1000 AND point_id IS NOT NULL"

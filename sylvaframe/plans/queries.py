@@ -12,13 +12,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sylvaframe.functions import columns as C
+from sylvaframe.functions.colors import color_classes, color_instances
 from sylvaframe.operators import cluster as CL
 from sylvaframe.operators import fit as FIT
 from sylvaframe.operators import groups as G
 from sylvaframe.operators import metrics as M
+from sylvaframe.operators import morph as MO
 from sylvaframe.operators import nearest as N
 from sylvaframe.operators import raster as R
 from sylvaframe.schema import load, valid_points
+from sylvaframe.session import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -489,3 +492,48 @@ def _stem_inputs(spark: Spark, d: Dir) -> tuple[DataFrame, DataFrame]:
 def f6_f7_grow_regions(spark: Spark, d: Dir) -> DataFrame:
     p, s = _stem_inputs(spark, d)
     return CL.grow_regions(p, CL.stem_seeds(p, s), voxel=0.5, max_radius=1.5, max_iterations=12)
+
+
+# ---- rasters of the canopy, terrain classes, colours -------------------------------------------
+
+
+def _canopy(spark: Spark, d: Dir, cell: float = 1.0) -> DataFrame:
+    return R.height_map(pts(spark, d).where(C.is_tree_point()), cell)
+
+
+@query()
+def f8_crown_tops(spark: Spark, d: Dir) -> DataFrame:
+    return MO.find_crown_tops(_canopy(spark, d), 1.0, min_distance=3.0)
+
+
+@query()
+def f9_f10_watershed(spark: Spark, d: Dir) -> DataFrame:
+    chm = cut(_canopy(spark, d))
+    tops = MO.find_crown_tops(chm, 1.0, min_distance=3.0).withColumnRenamed("top_no", "tree_no")
+    return MO.segment_canopy(chm, tops)
+
+
+@query()
+def f12_signed_distances(spark: Spark, d: Dir) -> DataFrame:
+    return MO.signed_distances(f9_f10_watershed(spark, d))
+
+
+@query()
+def f14_terrain_classes(spark: Spark, d: Dir) -> DataFrame:
+    return MO.classify_terrain(pts(spark, d).select("cloud_id", "point_id", "x", "y", "z"), 1.0).select("point_id", "terrain")
+
+
+@query(f"{PTS}, {_RELABEL.format(src='v')} SELECT v.point_id, CASE WHEN d.r IS NULL THEN -1 ELSE d.r % 27 END AS color_no FROM v LEFT JOIN d ON v.cloud_id = d.cloud_id AND v.instance_id = d.instance_id")
+def m1_color_numbers(spark: Spark, d: Dir) -> DataFrame:
+    p = G.relabel(pts(spark, d))
+    return p.select("point_id", F.when(F.col("instance_id") < 0, -1).otherwise(F.col("instance_id") % 27).cast("bigint").alias("color_no"))
+
+
+@query()
+def m1_color_instances(spark: Spark, d: Dir) -> DataFrame:
+    return color_instances(pts(spark, d)).select("point_id", "rgba.*")
+
+
+@query(f"{PTS} SELECT point_id, CASE cls WHEN 1 THEN 139 WHEN 2 THEN 34 ELSE 220 END AS r FROM v")
+def m2_color_classes(spark: Spark, d: Dir) -> DataFrame:
+    return pts(spark, d).select("point_id", color_classes("cls", {1: "#8B4513", 2: "#228B22"})["r"].alias("r"))

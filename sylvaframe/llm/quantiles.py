@@ -260,19 +260,20 @@ def medians_above(rows: DataFrame, key: str, value: str, threshold: float, least
     The sketches' bounds decide nearly all keys. For the others an exact selection reads only
     the values between the bounds, counted by value, so even a hot key sends little.
     """
-    summary = sketches(rows, [key], value, k=k)
-    middle = cut(_middle_bounds(summary, key, k).where(F.col("n") >= least_rows))
+    require(rows, key, value)
+    rows = rows.select(F.col(key).alias("key"), F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    middle = cut(_middle_bounds(sketches(rows, ["key"], "v", k=k), "key", k).where(F.col("n") >= least_rows))
     low, high = (F.col("lo1") + F.col("lo2")) / 2, (F.col("hi1") + F.col("hi2")) / 2
     sure = F.when(F.col("err") == 0, low > threshold).when(low >= threshold, True).when(high <= threshold, False)
-    decided = middle.where(sure).select(key)
-    open_ = middle.where(sure.isNull()).select(F.col(key).alias("__key"), "n", "lo1", "hi2")
-    near = rows.where(F.col(value).isNotNull() & ~F.isnan(value)).join(open_, F.col(key) == F.col("__key")).where(F.col(value) <= F.col("hi2"))
-    near = near.select(key, "n", F.greatest(F.col(value), F.col("lo1")).alias("v")).groupBy(key, "n", "v").agg(F.count(F.lit(1)).alias("c"))
-    upto = F.sum("c").over(W.partitionBy(key).orderBy("v").rowsBetween(W.unboundedPreceding, 0))
+    decided = middle.where(sure).select("key")
+    open_ = middle.where(sure.isNull()).select(F.col("key").alias("open_key"), "n", "lo1", "hi2")
+    near = rows.join(open_, F.col("key").eqNullSafe(F.col("open_key"))).where(F.col("v") <= F.col("hi2"))
+    near = near.select("key", "n", F.greatest("v", "lo1").alias("v")).groupBy("key", "n", "v").agg(F.count(F.lit(1)).alias("c"))
+    upto = F.sum("c").over(W.partitionBy("key").orderBy("v").rowsBetween(W.unboundedPreceding, 0))
     near = near.withColumn("upto", upto)
     at = lambda r: F.min(F.when(F.col("upto") >= r, F.col("v")))
-    exact = near.groupBy(key).agg(((at(F.floor((F.col("n") + 1) / 2)) + at(F.floor(F.col("n") / 2) + 1)) / 2).alias("m"))
-    return decided.unionByName(exact.where(F.col("m") > threshold).select(key))
+    exact = near.groupBy("key").agg(((at(F.floor((F.col("n") + 1) / 2)) + at(F.floor(F.col("n") / 2) + 1)) / 2).alias("m"))
+    return decided.unionByName(exact.where(F.col("m") > threshold).select("key")).select(F.col("key").alias(key))
 
 
 def _middle_bounds(summary: DataFrame, key: str, k: int) -> DataFrame:

@@ -100,12 +100,14 @@ class Sketch:
         return self.n, self.err, np.concatenate(parts), [len(p) for p in parts], self.states
 
     def ranks(self) -> tuple[np.ndarray, np.ndarray]:
-        """Items ascending, and the estimated number of values up to each."""
+        """Distinct items ascending, and the estimated number of values up to and including each."""
         parts = [np.concatenate(level) if level else np.empty(0) for level in self.levels]
         items = np.concatenate(parts)
         weights = np.repeat(1 << np.arange(len(parts)), [len(p) for p in parts])
         order = np.argsort(items, kind="stable")
-        return items[order], np.cumsum(weights[order])
+        items, upto = items[order], np.cumsum(weights[order])
+        last = np.r_[items[1:] != items[:-1], True]
+        return items[last], upto[last]
 
     def bounds(self, rank: int) -> tuple[float, float, float]:
         """(lower, estimate, upper) of the value of a 1-based rank; lower < value unless equal to it."""

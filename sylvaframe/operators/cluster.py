@@ -50,10 +50,28 @@ def dbscan(points: DataFrame, eps: float, min_points: int, *, dims: tuple[str, .
     return ids.join(label.unionByName(border), "id", "left").select(F.col("id").alias("point_id"), F.col("component").alias("cluster"))
 
 
+def single_linkage(points: DataFrame, eps: float, *, group: str = "cloud_id") -> DataFrame:
+    """point_id, cluster: what is connected by steps of at most ``eps`` (3-D), named by its smallest id.
+
+    All points of a cell with diagonal eps belong together, so cells are the vertices and one
+    pair is enough to link two of them: edges follow the occupied volume, not the density.
+    """
+    cell = eps / 3**0.5 * 0.999999
+    p = cut(points.select(group, "point_id", "x", "y", "z").dropDuplicates(["point_id"]))
+    at = [F.floor(F.col(c) / cell).alias(f"c{c}") for c in "xyz"]
+    named = p.select(group, "point_id", *at)
+    cells = named.groupBy(group, "cx", "cy", "cz").agg(F.min("point_id").alias("rep"))
+    own = cut(named.join(cells, [group, "cx", "cy", "cz"]).select("point_id", "rep"))
+    pairs = pairs_within(p, eps, group=group, link_cell=cell)
+    ends = pairs.join(own.select(F.col("point_id").alias("point_id_a"), F.col("rep").alias("a")), "point_id_a").join(own.select(F.col("point_id").alias("point_id_b"), F.col("rep").alias("b")), "point_id_b")
+    label = connected_components(own.select(F.col("rep").alias("id")), ends.select("a", "b"))
+    return own.join(label.select(F.col("id").alias("rep"), "component"), "rep").select("point_id", F.col("component").alias("cluster"))
+
+
 def cluster_trunks(points: DataFrame, eps: float = 2.5, branches: bool = False) -> DataFrame:
     """Trunk (and branch) points by single linkage at ``eps``."""
     kinds = [1, 3] if branches else [1]
-    return dbscan(points.where(F.col("cls").isin(*kinds)), eps, 1)
+    return single_linkage(points.where(F.col("cls").isin(*kinds)), eps)
 
 
 def stem_seeds(points: DataFrame, stems: DataFrame, *, band: float = 0.3, factor: float = 1.05, least_diameter: float = 0.1, cell: float = 1.0) -> DataFrame:

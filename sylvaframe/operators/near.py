@@ -172,13 +172,16 @@ def pairs_within(
     sample_rows: int = 100_000,
     target: int = 20_000,
     seed: int = 17,
+    link_cell: float | None = None,
 ) -> DataFrame:
     """Pairs (<id>_a < <id>_b) of different points of one group at most ``radius`` apart.
 
     Rows with a null in the group, the id or a coordinate, or with NaN or infinite coordinates,
     have no partners. Rows repeating an id count once. ``sample_rows`` bounds what the driver
     sees of the table; ``target`` is the expected load of a leaf. The first two of ``dims``
-    shape the tree, all of them make the distance. One shuffle, of the points and the copies
+    shape the tree, all of them make the distance. With ``link_cell`` a leaf reports a single
+    pair for each two cells of that width that any pair links, and none within a cell: enough
+    to know what is connected, without all the pairs of dense places. One shuffle, of the points and the copies
     along leaf edges.
     """
     require(points, group, id_col, *dims)
@@ -225,11 +228,22 @@ def pairs_within(
             order = here[str_order(p[here, 0], p[here, 1])]
             q, k = p[order], i[order]
             owner = root(np.array([own]))
+            if link_cell is not None:
+                _, cell_no = np.unique(np.floor(q / link_cell), axis=0, return_inverse=True)
+                cell_no = cell_no.ravel().astype(np.int64)
+                linked = np.empty(0, np.int64)
             for a, b in near_pairs(q, radius):
                 ref = np.minimum(q[a], q[b])
                 mine = t.leaf(ref[:, 0], ref[:, 1], np.broadcast_to(owner, len(a))) == leaf
-                found_a.append(np.minimum(k[a], k[b])[mine])
-                found_b.append(np.maximum(k[a], k[b])[mine])
+                a, b = a[mine], b[mine]
+                if link_cell is not None:
+                    lo, hi = np.minimum(cell_no[a], cell_no[b]), np.maximum(cell_no[a], cell_no[b])
+                    key, at = np.unique(lo * len(q) + hi, return_index=True)
+                    new = (lo[at] != hi[at]) & ~np.isin(key, linked)
+                    linked = np.union1d(linked, key[new])
+                    a, b = a[at[new]], b[at[new]]
+                found_a.append(np.minimum(k[a], k[b]))
+                found_b.append(np.maximum(k[a], k[b]))
         cat = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
         return pa.table({"a": pa.array(cat(found_a), pa.int64()), "b": pa.array(cat(found_b), pa.int64())})
 

@@ -20,6 +20,9 @@ from sylvaframe.operators import metrics as M
 from sylvaframe.operators import morph as MO
 from sylvaframe.operators import nearest as N
 from sylvaframe.operators import raster as R
+from sylvaframe.operators import stems as ST
+from sylvaframe.plans.evaluation import evaluate
+from sylvaframe.plans.pipelines import CanopyParameters, CanopyPipeline
 from sylvaframe.schema import load, valid_points
 from sylvaframe.session import cut
 
@@ -537,3 +540,32 @@ def m1_color_instances(spark: Spark, d: Dir) -> DataFrame:
 @query(f"{PTS} SELECT point_id, CASE cls WHEN 1 THEN 139 WHEN 2 THEN 34 ELSE 220 END AS r FROM v")
 def m2_color_classes(spark: Spark, d: Dir) -> DataFrame:
     return pts(spark, d).select("point_id", color_classes("cls", {1: "#8B4513", 2: "#228B22"})["r"].alias("r"))
+
+
+@query(f"{PTS}, {_LAYERS}, s AS (SELECT cloud_id, instance_id AS stem_id, point_id, z FROM v WHERE cls = 1 AND instance_id >= 0), g AS (SELECT stem_id, min(z) AS terrain FROM s GROUP BY stem_id), b(layer, lo, hi) AS (SELECT i, 1.0 + i * 1.5, 1.0 + i * 1.5 + 2.0 FROM range(0, 4) AS r(i)), r AS (SELECT s.cloud_id, s.stem_id, CAST(b.layer AS INTEGER) AS layer, s.point_id FROM s JOIN g ON s.stem_id = g.stem_id JOIN b ON z - terrain BETWEEN lo AND hi), f AS (SELECT stem_id, layer FROM r GROUP BY stem_id, layer HAVING count(*) >= 3) SELECT r.* FROM r JOIN f ON r.stem_id = f.stem_id AND r.layer = f.layer")
+def c15_b13_points_in_layers(spark: Spark, d: Dir) -> DataFrame:
+    s = pts(spark, d).where("cls = 1 AND instance_id >= 0").select("cloud_id", F.col("instance_id").alias("stem_id"), "point_id", "z")
+    ground = s.groupBy("stem_id").agg(F.min("z").alias("terrain"))
+    rows = ST.points_in_layers(s, ground, n_layers=4, start=1.0, height=2.0, overlap=0.5, least=3)
+    return rows.select("cloud_id", "stem_id", "layer", "point_id")
+
+
+@query(f"{PTS}, {_LAYERS}, s AS (SELECT *, CASE WHEN a + b <= 0.3 THEN 0.06 ELSE 0.15 END AS w FROM l WHERE a > 0 AND b > 0), j AS (SELECT s.cloud_id, s.stem_id, s.layer, v.point_id, (v.x - ex) * cos(theta) + (v.y - ey) * sin(theta) AS p, (v.y - ey) * cos(theta) - (v.x - ex) * sin(theta) AS q, a, b, w FROM s JOIN v ON s.cloud_id = v.cloud_id AND v.x BETWEEN ex - a - w AND ex + a + w AND v.y BETWEEN ey - a - w AND ey + a + w) SELECT cloud_id, stem_id, layer, point_id FROM j WHERE p * p / ((a + w) * (a + w)) + q * q / ((b + w) * (b + w)) <= 1 AND NOT (b > w AND p * p / ((a - w) * (a - w)) + q * q / ((b - w) * (b - w)) <= 1)")
+def c6_points_near_ellipses(spark: Spark, d: Dir) -> DataFrame:
+    return ST.points_near_ellipses(pts(spark, d), layers(spark, d))
+
+
+@query(f"{PTS}, s AS (SELECT * FROM v WHERE cls = 1 AND instance_id >= 0), u AS (SELECT * FROM v WHERE cls = 3), k AS (SELECT u.point_id, s.instance_id, row_number() OVER (PARTITION BY u.point_id ORDER BY (u.x - s.x) * (u.x - s.x) + (u.y - s.y) * (u.y - s.y) + (u.z - s.z) * (u.z - s.z), s.point_id) AS r FROM u JOIN s ON u.cloud_id = s.cloud_id WHERE (u.x - s.x) * (u.x - s.x) + (u.y - s.y) * (u.y - s.y) + (u.z - s.z) * (u.z - s.z) <= 4.0) SELECT point_id, instance_id FROM k WHERE r = 1")
+def c8_nearest_seed(spark: Spark, d: Dir) -> DataFrame:
+    p = pts(spark, d).select("cloud_id", "point_id", "x", "y", "z", "cls", "instance_id")
+    return ST.nearest_seed(p.where("cls = 3").drop("instance_id"), p.where("cls = 1 AND instance_id >= 0"), 2.0)
+
+
+@query()
+def e6_evaluation(spark: Spark, d: Dir) -> DataFrame:
+    return evaluate(pts(spark, d)).metrics
+
+
+@query()
+def f15_f16_canopy_pipeline(spark: Spark, d: Dir) -> DataFrame:
+    return CanopyPipeline(CanopyParameters(cell=1.0)).transform(pts(spark, d))

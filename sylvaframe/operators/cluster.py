@@ -74,7 +74,7 @@ def cluster_trunks(points: DataFrame, eps: float = 2.5, branches: bool = False)
     return single_linkage(points.where(F.col("cls").isin(*kinds)), eps)
 
 
-def stem_seeds(points: DataFrame, stems: DataFrame, *, band: float = 0.3, factor: float = 1.05, least_diameter: float = 0.1, cell: float = 1.0) -> DataFrame:
+def stem_seeds(points: DataFrame, stems: DataFrame, *, band: float = 0.6, factor: float = 1.05, least_diameter: float = 0.05, cell: float = 1.0) -> DataFrame:
     """point_id, instance_id: seeds of the stems; points: cloud_id, point_id, x, y, h, stem_id (or null).
 
     All points of a stem's own cluster, and unclustered points in a cylinder around the stem at
@@ -101,9 +101,9 @@ def grow_regions(
     max_radius: float = 0.5,
     max_iterations: int = 500,
     decrease_after: int = 10,
-    least_total: float = 0.005,
-    least_trees: float = 0.5,
-    terrain_distance: float = 2.0,
+    least_total: float = 0.002,
+    least_trees: float = 0.3,
+    terrain_distance: float = 0.8,
     group: str = "cloud_id",
 ) -> DataFrame:
     """point_id, instance_id of all points that the seeds reach; breadth-first in widening steps.

@@ -32,8 +32,9 @@ class StemParameters:
     csf_iterations: int = 500
     terrain_resolution: float = 0.25
     terrain_neighbours: int = 400
+    terrain_voxel: float = 0.05
     min_z: float = 1.0
-    max_z: float = 2.5
+    max_z: float = 4.0
     voxel: float = 0.015
     eps_2d: float = 0.025
     eps_3d: float = 0.1
@@ -41,19 +42,26 @@ class StemParameters:
     min_points_3d: int = 15
     min_cluster_points: int = 300
     min_extent: float = 1.5
-    min_intensity: float | None = None
+    min_intensity: float | None = 6000.0
     max_inclination: float | None = None
     n_layers: int = 15
     layer_start: float = 1.0
     layer_height: float = 0.225
     layer_overlap: float = 0.025
     layer_points: int = 15
+    ellipses: bool = False
     combination: int = 6
     max_std_diameter: float = 0.04
     max_std_position: float | None = None
     grow_voxel: float = 0.05
     grow_max_radius: float = 0.5
     grow_max_iterations: int = 500
+    grow_least_total: float = 0.002
+    grow_least_trees: float = 0.3
+    grow_terrain_distance: float = 0.8
+    seed_height: float = 0.6
+    seed_factor: float = 1.05
+    seed_min_diameter: float = 0.05
 
     def with_values(self, **values) -> StemParameters:
         return replace(self, **values)
@@ -70,7 +78,7 @@ class StemPipeline(SegmentationPipeline):
         """points with ``terrain`` (0 ground) and ``h`` above it; the grid's nodes stem from ground points."""
         p = self.p
         classed = cut(morph.classify_terrain(points, p.csf_resolution, p.csf_threshold, 2, p.csf_iterations))
-        ground = groups.voxel_downsample(classed.where("terrain = 0").select("cloud_id", "point_id", "x", "y", "z"), p.terrain_resolution)
+        ground = groups.voxel_downsample(classed.where("terrain = 0").select("cloud_id", "point_id", "x", "y", "z"), p.terrain_voxel)
         box = points.groupBy("cloud_id").agg(*[f(c).alias(f"{k}_{c}") for c in "xy" for k, f in (("lo", F.min), ("hi", F.max))])
         line = lambda c: F.explode(F.sequence(F.floor(F.col(f"lo_{c}") / p.terrain_resolution), F.floor(F.col(f"hi_{c}") / p.terrain_resolution) + 1))
         nodes = box.withColumn("ix", line("x")).withColumn("iy", line("y")).select("cloud_id", "ix", "iy", *[(F.col(f"i{c}") * p.terrain_resolution).alias(c) for c in "xy"], F.xxhash64("cloud_id", "ix", "iy").alias("query_id"))
@@ -95,7 +103,7 @@ class StemPipeline(SegmentationPipeline):
         flat = clustered(thin, p.eps_2d, p.min_points_2d, ("x", "y"), "cloud_id")
         flat = flat.withColumn("flat_id", F.col("instance_id").cast("string"))
         solid = clustered(flat, p.eps_3d, p.min_points_3d, ("x", "y", "z"), "flat_id").drop("flat_id")
-        if p.min_intensity is not None:
+        if p.min_intensity is not None and "intensity" in solid.columns:
             q = solid.groupBy("instance_id").agg(F.percentile("intensity", 0.8).alias("q")).where(F.col("q") > p.min_intensity).select("instance_id")
             solid = solid.join(q, "instance_id", "left_semi")
         if p.max_inclination is not None:
@@ -104,7 +112,7 @@ class StemPipeline(SegmentationPipeline):
         solid = cut(solid.withColumnRenamed("instance_id", "stem_id"))
         level = solid.groupBy("stem_id").agg(F.avg(F.col("z") - F.col("h")).alias("terrain"))
         rows = points_in_layers(solid, level, n_layers=p.n_layers, start=p.layer_start, height=p.layer_height, overlap=p.layer_overlap, least=p.layer_points)
-        shapes = fit.fit_layers(rows.join(solid.select("point_id", "x", "y"), "point_id"), min_points=p.layer_points)
+        shapes = fit.fit_layers(rows.join(solid.select("point_id", "x", "y"), "point_id"), min_points=p.layer_points, ellipses=p.ellipses)
         shapes = shapes.select("cloud_id", "stem_id", "layer", "mid_height", "circle.*", F.col("ellipse.cx").alias("ex"), F.col("ellipse.cy").alias("ey"), F.col("ellipse.a").alias("a"), F.col("ellipse.b").alias("b"))
         stable = cut(fit.stable_layers(shapes, p.combination, p.max_std_diameter, p.max_std_position))
         found = cut(fit.stem_positions(stable))
@@ -121,7 +129,8 @@ class StemPipeline(SegmentationPipeline):
         with self.tracker.measure("crowns"):
             labelled = high.join(own, "point_id", "left").withColumn("is_tree", F.col("h") >= p.csf_threshold)
             thin = cut(groups.voxel_downsample(labelled.select("cloud_id", "point_id", "x", "y", "z", "h", "stem_id", "is_tree"), p.grow_voxel))
-            grown = cluster.grow_regions(thin, cluster.stem_seeds(thin, stems), voxel=p.grow_voxel, max_radius=p.grow_max_radius, max_iterations=p.grow_max_iterations)
+            seeds = cluster.stem_seeds(thin, stems, band=p.seed_height, factor=p.seed_factor, least_diameter=p.seed_min_diameter)
+            grown = cluster.grow_regions(thin, seeds, voxel=p.grow_voxel, max_radius=p.grow_max_radius, max_iterations=p.grow_max_iterations, least_total=p.grow_least_total, least_trees=p.grow_least_trees, terrain_distance=p.grow_terrain_distance)
             reduced = thin.join(grown, "point_id", "left").select("cloud_id", "vx", "vy", "vz", F.coalesce("instance_id", F.lit(-1)).alias("instance_id"))
             out = groups.upsample(points.select("cloud_id", "point_id", "x", "y", "z"), reduced, p.grow_voxel, "instance_id")
             return groups.relabel(out).select("cloud_id", "point_id", "instance_id")

@@ -22,7 +22,7 @@ from sylvaframe.operators import nearest as N
 from sylvaframe.operators import raster as R
 from sylvaframe.operators import stems as ST
 from sylvaframe.plans.evaluation import evaluate
-from sylvaframe.plans.pipelines import CanopyParameters, CanopyPipeline
+from sylvaframe.plans.pipelines import PRESETS, CanopyParameters, CanopyPipeline, StemPipeline
 from sylvaframe.schema import load, valid_points
 from sylvaframe.session import cut
 
@@ -569,3 +569,10 @@ def e6_evaluation(spark: Spark, d: Dir) -> DataFrame:
 @query()
 def f15_f16_canopy_pipeline(spark: Spark, d: Dir) -> DataFrame:
     return CanopyPipeline(CanopyParameters(cell=1.0)).transform(pts(spark, d))
+
+
+@query()
+def f4_f17_stem_pipeline(spark: Spark, d: Dir) -> DataFrame:
+    """The default preset as it is."""
+    p = pts(spark, d).select("cloud_id", "point_id", "x", "y", "z", F.when(F.abs("intensity") < float("inf"), F.col("intensity")).alias("intensity"))
+    return StemPipeline(PRESETS["default"]).transform(p)

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from sylvaframe.plans.evaluation import evaluate
-from sylvaframe.plans.pipelines import CanopyPipeline, StemParameters, StemPipeline
+from sylvaframe.plans.pipelines import PRESETS, CanopyPipeline, StemParameters, StemPipeline
 from sylvaframe.plans.tracker import Tracker
 from sylvaframe.sources.pointfiles import read_csv_points, register, write_clouds, write_las, write_table
 
@@ -40,6 +40,16 @@ def test_stems_are_found_where_they_are(spark, trees):
     assert np.allclose(got, [(2.05, 2.05, 0.3), (5.65, 5.65, 0.5)], atol=0.011)
 
 
+def test_unmodified_preset_finds_a_stem(spark):
+    t, h = np.meshgrid(np.arange(16) * np.pi / 8, np.arange(0.5, 5, 0.09))
+    rows = [("c", i, 3 + 0.05 * float(np.cos(a)), 3 + 0.05 * float(np.sin(a)), 10 + float(z), float(z), 9000.0) for i, (a, z) in enumerate(zip(t.ravel(), h.ravel(), strict=True))]
+    points = spark.createDataFrame(rows, "cloud_id string, point_id bigint, x double, y double, z double, h double, intensity double")
+    stems, own = StemPipeline(PRESETS["default"]).stems(points.repartition(4))
+    got = stems.collect()
+    assert len(got) == 1 and np.allclose([got[0].x, got[0].y, got[0].diameter], [3, 3, 0.1], atol=0.001)
+    assert max(rows[r.point_id][5] for r in own.collect()) > 3.5
+
+
 def test_canopy_pipeline_and_evaluation(spark, trees):
     from pyspark.sql import functions as F
 

@@ -112,13 +112,13 @@ def grow_regions(
     free point takes the label of its nearest seed within the radius (ties: smallest point_id).
     Newly labelled points are the next seeds; when too little grows, the radius widens by a
     voxel and all labelled points are seeds again. Beyond ``terrain_distance`` of summed radii
-    only tree points join.
+    only tree points join. RuntimeError when ``max_iterations`` steps don't end the growth.
     """
     pts = cut(points.select(group, "point_id", "x", "y", (F.col("z") / z_scale).alias("z"), "is_tree"))
     labels = cut(seeds.select("point_id", "instance_id").groupBy("point_id").agg(F.min("instance_id").alias("instance_id")))
     n_trees = labels.select("instance_id").distinct().count()
     front, radius, still, total = labels, voxel, 0, 0.0
-    for _ in range(max_iterations):
+    for step in range(max_iterations + 1):
         if radius > max_radius or front.isEmpty():
             break
         free = pts.join(labels, "point_id", "left_anti")
@@ -128,6 +128,8 @@ def grow_regions(
         n_free = free.count()
         if not n_free:
             break
+        if step == max_iterations:
+            raise RuntimeError(f"growth did not end within {max_iterations} steps")
         near = nearest(free.withColumnRenamed("point_id", "query_id"), pts.join(front, "point_id", "left_semi"), 1, cell=radius, dims=("x", "y", "z"), group=group, radius=radius)
         new = cut(near.select("query_id", "point_id").join(front, "point_id").select(F.col("query_id").alias("point_id"), "instance_id"))
         got = new.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("instance_id").alias("t")).first()

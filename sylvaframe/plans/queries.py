@@ -494,7 +494,7 @@ def _stem_inputs(spark: Spark, d: Dir) -> tuple[DataFrame, DataFrame]:
 @query()
 def f6_f7_grow_regions(spark: Spark, d: Dir) -> DataFrame:
     p, s = _stem_inputs(spark, d)
-    return CL.grow_regions(p, CL.stem_seeds(p, s), voxel=0.5, max_radius=1.5, max_iterations=12)
+    return CL.grow_regions(p, CL.stem_seeds(p, s), voxel=0.5, max_radius=1.5)
 
 
 # ---- rasters of the canopy, terrain classes, colours -------------------------------------------

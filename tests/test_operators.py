@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from sylvaframe.functions import columns as C
 from sylvaframe.operators import fit, metrics, morph
-from sylvaframe.operators.cluster import connected_components, dbscan
+from sylvaframe.operators.cluster import connected_components, dbscan, grow_regions
 from sylvaframe.operators.groups import filter_extent, filter_intensity, filter_min_points, fit_line, principal_axes, voxel_downsample
 from sylvaframe.operators.hotkeys import hot_keys, keyed_statistics
 from sylvaframe.operators.near import containing_region, pairs_within
@@ -159,6 +159,15 @@ def test_signed_distance():
     assert (d[2, 2], d[1, 1], d[0, 2], d[0, 0]) == (-2.0, -1.0, 1.0, pytest.approx(2**0.5))
 
 
+def test_growth_runs_until_it_ends(spark):
+    """A chain of 16 steps: no label is missing at the end, and a limit below that is an error."""
+    p = cloud(spark, np.c_[np.arange(17) * 0.9, np.zeros((17, 2))]).withColumn("is_tree", F.lit(True))
+    seeds = spark.createDataFrame([(0, 7)], "point_id bigint, instance_id bigint")
+    assert {r.point_id for r in grow_regions(p, seeds, voxel=1.0, max_radius=1.0).collect()} == set(range(17))
+    with pytest.raises(RuntimeError):
+        grow_regions(p, seeds, voxel=1.0, max_radius=1.0, max_iterations=4)
+
+
 def test_watershed_parts_a_ridge():
     h = np.array([[3.0, 2, 1, 2, 3]] * 3)
     m = np.zeros(h.shape, int)

@@ -410,7 +410,8 @@ def e7_inventory(spark: Spark, d: Dir) -> DataFrame:
 @query(f'WITH {_MATCHES}, r AS (SELECT split_part(cloud_id, \'_\', 1) AS dataset, cloud_id, CASE WHEN prediction_id >= 0 THEN 1 ELSE 0 END AS tp, CASE WHEN prediction_id >= 0 THEN 0 ELSE 1 END AS fn, CASE WHEN prediction_id >= 0 THEN CAST(tp AS DOUBLE) / (tp + fp + fn) END AS iou FROM m), g AS (SELECT dataset, cloud_id, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fn) AS BIGINT) AS fn, avg(iou) AS mi FROM r GROUP BY ROLLUP (dataset, cloud_id)) SELECT dataset, cloud_id, tp AS "TP", CAST(0 AS BIGINT) AS "FP", fn AS "FN", round(2.0 * tp / (2 * tp + fn), 6) AS "F1Score", round(mi, 6) AS "MeanIoU", round(CAST(2 * tp AS DOUBLE) / (2 * tp + fn) * mi, 6) AS "PanopticQuality" FROM g')
 def e8_totals(spark: Spark, d: Dir) -> DataFrame:
     m = stored_matches(spark, d)
-    out = M.pooled_totals(m, m.where("false"), F.split_part("cloud_id", F.lit("_"), F.lit(1)))
+    extra = M.matched_predictions(pts(spark, d), m).where("target_id = -1")
+    out = M.pooled_totals(m, extra, F.split_part("cloud_id", F.lit("_"), F.lit(1)))
     return out.select("dataset", "cloud_id", "TP", "FP", "FN", *[r6(F.col(c), c) for c in ("F1Score", "MeanIoU", "PanopticQuality")])
 
 

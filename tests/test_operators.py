@@ -168,6 +168,17 @@ def test_growth_runs_until_it_ends(spark):
         grow_regions(p, seeds, voxel=1.0, max_radius=1.0, max_iterations=4)
 
 
+def test_totals_count_unmatched_predictions(spark):
+    from oracle import DATA, connect
+    from sylvaframe.plans.queries import VALID, e8_totals
+
+    sql = f"SELECT count(*) FROM (SELECT DISTINCT cloud_id, prediction FROM point_cloud WHERE {VALID} AND prediction >= 0) AS p ANTI JOIN instance_matches AS m ON p.cloud_id = m.cloud_id AND p.prediction = m.prediction_id"
+    want = connect("sf0.001").execute(sql).fetchone()[0]
+    r = e8_totals(spark, str(DATA / "sf0.001")).where("dataset IS NULL").first()
+    assert want > 0 and r.FP == want
+    assert abs(r.F1Score - 2 * r.TP / (2 * r.TP + r.FP + r.FN)) < 1e-6 and abs(r.PanopticQuality - r.F1Score * r.MeanIoU) < 2e-6
+
+
 def test_watershed_parts_a_ridge():
     h = np.array([[3.0, 2, 1, 2, 3]] * 3)
     m = np.zeros(h.shape, int)

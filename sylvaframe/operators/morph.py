@@ -111,17 +111,23 @@ def watershed(value: np.ndarray, markers: np.ndarray, mask: np.ndarray) -> tuple
 
 
 def correct_watershed(label: np.ndarray, filled: np.ndarray, markers: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Regions of one cell or enclosed by a single neighbour share its ground anew, on flat terrain."""
+    """Regions of one cell or enclosed by a single neighbour share their neighbours' ground anew, on flat terrain.
+
+    Cells at the edge to trees outside that ground keep what they had in ``label``, lines included.
+    """
     label, filled = label.copy(), filled.copy()
     for k in np.unique(filled[filled > 0]):
         region = filled == k
         ring = set(np.unique(filled[dilate(region, np.ones((3, 3), bool)) & ~region]).tolist())
-        if 0 in ring or len(ring) != 1:
+        if region.sum() != 1 and (0 in ring or len(ring) != 1):
             continue
-        area = region | (filled == next(iter(ring)))
+        ring -= {0}
+        area = region | np.isin(filled, list(ring))
         sub = np.where(area & np.isin(markers, [k, *ring]), markers, 0)
         new_label, new_filled = watershed(np.zeros(label.shape), sub, area & mask)
-        label, filled = np.where(area, new_label, label), np.where(area, new_filled, filled)
+        filled = np.where(area, new_filled, filled)
+        outer = area & (dilate(np.where(area, 0, filled), disk(1)) > 0)
+        label = np.where(area & ~outer, new_label, label)
     return label, filled
 
 

@@ -179,6 +179,20 @@ def test_totals_count_unmatched_predictions(spark):
     assert abs(r.F1Score - 2 * r.TP / (2 * r.TP + r.FP + r.FN)) < 1e-6 and abs(r.PanopticQuality - r.F1Score * r.MeanIoU) < 2e-6
 
 
+def test_single_cells_share_the_ground_of_all_neighbours():
+    """Tree 3 has one cell between trees 1 and 2 at the canopy's edge; tree 4 stays apart by its line."""
+    filled = np.array([[1, 1, 1, 3, 2, 2, 2, 4, 4, 0]] + [[1, 1, 1, 1, 2, 2, 2, 4, 4, 0]] * 3)
+    label = np.where(np.isin(np.arange(10), [6]), 0, filled)
+    markers = np.zeros(filled.shape, int)
+    for k, at in {1: (2, 0), 2: (2, 5), 3: (0, 3), 4: (2, 8)}.items():
+        markers[at] = k
+    mask = filled > 0
+    new_label, new_filled = morph.correct_watershed(label, filled, markers, mask)
+    assert (new_filled == 3).sum() > 1 and set(np.unique(new_filled[mask])) == {1, 2, 3, 4}
+    assert (new_filled[:, 7:9] == 4).all() and (new_label[:, 7:9] == 4).all()
+    assert (new_label[:, 6] == 0).all()
+
+
 def test_watershed_parts_a_ridge():
     h = np.array([[3.0, 2, 1, 2, 3]] * 3)
     m = np.zeros(h.shape, int)

@@ -206,14 +206,15 @@ _KNN = "t AS (SELECT * FROM v WHERE cls = 1), j AS (SELECT a.cloud_id, a.point_i
 
 @query(f"{PTS}, {_KNN} SELECT p AS query_id, round(sum(sqrt(d2)), 6) AS total FROM k WHERE r <= 4 GROUP BY p")
 def c4_c9_self_knn(spark: Spark, d: Dir) -> DataFrame:
-    p = pts(spark, d).where("cls = 1").select("cloud_id", "point_id", "x", "y", "z")
-    near = N.nearest(p.withColumnRenamed("point_id", "query_id"), p, 4, cell=2.0, dims=("x", "y", "z"), exclude_self=True)
+    """All points and k = 27, the point itself included."""
+    p = pts(spark, d).select("cloud_id", "point_id", "x", "y", "z")
+    near = N.nearest(p.withColumnRenamed("point_id", "query_id"), p, 26, cell=2.0, dims=("x", "y", "z"), exclude_self=True)
     return near.groupBy("query_id").agg(r6(F.sum(F.sqrt("d2")), "total"))
 
 
 @query(f"{PTS}, {_KNN}, m AS (SELECT p, any_value(cloud_id) AS cloud_id, avg(sqrt(d2)) AS md FROM k WHERE r <= 4 GROUP BY p), l AS (SELECT cloud_id, avg(md) + 1.5 * stddev_pop(md) AS lim FROM m GROUP BY cloud_id), n AS (SELECT cloud_id, count(*) AS n FROM t GROUP BY cloud_id) SELECT t.cloud_id, count(*) AS n_kept FROM t JOIN n ON t.cloud_id = n.cloud_id LEFT JOIN m ON t.point_id = m.p LEFT JOIN l ON t.cloud_id = l.cloud_id WHERE m.md IS NULL OR n.n <= 2 OR m.md <= l.lim GROUP BY t.cloud_id")
 def d9_remove_outliers(spark: Spark, d: Dir) -> DataFrame:
-    p = pts(spark, d).where("cls = 1").select("cloud_id", "point_id", "x", "y", "z")
+    p = pts(spark, d).select("cloud_id", "point_id", "x", "y", "z")
     return N.remove_outliers(p, 4, 1.5, cell=2.0).groupBy("cloud_id").agg(F.count(F.lit(1)).alias("n_kept"))
 
 
@@ -559,7 +560,8 @@ def c6_points_near_ellipses(spark: Spark, d: Dir) -> DataFrame:
 @query(f"{PTS}, s AS (SELECT * FROM v WHERE cls = 1 AND instance_id >= 0), u AS (SELECT * FROM v WHERE cls = 3), k AS (SELECT u.point_id, s.instance_id, row_number() OVER (PARTITION BY u.point_id ORDER BY (u.x - s.x) * (u.x - s.x) + (u.y - s.y) * (u.y - s.y) + (u.z - s.z) * (u.z - s.z), s.point_id) AS r FROM u JOIN s ON u.cloud_id = s.cloud_id WHERE (u.x - s.x) * (u.x - s.x) + (u.y - s.y) * (u.y - s.y) + (u.z - s.z) * (u.z - s.z) <= 4.0) SELECT point_id, instance_id FROM k WHERE r = 1")
 def c8_nearest_seed(spark: Spark, d: Dir) -> DataFrame:
     p = pts(spark, d).select("cloud_id", "point_id", "x", "y", "z", "cls", "instance_id")
-    return ST.nearest_seed(p.where("cls = 3").drop("instance_id"), p.where("cls = 1 AND instance_id >= 0"), 2.0)
+    is_seed = F.coalesce(F.expr("cls = 1 AND instance_id >= 0"), F.lit(False))
+    return ST.nearest_seed(p.where(~is_seed).drop("instance_id"), p.where(is_seed), 2.0)
 
 
 @query()

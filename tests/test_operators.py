@@ -193,6 +193,26 @@ def test_single_cells_share_the_ground_of_all_neighbours():
     assert (new_label[:, 6] == 0).all()
 
 
+def test_neighbour_queries_take_all_points(spark, tmp_path):
+    from sylvaframe.plans import queries as Q
+
+    rng = np.random.default_rng(4)
+    n, p = 150, np.r_[rng.uniform(0, 6, (145, 3)), rng.uniform(20, 30, (5, 3))]
+    cls, own = [None if i % 10 == 9 else i % 5 for i in range(n)], [i % 3 - 1 for i in range(n)]
+    more = {c: [None] * n for c in Q.COLS if c not in ("cloud_id", "cls", "instance_id")}
+    cloud(spark, p, cls=cls, instance_id=own, **more).write.parquet(str(tmp_path / "point_cloud.parquet"))
+    d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(2))
+    near = np.sort(d, 1)[:, 1:]
+    got = {r.query_id: r.total for r in Q.c4_c9_self_knn(spark, str(tmp_path)).collect()}
+    assert sorted(got) == list(range(n)) and np.allclose([got[i] for i in range(n)], near[:, :26].sum(1), atol=1e-5)
+    mean = near[:, :4].mean(1)
+    assert Q.d9_remove_outliers(spark, str(tmp_path)).first().n_kept == (mean <= mean.mean() + 1.5 * mean.std()).sum() < n
+    seeds = [i for i in range(n) if cls[i] == 1 and own[i] >= 0]
+    first = {i: seeds[int(np.argmin(d[i, seeds]))] for i in range(n) if i not in seeds}
+    want = {i: own[s] for i, s in first.items() if d[i, s] <= 2}
+    assert {r.point_id: r.instance_id for r in Q.c8_nearest_seed(spark, str(tmp_path)).collect()} == want
+
+
 def test_watershed_parts_a_ridge():
     h = np.array([[3.0, 2, 1, 2, 3]] * 3)
     m = np.zeros(h.shape, int)

@@ -113,7 +113,7 @@ WITH raw AS (SELECT record_id, cloud_id, file_no, payload, unnest(json_keys(payl
 v AS (SELECT *, json_extract(payload, '$."' || path || '"') AS j FROM raw),
 s AS (SELECT *, lower(regexp_replace(path, '[^A-Za-z0-9]', '', 'g')) AS spelling FROM v),
 n AS (SELECT s.*, coalesce(a.field_name, s.spelling) AS field_name FROM s LEFT JOIN (SELECT DISTINCT alias_key, field_name FROM field_alias) AS a ON a.alias_key = s.spelling),
-k AS (SELECT cloud_id, file_no, field_name, string_agg(DISTINCT spelling, ',' ORDER BY spelling) AS sp,
+k AS (SELECT cloud_id, file_no, field_name, string_agg(DISTINCT path, chr(1) ORDER BY path) AS sp,
              CASE WHEN bool_or(json_type(j) = 'VARCHAR') THEN 'text' WHEN bool_or(json_type(j) = 'DOUBLE') THEN 'float' WHEN bool_or(json_type(j) IN ('UBIGINT', 'BIGINT')) THEN 'integer' END AS kind
       FROM n GROUP BY cloud_id, file_no, field_name),
 f AS (SELECT cloud_id, file_no, lag(file_no) OVER (PARTITION BY cloud_id ORDER BY file_no) AS prev FROM (SELECT DISTINCT cloud_id, file_no FROM file_records) AS d),

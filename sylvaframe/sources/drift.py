@@ -1,6 +1,6 @@
 """Files whose fields drift: path-value maps, statistics by file, a change report, one table.
 
-Every record becomes rows (path, raw type, raw text); the statistics of a file are one
+Every record becomes rows (path, raw type, raw text), nested values too where asked for; the statistics of a file are one
 aggregation over them, so neither needs the fields to be known. Changes compare a file's
 statistics with those of the cloud's previous file. The consistent table projects the known
 fields to fixed types and names every value that could not be cast.
@@ -34,25 +34,40 @@ def reduced(name: Column) -> Column:
     return F.regexp_replace(F.lower(name), r"[^\p{L}\p{Nd}]", "")
 
 
-def path_values(records: DataFrame, payload: str = "payload") -> DataFrame:
-    """One row per key of each payload: ``path``, ``raw_type`` and ``raw_value``.
+def path_values(records: DataFrame, payload: str = "payload", depth: int = 1) -> DataFrame:
+    """One row per path of each payload: ``path``, ``raw_type`` and ``raw_value``.
 
     raw_type: text, float (a number with a decimal point), integer, boolean, null or nested.
     A payload that is null, broken or no object gives a single row with a null path and
-    raw_type 'broken'. Only the columns of ``records`` other than the payload are kept.
+    raw_type 'broken'. Only the columns of ``records`` other than the payload are kept. With a
+    ``depth`` above 1 what lies inside of nested values has rows of its own, down to that many
+    levels: ``a.b`` for a key of an object, ``a[]`` for the items of an array.
     """
     require(records, payload)
+    if depth < 1:
+        raise ValueError("depth must be at least 1")
     clash = {"path", "raw_type", "raw_value"}
     keep = [c for c in records.columns if c != payload and c not in clash]
     v = F.try_parse_json(F.col(payload))
     rows = records.select(*keep, F.col(payload).alias("__payload"), v.alias("__doc"))
-    rows = rows.lateralJoin(rows.sparkSession.tvf.variant_explode_outer(F.col("__doc").outer()), how="left")
+    tvf = rows.sparkSession.tvf
+    rows = rows.lateralJoin(tvf.variant_explode_outer(F.col("__doc").outer()), how="left").withColumn("__path", F.col("key"))
+    level = rows
+    for _ in range(depth - 1):
+        inner = level.where(F.schema_of_variant(F.col("value")).rlike("^(OBJECT|ARRAY)")).select(*keep, "__payload", F.col("value").alias("__doc"), F.col("__path").alias("__up"))
+        path = F.when(F.col("key").isNull(), F.concat("__up", F.lit("[]"))).otherwise(F.concat_ws(".", "__up", "key"))
+        level = inner.lateralJoin(tvf.variant_explode(F.col("__doc").outer())).withColumn("__path", path).drop("__up")
+        rows = rows.unionByName(level)
+    return _typed_paths(rows, keep)
+
+
+def _typed_paths(rows: DataFrame, keep: list[str]) -> DataFrame:
     kind = F.schema_of_variant(F.col("value"))
     # a number that is no BIGINT: only the text says whether it has a decimal point
     quoted = F.replace(F.replace(F.to_json(F.struct(F.col("key").alias("k"))), F.lit('{"k":'), F.lit("")), F.lit("}"), F.lit(""))
     pointed = F.rlike(F.col("__payload"), F.concat(F.lit(r"\Q"), quoted, F.lit(r"\E\s*:\s*-?[0-9]+\.")))
     raw_type = (
-        F.when(F.col("key").isNull(), "broken")
+        F.when(F.col("__path").isNull(), "broken")
         .when(F.col("value").isNull() | F.is_variant_null(F.col("value")) | (kind == "VOID"), "null")
         .when(kind == "STRING", "text")
         .when(kind == "BIGINT", "integer")
@@ -62,7 +77,7 @@ def path_values(records: DataFrame, payload: str = "payload") -> DataFrame:
         .otherwise("nested")
     )
     text = F.when(raw_type.isin("null", "broken"), F.lit(None)).otherwise(F.try_variant_get(F.col("value"), "$", "string"))
-    return rows.select(*keep, F.col("key").alias("path"), raw_type.alias("raw_type"), text.alias("raw_value"))
+    return rows.select(*keep, F.col("__path").alias("path"), raw_type.alias("raw_type"), text.alias("raw_value"))
 
 
 def name_fields(paths: DataFrame, alias: DataFrame) -> DataFrame:
@@ -79,10 +94,14 @@ def name_fields(paths: DataFrame, alias: DataFrame) -> DataFrame:
 
 
 def file_statistics(paths: DataFrame, file: tuple[str, ...] = ("cloud_id", "file_no")) -> DataFrame:
-    """Per file and field: how it is spelled, its type and how often each raw type occurs."""
+    """Per file and field: how its records spell it, its type and how often each raw type occurs.
+
+    ``spellings`` are the keys as they stand in the records; reduced names only decide which
+    field a key means.
+    """
     count = lambda k: F.count_if(F.col("raw_type") == k)
     stats = paths.where(F.col("path").isNotNull()).groupBy(*file, "field_name").agg(
-        F.array_sort(F.collect_set("spelling")).alias("spellings"),
+        F.array_sort(F.collect_set("path")).alias("spellings"),
         F.count(F.lit(1)).alias("n_values"),
         *[count(k).alias(f"n_{k}") for k in ("text", "float", "integer", "boolean", "nested", "null")],
     )
@@ -99,8 +118,8 @@ def file_statistics(paths: DataFrame, file: tuple[str, ...] = ("cloud_id", "file
 def changes(paths: DataFrame) -> DataFrame:
     """Each change of a file against the cloud's previous existing file.
 
-    change_kind: added, removed, renamed (no common set of spellings) or retyped. A file all
-    of whose records are broken still exists. Rows are distinct.
+    change_kind: added, removed, renamed (the keys of the two files differ in any character) or
+    retyped. A file all of whose records are broken still exists. Rows are distinct.
     """
     files = paths.where(F.col("cloud_id").isNotNull() & F.col("file_no").isNotNull()).select("cloud_id", "file_no").distinct()
     order = W.partitionBy("cloud_id").orderBy("file_no")

@@ -80,11 +80,24 @@ def test_changes(spark):
     )
     got = {tuple(r) for r in changes(name_fields(path_values(df), alias)).collect()}
     assert got == {
-        ("a", 3, "x", "renamed"), ("a", 3, "x", "retyped"), ("a", 4, "k", "removed"), ("a", 4, "x", "retyped"), ("a", 4, "classification", "retyped"),
+        ("a", 3, "x", "renamed"), ("a", 3, "x", "retyped"), ("a", 4, "k", "removed"), ("a", 3, "classification", "renamed"), ("a", 4, "x", "retyped"), ("a", 4, "classification", "renamed"), ("a", 4, "classification", "retyped"),
         ("a", 9, "x", "removed"), ("a", 9, "classification", "removed"),
     }
 
 
+def test_raw_keys_decide_renames(spark):
+    df, alias = drift(spark, [("a", 1, {"SemClassID": 1, "z": 1}), ("a", 2, {"sem_class_id": 1, "z": 1}), ("a", 3, {"sem_class_id": 2, "z": 2})])
+    got = {tuple(r) for r in changes(name_fields(path_values(df), alias)).collect()}
+    assert got == {("a", 2, "semclassid", "renamed")}
+
+
+def test_nested_paths(spark):
+    df, _ = drift(spark, [("a", 1, {"p": {"q": 1, "r": {"s": "t"}}, "l": [1.5, {"m": None}]})])
+    got = {(r.path, r.raw_type) for r in path_values(df, depth=3).collect()}
+    assert got == {("p", "nested"), ("l", "nested"), ("p.q", "integer"), ("p.r", "nested"), ("p.r.s", "text"), ("l[]", "float"), ("l[]", "nested"), ("l[].m", "null")}
+    assert {r.path for r in path_values(df).collect()} == {"p", "l"}
+
+
 def test_raw_types(spark):
     df, _ = drift(spark, [("a", 1, '{"a": 5.0, "b": 5, "c": "5", "d": null, "e": true, "f": [1], "g": 12345678901234567890, "h": 1.0e5, "i": -0.5, "j": 98765432109876543210987.25}'), ("a", 1, None), ("a", 1, "[1]")])
     got = {r.path: r.raw_type for r in path_values(df).collect()}

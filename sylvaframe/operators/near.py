@@ -8,7 +8,8 @@ A pair that several leaves could report is reported by the one that holds its re
 
 The sample only shapes the tree; every row is indexed and no candidate is capped. Leaves that
 the whole table would overfill are split further without a sample, evenly, so that their
-expected load stays near ``target``.
+expected load stays near ``target``; the tree holds one number for such a leaf, so what the
+driver makes and broadcasts has the sample's size, whatever the table's.
 """
 
 from __future__ import annotations
@@ -28,13 +29,19 @@ DEEPEST = 26
 
 @dataclass
 class QuadTree:
-    """Leaves of all groups as ranges of (root, Morton code), ascending; bounded by the sample."""
+    """Leaves of all groups as ranges of (root, Morton code), ascending; bounded by the sample.
+
+    A range that the whole table would overfill is split evenly: ``bits`` holds how many low
+    bits of the code one leaf of the range covers, so the tree has the sample's size whatever
+    the number of leaves. A leaf is named by its first code.
+    """
 
     x0: float
     y0: float
     size: float  # edge of a root square
     depth: int  # levels of the Morton code below a root
-    starts: np.ndarray  # uint64, root << 2*depth | code of the leaf's first cell
+    starts: np.ndarray  # uint64, root << 2*depth | code of the range's first cell
+    bits: np.ndarray  # uint64, per range
 
     @property
     def cell(self) -> float:
@@ -47,8 +54,52 @@ class QuadTree:
         iy = np.clip(np.floor((y - self.y0) / self.cell), 0, top).astype(np.uint64)
         return (root.astype(np.uint64) << np.uint64(2 * self.depth)) | _spread(ix) | (_spread(iy) << np.uint64(1))
 
+    def _leaf_of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first code, bits) of the leaf that holds each code."""
+        low = self.bits[np.searchsorted(self.starts, codes, side="right") - 1]
+        return (codes >> low) << low, low
+
     def leaf(self, x: np.ndarray, y: np.ndarray, root: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.starts, self.codes(x, y, root), side="right").astype(np.int64) - 1
+        return self._leaf_of(self.codes(x, y, root))[0].astype(np.int64)
+
+    def squares(self, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(x_lo, x_hi, y_lo, y_hi) of leaves; those at the edge of the root reach to infinity."""
+        first, low = self._leaf_of(leaf.astype(np.uint64))
+        within = first & np.uint64((1 << (2 * self.depth)) - 1)
+        width = 1 << (low.astype(np.int64) // 2)
+        out = []
+        for start, shift in ((self.x0, 0), (self.y0, 1)):
+            i = _compact(within >> np.uint64(shift)).astype(np.int64)
+            lo, hi = start + i * self.cell, start + (i + width) * self.cell
+            out += [np.where(i == 0, -np.inf, lo), np.where(i + width >= 1 << self.depth, np.inf, hi)]
+        return out[0], out[1], out[2], out[3]
+
+    def touched(self, x_lo: np.ndarray, x_hi: np.ndarray, y_lo: np.ndarray, y_hi: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, leaf) of every leaf that each box meets, by descending from the root."""
+        top = (1 << self.depth) - 1
+        index = lambda v, start: np.clip(np.floor((v - start) / self.cell), 0, top).astype(np.int64)
+        box = np.stack([index(x_lo, self.x0), index(x_hi, self.x0), index(y_lo, self.y0), index(y_hi, self.y0)], 1)
+        row, at, level = np.arange(len(x_lo)), root.astype(np.uint64) << np.uint64(2 * self.depth), self.depth
+        rows, leaves = [], []
+        inner = np.uint64((1 << (2 * self.depth)) - 1)
+        while len(row):
+            first, low = self._leaf_of(at)
+            whole = low.astype(np.int64) >= 2 * level
+            rows.append(row[whole])
+            leaves.append(first[whole].astype(np.int64))
+            row, at = row[~whole], at[~whole]
+            if not len(row):
+                break
+            level -= 1
+            at = (at[:, None] | (np.arange(4, dtype=np.uint64) << np.uint64(2 * level))[None]).ravel()
+            row = row.repeat(4)
+            i, j = _compact(at & inner).astype(np.int64), _compact((at & inner) >> np.uint64(1)).astype(np.int64)
+            last = (1 << level) - 1
+            b = box[row]
+            ok = (i <= b[:, 1]) & (i + last >= b[:, 0]) & (j <= b[:, 3]) & (j + last >= b[:, 2])
+            row, at = row[ok], at[ok]
+        cat = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
+        return cat(rows), cat(leaves)
 
 
 def _spread(v: np.ndarray) -> np.ndarray:
@@ -58,23 +109,38 @@ def _spread(v: np.ndarray) -> np.ndarray:
     return v
 
 
+def _compact(v: np.ndarray) -> np.ndarray:
+    """The bits at the even places of v, put together."""
+    v = v & np.uint64(0x5555555555555555)
+    for shift, mask in ((1, 0x3333333333333333), (2, 0x0F0F0F0F0F0F0F0F), (4, 0x00FF00FF00FF00FF), (8, 0x0000FFFF0000FFFF), (16, 0x00000000FFFFFFFF)):
+        v = (v | (v >> np.uint64(shift))) & np.uint64(mask)
+    return v
+
+
 N_ROOTS = 64
 
 
+def root_of(g: np.ndarray) -> np.ndarray:
+    """Root square of each hashed group."""
+    return (g.astype(np.uint64) >> np.uint64(7)) % np.uint64(N_ROOTS)
+
+
 def build_quadtree(x: np.ndarray, y: np.ndarray, root: np.ndarray, n_rows: int, *, target: int, least_edge: float) -> QuadTree:
     """A tree from a sample of ``n_rows`` rows whose leaves expect ``target`` rows or fewer.
 
     Groups are hashed to N_ROOTS roots. No leaf gets smaller than ``least_edge``.
     """
     if len(x) == 0:
-        return QuadTree(0.0, 0.0, 1.0, 0, np.arange(N_ROOTS, dtype=np.uint64))
+        return QuadTree(0.0, 0.0, 1.0, 0, np.arange(N_ROOTS, dtype=np.uint64), np.zeros(N_ROOTS, np.uint64))
     x0, y0 = float(x.min()), float(y.min())
     size = max(float(x.max()) - x0, float(y.max()) - y0, least_edge) * 1.0000001
     depth = int(min(DEEPEST, max(0, np.floor(np.log2(size / least_edge)))))
-    tree = QuadTree(x0, y0, size, depth, np.empty(0, np.uint64))
+    none = np.empty(0, np.uint64)
+    tree = QuadTree(x0, y0, size, depth, none, none)
     codes = np.sort(tree.codes(x, y, root))
     each = n_rows / len(codes)  # rows that a sampled one stands for
     starts: list[int] = []
+    bits: list[int] = []
     todo = [(r << (2 * depth), depth) for r in range(N_ROOTS - 1, -1, -1)]
     while todo:
         start, level = todo.pop()
@@ -83,18 +149,30 @@ def build_quadtree(x: np.ndarray, y: np.ndarray, root: np.ndarray, n_rows: int,
         rows = (hi - lo) * each
         if level == 0 or rows <= target:
             starts.append(start)
+            bits.append(2 * level)
         elif hi - lo <= 4:
             # the sample says no more here: split evenly for the rows it stands for
             more = min(level, int(np.ceil(np.log2(rows / target) / 2)))
-            step = 1 << (2 * (level - more))
-            starts.extend(range(start, start + width, step))
+            starts.append(start)
+            bits.append(2 * (level - more))
         else:
             quarter = width // 4
             todo.extend((start + q * quarter, level - 1) for q in (3, 2, 1, 0))
-    tree.starts = np.array(starts, np.uint64)
+    tree.starts, tree.bits = np.array(starts, np.uint64), np.array(bits, np.uint64)
     return tree
 
 
+def sampled_tree(rows: DataFrame, *, target: int, least_edge: float, sample_rows: int = 100_000, seed: int = 17) -> tuple[QuadTree, int]:
+    """(tree, number of rows) for rows (g, id, c0, c1, ..); the driver sees ``sample_rows`` of them."""
+    n_rows = rows.count()
+    part = min(1.0, sample_rows / max(1, n_rows))
+    # the sample is a choice by hash: the same rows whichever executor reads them
+    chosen = rows if part >= 1 else rows.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) < int(part * (1 << 20)))
+    sample = chosen.select("g", "c0", "c1").limit(2 * sample_rows).toPandas()
+    x, y = sample["c0"].to_numpy(np.float64), sample["c1"].to_numpy(np.float64)
+    return build_quadtree(x, y, root_of(sample["g"].to_numpy(np.int64)), n_rows, target=target, least_edge=least_edge), n_rows
+
+
 # ---- R-tree ------------------------------------------------------------------------------------
 
 FAN = 16
@@ -162,6 +240,25 @@ def near_pairs(p: np.ndarray, radius: float, block: int = 4096) -> Iterator[tupl
 # ---- the join ----------------------------------------------------------------------------------
 
 
+class _Repeats:
+    """Drops rows that repeat an id of the same split, as far as a bounded memory of such ids reaches.
+
+    Copies of one row then never pile up in a leaf; what is left of them counts once there.
+    """
+
+    most = 1_000_000
+
+    def __init__(self) -> None:
+        self.seen = np.empty(0, np.int64)
+
+    def first_of(self, ids: np.ndarray) -> np.ndarray:
+        own, first, n = np.unique(ids, return_index=True, return_counts=True)
+        keep = first[~np.isin(own, self.seen)]
+        if (n > 1).any() and len(self.seen) < self.most:
+            self.seen = np.union1d(self.seen, own[n > 1])
+        return np.sort(keep)
+
+
 def pairs_within(
     points: DataFrame,
     radius: float,
@@ -191,21 +288,19 @@ def pairs_within(
     for c in dims:
         finite = finite & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) != float("inf"))
     rows = points.where(finite).select(F.xxhash64(group).alias("g"), F.col(id_col).alias("id"), *[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(dims)])
-    n_rows = rows.count()
-    part = min(1.0, sample_rows / max(1, n_rows))
-    # the sample is a choice by hash: the same rows whichever executor reads them
-    chosen = rows if part >= 1 else rows.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 20)) < int(part * (1 << 20)))
-    sample = chosen.select("g", "c0", "c1").limit(2 * sample_rows).toPandas()
-    root = lambda g: (g.astype(np.uint64) >> np.uint64(7)) % np.uint64(N_ROOTS)
-    tree = build_quadtree(sample["c0"].to_numpy(np.float64), sample["c1"].to_numpy(np.float64), root(sample["g"].to_numpy(np.int64)), n_rows, target=target, least_edge=max(2.0 * radius, 1e-9))
+    tree, _ = sampled_tree(rows, target=target, least_edge=max(2.0 * radius, 1e-9), sample_rows=sample_rows, seed=seed)
+    root = root_of
     shared = points.sparkSession.sparkContext.broadcast(tree)
     reach = radius * 1.000001
     coords = [f"c{i}" for i in range(len(dims))]
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shared.value
+        often = _Repeats()
         for b in batches:
             g, i, *c = [b.column(k).to_numpy(zero_copy_only=False) for k in range(2 + len(coords))]
+            keep = often.first_of(i)
+            g, i, c = g[keep], i[keep], [v[keep] for v in c]
             r = root(g)
             # a point's square meets at most the leaves of its four corners: leaves are at least that wide
             found = [t.leaf(c[0] + dx, c[1] + dy, r) for dx in (-reach, reach) for dy in (-reach, reach)]
@@ -259,18 +354,126 @@ def neighbour_counts(points: DataFrame, radius: float, *, group: str = "cloud_id
     return ends.groupBy(id_col).agg(F.count(F.lit(1)).alias("n_near"))
 
 
-def containing_region(points: DataFrame, regions: DataFrame, *, cell: float, group: str = "cloud_id") -> DataFrame:
-    """Points with the ``region_id`` of each box (x_min, x_max, y_min, y_max) they lie in.
+def in_ring(x: np.ndarray, y: np.ndarray, ring: np.ndarray) -> np.ndarray:
+    """Inside of the closed polygon with vertices (n, 2), by crossings of a ray; its edges count to it."""
+    inside, edge = np.zeros(len(x), bool), np.zeros(len(x), bool)
+    for (ax, ay), (bx, by) in zip(ring, np.roll(ring, -1, 0), strict=True):
+        side = (bx - ax) * (y - ay) - (by - ay) * (x - ax)
+        edge |= (side == 0) & (x >= min(ax, bx)) & (x <= max(ax, bx)) & (y >= min(ay, by)) & (y <= max(ay, by))
+        crossed = (ay > y) != (by > y)
+        inside ^= crossed & ((side > 0) == (by > ay))
+    return inside | edge
+
 
-    Edges belong to the box. Boxes are cut into the ``cell`` squares they touch and met by an
-    equi-join; a box with a null or inverted edge contains nothing, points without a region
-    don't appear.
+def boxes_at(x: np.ndarray, y: np.ndarray, boxes: np.ndarray, block: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(point, box) for each box (x_lo, x_hi, y_lo, y_hi) that holds a point: descent of an R-tree of the boxes."""
+    if not len(x) or not len(boxes):
+        return
+    order = str_order(boxes[:, 0] + boxes[:, 1], boxes[:, 2] + boxes[:, 3])
+    own = boxes[order]
+    levels = [own]
+    while len(levels[-1]) > 1:
+        b, first = levels[-1], np.arange(0, len(levels[-1]), FAN)
+        levels.append(np.stack([f.reduceat(b[:, c], first) for c, f in enumerate((np.minimum, np.maximum, np.minimum, np.maximum))], 1))
+    todo = [(len(levels) - 1, np.arange(len(x)), np.zeros(len(x), np.int64))]
+    while todo:
+        level, p, node = todo.pop()
+        if len(p) > block:
+            todo.append((level, p[block:], node[block:]))
+            p, node = p[:block], node[:block]
+        b = levels[level][node]
+        hit = (x[p] >= b[:, 0]) & (x[p] <= b[:, 1]) & (y[p] >= b[:, 2]) & (y[p] <= b[:, 3])
+        p, node = p[hit], node[hit]
+        if not len(p):
+            continue
+        if level == 0:
+            yield p, order[node]
+            continue
+        child = (node[:, None] * FAN + np.arange(FAN)).ravel()
+        p = p.repeat(FAN)
+        ok = child < len(levels[level - 1])
+        todo.append((level - 1, p[ok], child[ok]))
+
+
+def containing_region(points: DataFrame, regions: DataFrame, *, group: str = "cloud_id", id_col: str = "point_id", sample_rows: int = 100_000, target: int = 20_000) -> DataFrame:
+    """id_col, region_id: the regions of its group that each point lies in; edges belong to a region.
+
+    regions: group, region_id and either a box (x_min, x_max, y_min, y_max) or the vertices of a
+    polygon (``ring``: array<struct<x, y>>), whose bounding box is then taken. A quadtree shaped by a
+    sample of the points parts both sides: a point goes to its leaf, a region to every leaf that
+    it meets. In a leaf an R-tree of the regions is probed and the exact test follows. A point
+    and a region meet in the point's leaf only, so no pair comes twice. Rows with a null group,
+    id or coordinate, boxes with a null or inverted edge and rings of fewer than three vertices
+    contain nothing; points without a region don't appear; repeated rows count once.
     """
-    require(points, group, "x", "y")
-    require(regions, group, "region_id", "x_min", "x_max", "y_min", "y_max")
-    at = lambda c: F.floor(F.col(c) / F.lit(cell))
-    boxes = regions.where((F.col("x_min") <= F.col("x_max")) & (F.col("y_min") <= F.col("y_max"))).select(group, "region_id", "x_min", "x_max", "y_min", "y_max")
-    boxes = boxes.withColumn("__ix", F.explode(F.sequence(at("x_min"), at("x_max")))).withColumn("__iy", F.explode(F.sequence(at("y_min"), at("y_max"))))
-    keyed = points.drop("region_id", "x_min", "x_max", "y_min", "y_max").withColumns({"__ix": at("x"), "__iy": at("y")})
-    hit = keyed.join(boxes, [group, "__ix", "__iy"]).where(F.col("x").between(F.col("x_min"), F.col("x_max")) & F.col("y").between(F.col("y_min"), F.col("y_max")))
-    return hit.drop("__ix", "__iy", "x_min", "x_max", "y_min", "y_max")
+    require(points, group, id_col, "x", "y")
+    require(regions, group, "region_id")
+    has_ring = "ring" in regions.columns
+    if has_ring:
+        corner = lambda f, c: f(F.transform("ring", lambda v: v[c]))
+        edges = [corner(f, c).cast("double").alias(f"e{i}") for i, (f, c) in enumerate(((F.array_min, "x"), (F.array_max, "x"), (F.array_min, "y"), (F.array_max, "y")))]
+        flat = lambda c: F.transform("ring", lambda v: v[c].cast("double"))
+        shape = [F.when(F.size("ring") >= 3, flat(c)).alias(f"r{c}") for c in "xy"]
+    else:
+        require(regions, "x_min", "x_max", "y_min", "y_max")
+        edges = [F.col(c).cast("double").alias(f"e{i}") for i, c in enumerate(("x_min", "x_max", "y_min", "y_max"))]
+        shape = [F.array(F.lit(0.0)).alias(f"r{c}") for c in "xy"]
+    ok = F.col("region_id").isNotNull() & (F.col("e0") <= F.col("e1")) & (F.col("e2") <= F.col("e3")) & F.col("rx").isNotNull()
+    areas = regions.where(F.col(group).isNotNull()).select(F.xxhash64(group).alias("g"), F.col("region_id").cast("bigint").alias("region_id"), *edges, *shape).where(ok)
+    valid = F.col(id_col).isNotNull() & F.col(group).isNotNull()
+    for c in "xy":
+        valid = valid & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) != float("inf"))
+    rows = points.where(valid).select(F.xxhash64(group).alias("g"), F.col(id_col).cast("bigint").alias("id"), *[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate("xy")])
+    tree, _ = sampled_tree(rows, target=target, least_edge=1e-6, sample_rows=sample_rows)
+    shared = points.sparkSession.sparkContext.broadcast(tree)
+    schema = "leaf bigint, g bigint, id bigint, is_point boolean, e array<double>, rx array<double>, ry array<double>"
+    kind = pa.list_(pa.float64())
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t, often = shared.value, _Repeats()
+        for b in batches:
+            keep = often.first_of(b.column("id").to_numpy())
+            b = b.take(pa.array(keep))
+            g, i, x, y = [b.column(k).to_numpy() for k in range(4)]
+            e = pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * len(i) + 1, 2), pa.int32()), pa.array(np.stack([x, y], 1).ravel()))
+            none = pa.nulls(len(i), kind)
+            yield pa.RecordBatch.from_arrays([pa.array(t.leaf(x, y, root_of(g))), b.column(0), b.column(1), pa.array(np.ones(len(i), bool)), e, none, none], names=["leaf", "g", "id", "is_point", "e", "rx", "ry"])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = shared.value
+        for b in batches:
+            g = b.column("g").to_numpy()
+            e = np.stack([b.column(f"e{i}").to_numpy() for i in range(4)], 1)
+            row, leaf = t.touched(*e.T, root_of(g))
+            b = b.take(pa.array(row))
+            box = pa.ListArray.from_arrays(pa.array(np.arange(0, 4 * len(row) + 1, 4), pa.int32()), pa.array(e[row].ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(leaf), b.column("g"), b.column("region_id"), pa.array(np.zeros(len(row), bool)), box, b.column("rx").cast(kind), b.column("ry").cast(kind)], names=["leaf", "g", "id", "is_point", "e", "rx", "ry"])
+
+    def probe(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        g, ids, is_point = table["g"].to_numpy(), table["id"].to_numpy(), table["is_point"].to_numpy()
+        found: list[list[np.ndarray]] = [[], []]
+        for own in np.unique(g):
+            p, r = np.flatnonzero((g == own) & is_point), np.flatnonzero((g == own) & ~is_point)
+            p = p[np.unique(ids[p], return_index=True)[1]]
+            if not len(p) or not len(r):
+                continue
+            at = table["e"].take(pa.array(p)).combine_chunks().flatten().to_numpy().reshape(-1, 2)
+            box = table["e"].take(pa.array(r)).combine_chunks().flatten().to_numpy().reshape(-1, 4)
+            for i, k in boxes_at(at[:, 0], at[:, 1], box):
+                if has_ring:
+                    keep = np.zeros(len(i), bool)
+                    for region in np.unique(k):
+                        ring = np.stack([np.array(table[c][int(r[region])].values) for c in ("rx", "ry")], 1)
+                        here = np.flatnonzero(k == region)
+                        keep[here] = in_ring(at[i[here], 0], at[i[here], 1], ring)
+                    i, k = i[keep], k[keep]
+                found[0].append(ids[p[i]])
+                found[1].append(ids[r[k]])
+        pairs = np.stack([np.concatenate(x) for x in found], 1) if found[0] else np.empty((0, 2), np.int64)
+        pairs = np.unique(pairs, axis=0)  # a region's row can be repeated
+        return pa.table({"id": pa.array(pairs[:, 0]), "region_id": pa.array(pairs[:, 1])})
+
+    both = rows.mapInArrow(place, schema).unionByName(areas.mapInArrow(spread, schema))
+    out = both.groupBy("leaf").applyInArrow(probe, "id bigint, region_id bigint")
+    return out.select(F.col("id").alias(id_col), "region_id")

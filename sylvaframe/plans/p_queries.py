@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylvaframe.operators.hotkeys import hot_keys, keyed_statistics
-from sylvaframe.operators.near import neighbour_counts, pairs_within
+from sylvaframe.operators.near import containing_region, neighbour_counts, pairs_within
 from sylvaframe.schema import load, valid_points
 from sylvaframe.sources.drift import changes, consistent_table, name_fields, path_values
 from sylvaframe.sources.records import read_points, rejected
@@ -61,6 +61,14 @@ def p6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbour_counts(points, NEAR)
 
 
+def p6_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many points the square of 4 m around each tree contains."""
+    points = valid_points(load(spark, sf_dir, "point_cloud"), "cloud_id", distinct=False)
+    t = load(spark, sf_dir, "tree_positions").where("x IS NOT NULL AND y IS NOT NULL").select("cloud_id", F.col("tree_id").alias("region_id"), "x", "y").distinct()
+    boxes = t.select("cloud_id", "region_id", *[(F.col(c) + d).alias(f"{c}_{k}") for c in "xy" for k, d in (("min", -2.0), ("max", 2.0))])
+    return containing_region(points, boxes).groupBy("region_id").agg(F.count(F.lit(1)).alias("n_points"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_points": p2_points,
@@ -70,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_stats": p5_stats,
     "p6_found": p6_found,
     "p6_counts": p6_counts,
+    "p6_regions": p6_regions,
 }
 
 VALID = "x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL AND isfinite(x) AND isfinite(y) AND isfinite(z) AND abs(z) <= 1000"
@@ -108,6 +117,11 @@ p AS (SELECT c.point_id AS point_id_a, e.point_id AS point_id_b FROM c JOIN e ON
 ORACLE["p6_found"] = _NEAR_SQL + "SELECT point_id_a, point_id_b FROM p"
 ORACLE["p6_counts"] = _NEAR_SQL + "SELECT point_id, count(*) AS n_near FROM (SELECT point_id_a AS point_id FROM p UNION ALL SELECT point_id_b FROM p) AS q GROUP BY point_id"
 
+ORACLE["p6_regions"] = f"""
+WITH v AS (SELECT DISTINCT cloud_id, point_id, x, y FROM point_cloud WHERE {VALID} AND point_id IS NOT NULL),
+t AS (SELECT DISTINCT cloud_id, tree_id, x, y FROM tree_positions WHERE x IS NOT NULL AND y IS NOT NULL)
+SELECT t.tree_id AS region_id, count(*) AS n_points FROM t JOIN v ON t.cloud_id = v.cloud_id AND v.x BETWEEN t.x - 2.0 AND t.x + 2.0 AND v.y BETWEEN t.y - 2.0 AND t.y + 2.0 GROUP BY t.tree_id"""
+
 _KIND_SQL = """
 WITH raw AS (SELECT record_id, cloud_id, file_no, payload, unnest(json_keys(payload)) AS path FROM file_records),
 v AS (SELECT *, json_extract(payload, '$."' || path || '"') AS j FROM raw),

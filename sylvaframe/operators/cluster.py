@@ -130,7 +130,7 @@ def grow_regions(
             break
         if step == max_iterations:
             raise RuntimeError(f"growth did not end within {max_iterations} steps")
-        near = nearest(free.withColumnRenamed("point_id", "query_id"), pts.join(front, "point_id", "left_semi"), 1, cell=radius, dims=("x", "y", "z"), group=group, radius=radius)
+        near = nearest(free.withColumnRenamed("point_id", "query_id"), pts.join(front, "point_id", "left_semi"), 1, dims=("x", "y", "z"), group=group, radius=radius)
         new = cut(near.select("query_id", "point_id").join(front, "point_id").select(F.col("query_id").alias("point_id"), "instance_id"))
         got = new.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("instance_id").alias("t")).first()
         labels = cut(labels.unionByName(new))

@@ -82,7 +82,7 @@ class StemPipeline(SegmentationPipeline):
         box = points.groupBy("cloud_id").agg(*[f(c).alias(f"{k}_{c}") for c in "xy" for k, f in (("lo", F.min), ("hi", F.max))])
         line = lambda c: F.explode(F.sequence(F.floor(F.col(f"lo_{c}") / p.terrain_resolution), F.floor(F.col(f"hi_{c}") / p.terrain_resolution) + 1))
         nodes = box.withColumn("ix", line("x")).withColumn("iy", line("y")).select("cloud_id", "ix", "iy", *[(F.col(f"i{c}") * p.terrain_resolution).alias(c) for c in "xy"], F.xxhash64("cloud_id", "ix", "iy").alias("query_id"))
-        level = nearest.interpolate_terrain(nodes, ground, p.terrain_neighbours, 1.0, cell=4 * p.terrain_resolution)
+        level = nearest.interpolate_terrain(nodes, ground, p.terrain_neighbours, 1.0)
         dtm = cut(nodes.join(level, "query_id").select("cloud_id", "ix", "iy", "h"))
         return cut(raster.height_above_terrain(classed, dtm, p.terrain_resolution).withColumnRenamed("height", "h"))
 
@@ -166,7 +166,7 @@ class CanopyPipeline(SegmentationPipeline):
         big = own.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= p.min_trunk_points).select("cluster")
         own = cut(own.join(big, "cluster", "left_semi"))
         trunks = trees.join(own, "point_id").groupBy("cloud_id", F.col("cluster").alias("id")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
-        at = cut(nearest.tree_positions(cut(trunks), cut(tops), p.match_distance, cell=8.0))
+        at = cut(nearest.tree_positions(cut(trunks), cut(tops), p.match_distance))
         number = F.row_number().over(_order()) - 1
         at = at.join(corner, "cloud_id").select("cloud_id", "id", "kind", number.alias("tree_no"), F.floor((F.col("x") - F.col("x0")) / p.cell).alias("ix"), F.floor((F.col("y") - F.col("y0")) / p.cell).alias("iy"))
         at = cut(at)

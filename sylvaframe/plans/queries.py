@@ -168,18 +168,19 @@ def b15_isotropic_scale(spark: Spark, d: Dir) -> DataFrame:
 # ---- joins -------------------------------------------------------------------------------------
 
 
-@query(f"{PTS}, a AS (SELECT s.cloud_id, s.stem_id, s.layer, s.cx, s.cy, s.r, s.mid_height FROM (SELECT * FROM ({_LAYERS.removeprefix('l AS ')}) AS l) AS s WHERE s.r > 0), j AS (SELECT a.cloud_id, a.stem_id, a.layer, pow(v.x - cx, 2) + pow(v.y - cy, 2) AS d2, a.r, CASE WHEN 2 * a.r <= 0.3 THEN 0.06 ELSE 0.15 END AS w FROM a JOIN v ON a.cloud_id = v.cloud_id AND v.x BETWEEN cx - r - 0.15 AND cx + r + 0.15 AND v.y BETWEEN cy - r - 0.15 AND cy + r + 0.15 WHERE v.cls = 1) SELECT cloud_id, stem_id, layer, count(*) AS n FROM j WHERE d2 >= pow(greatest(r - w, 0), 2) AND d2 <= pow(r + w, 2) GROUP BY cloud_id, stem_id, layer")
+_GROUND = "sv AS (SELECT stem_id AS point_id, cloud_id, min(x) AS x, min(y) AS y, 0.0 AS z FROM stems WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY stem_id, cloud_id), " + _DTM.strip().replace("SELECT v.*, least", "SELECT sv.*, least").replace("FROM v JOIN e ON v.cloud_id", "FROM sv JOIN e ON sv.cloud_id") + ", gr AS (SELECT point_id AS stem_id, ground AS terrain FROM g)"
+
+
+def stem_ground(spark: Spark, d: Dir) -> DataFrame:
+    """stem_id and the terrain's height at the stem."""
+    s = load(spark, d, "stems").where("x IS NOT NULL AND y IS NOT NULL").groupBy("cloud_id", "stem_id").agg(F.min("x").alias("x"), F.min("y").alias("y")).withColumn("z", F.lit(0.0))
+    return R.height_above_terrain(s, load(spark, d, "dtm"), RES).select("stem_id", (-F.col("height")).alias("terrain")).where("terrain IS NOT NULL")
+
+
+@query(f"{PTS}, {_GROUND}, {_LAYERS}, a AS (SELECT l.*, gr.terrain, CASE WHEN 2 * r <= 0.3 THEN 0.06 ELSE 0.09 END AS w FROM l JOIN gr ON l.stem_id = gr.stem_id WHERE r > 0) SELECT a.cloud_id, a.stem_id, a.layer, v.point_id FROM a JOIN v ON a.cloud_id = v.cloud_id AND v.x BETWEEN cx - r - w AND cx + r + w AND v.y BETWEEN cy - r - w AND cy + r + w WHERE v.z - terrain BETWEEN mid_height - 0.3 AND mid_height + 0.3 AND (v.x - cx) * (v.x - cx) + (v.y - cy) * (v.y - cy) BETWEEN greatest(r - w, 0) * greatest(r - w, 0) AND (r + w) * (r + w)")
 def c5_points_in_annulus(spark: Spark, d: Dir) -> DataFrame:
-    """Trunk points in the ring around each fitted circle: circles meet points by shared cells."""
-    cell = 2.0
-    c = layers(spark, d).where("r > 0").select(F.col("cloud_id").alias("g"), "stem_id", "layer", "cx", "cy", "r", F.when(2 * F.col("r") <= 0.3, 0.06).otherwise(0.15).alias("w"))
-    line = lambda k: F.explode(F.sequence(F.floor((F.col(f"c{k}") - F.col("r") - F.col("w")) / cell), F.floor((F.col(f"c{k}") + F.col("r") + F.col("w")) / cell)))
-    c = c.withColumn("jx", line("x")).withColumn("jy", line("y"))
-    p = pts(spark, d).where("cls = 1").select("cloud_id", "x", "y", C.cell_index("x", cell).alias("ix"), C.cell_index("y", cell).alias("iy"))
-    j = p.join(c, (F.col("cloud_id") == F.col("g")) & (F.col("ix") == F.col("jx")) & (F.col("iy") == F.col("jy")))
-    d2 = F.pow(F.col("x") - F.col("cx"), F.lit(2.0)) + F.pow(F.col("y") - F.col("cy"), F.lit(2.0))
-    j = j.where((d2 >= F.pow(F.greatest(F.col("r") - F.col("w"), F.lit(0.0)), F.lit(2.0))) & (d2 <= F.pow(F.col("r") + F.col("w"), F.lit(2.0))))
-    return j.groupBy("cloud_id", "stem_id", "layer").agg(F.count(F.lit(1)).alias("n"))
+    """Points of any class in the ring around each fitted circle, within its layer (0.6 m high)."""
+    return ST.points_near_circles(pts(spark, d), layers(spark, d), stem_ground(spark, d), height=0.6)
 
 
 _POS = "t AS (SELECT DISTINCT cloud_id, stem_id AS id, x, y FROM stems WHERE x IS NOT NULL AND y IS NOT NULL), c AS (SELECT DISTINCT cloud_id, tree_id AS id, x, y FROM tree_positions WHERE y IS NOT NULL)"
@@ -187,12 +188,12 @@ _POS = "t AS (SELECT DISTINCT cloud_id, stem_id AS id, x, y FROM stems WHERE x I
 
 @query(f"WITH {_POS}, j AS (SELECT t.id AS a, c.id AS b, pow(t.x - c.x, 2) + pow(t.y - c.y, 2) AS d2 FROM t JOIN c ON t.cloud_id = c.cloud_id), f AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d2, b) AS ra, row_number() OVER (PARTITION BY b ORDER BY d2, a) AS rb FROM j) SELECT a AS a_id, b AS b_id FROM f WHERE ra = 1 AND rb = 1 AND d2 <= 25.0")
 def c3_mutual_nearest(spark: Spark, d: Dir) -> DataFrame:
-    return N.mutual_nearest(*_positions(spark, d), 5.0, cell=8.0)
+    return N.mutual_nearest(*_positions(spark, d), 5.0)
 
 
 @query(f"WITH {_POS}, j AS (SELECT t.id AS a, c.id AS b, c.x AS bx, c.y AS byy, pow(t.x - c.x, 2) + pow(t.y - c.y, 2) AS d2 FROM t JOIN c ON t.cloud_id = c.cloud_id), f AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d2, b) AS ra, row_number() OVER (PARTITION BY b ORDER BY d2, a) AS rb FROM j), m AS (SELECT * FROM f WHERE ra = 1 AND rb = 1 AND d2 <= 25.0) SELECT t.cloud_id, t.id, 'trunk' AS kind, coalesce(m.bx, t.x) AS x, coalesce(m.byy, t.y) AS y FROM t LEFT JOIN m ON t.id = m.a UNION ALL SELECT c.cloud_id, c.id, 'crown', c.x, c.y FROM c WHERE c.id NOT IN (SELECT b FROM m)")
 def c12_h1_tree_positions(spark: Spark, d: Dir) -> DataFrame:
-    return N.tree_positions(*_positions(spark, d), 5.0, cell=8.0)
+    return N.tree_positions(*_positions(spark, d), 5.0)
 
 
 def _positions(spark: Spark, d: Dir) -> tuple[DataFrame, DataFrame]:
@@ -201,21 +202,21 @@ def _positions(spark: Spark, d: Dir) -> tuple[DataFrame, DataFrame]:
     return t, c
 
 
-_KNN = "t AS (SELECT * FROM v WHERE cls = 1), j AS (SELECT a.cloud_id, a.point_id AS p, b.point_id AS q, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2 FROM t AS a JOIN t AS b ON a.cloud_id = b.cloud_id AND a.point_id <> b.point_id), k AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY d2, q) AS r FROM j)"
+_KNN = "j AS (SELECT a.cloud_id, a.point_id AS p, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d2 FROM v AS a JOIN v AS b ON a.cloud_id = b.cloud_id AND a.point_id <> b.point_id)"
 
 
-@query(f"{PTS}, {_KNN} SELECT p AS query_id, round(sum(sqrt(d2)), 6) AS total FROM k WHERE r <= 4 GROUP BY p")
+@query(f"{PTS}, {_KNN} SELECT p AS query_id, round(list_sum([sqrt(q) for q in min(d2, 26)]), 6) AS total FROM j GROUP BY p")
 def c4_c9_self_knn(spark: Spark, d: Dir) -> DataFrame:
     """All points and k = 27, the point itself included."""
     p = pts(spark, d).select("cloud_id", "point_id", "x", "y", "z")
-    near = N.nearest(p.withColumnRenamed("point_id", "query_id"), p, 26, cell=2.0, dims=("x", "y", "z"), exclude_self=True)
-    return near.groupBy("query_id").agg(r6(F.sum(F.sqrt("d2")), "total"))
+    near = N.nearest_lists(p, None, 26, dims=("x", "y", "z"), query_id="point_id", exclude_self=True, sums=True)
+    return near.where("n > 0").select("query_id", r6(F.col("total"), "total"))
 
 
-@query(f"{PTS}, {_KNN}, m AS (SELECT p, any_value(cloud_id) AS cloud_id, avg(sqrt(d2)) AS md FROM k WHERE r <= 4 GROUP BY p), l AS (SELECT cloud_id, avg(md) + 1.5 * stddev_pop(md) AS lim FROM m GROUP BY cloud_id), n AS (SELECT cloud_id, count(*) AS n FROM t GROUP BY cloud_id) SELECT t.cloud_id, count(*) AS n_kept FROM t JOIN n ON t.cloud_id = n.cloud_id LEFT JOIN m ON t.point_id = m.p LEFT JOIN l ON t.cloud_id = l.cloud_id WHERE m.md IS NULL OR n.n <= 2 OR m.md <= l.lim GROUP BY t.cloud_id")
+@query(f"{PTS}, {_KNN}, m AS (SELECT p, any_value(cloud_id) AS cloud_id, list_avg([sqrt(q) for q in min(d2, 4)]) AS md FROM j GROUP BY p), l AS (SELECT cloud_id, avg(md) + 1.5 * stddev_pop(md) AS lim FROM m GROUP BY cloud_id), n AS (SELECT cloud_id, count(*) AS n FROM v GROUP BY cloud_id) SELECT v.cloud_id, v.point_id FROM v JOIN n ON v.cloud_id = n.cloud_id LEFT JOIN m ON v.point_id = m.p LEFT JOIN l ON v.cloud_id = l.cloud_id WHERE m.md IS NULL OR n.n <= 2 OR m.md <= l.lim")
 def d9_remove_outliers(spark: Spark, d: Dir) -> DataFrame:
     p = pts(spark, d).select("cloud_id", "point_id", "x", "y", "z")
-    return N.remove_outliers(p, 4, 1.5, cell=2.0).groupBy("cloud_id").agg(F.count(F.lit(1)).alias("n_kept"))
+    return N.remove_outliers(p, 4, 1.5).select("cloud_id", "point_id")
 
 
 NODES = "n AS (SELECT DISTINCT cloud_id, ix, iy FROM dtm)"
@@ -232,7 +233,7 @@ def c1_d8_terrain_model(spark: Spark, d: Dir) -> DataFrame:
 
 
 def R_interpolate(nodes: DataFrame, ground: DataFrame) -> DataFrame:
-    return N.interpolate_terrain(nodes, ground, 8, 1.0, cell=RES)
+    return N.interpolate_terrain(nodes, ground, 8, 1.0)
 
 
 # ---- aggregations ------------------------------------------------------------------------------
@@ -408,7 +409,12 @@ def e7_inventory(spark: Spark, d: Dir) -> DataFrame:
     return M.inventory(pts(spark, d))
 
 
-@query(f'WITH {_MATCHES}, r AS (SELECT split_part(cloud_id, \'_\', 1) AS dataset, cloud_id, CASE WHEN prediction_id >= 0 THEN 1 ELSE 0 END AS tp, CASE WHEN prediction_id >= 0 THEN 0 ELSE 1 END AS fn, CASE WHEN prediction_id >= 0 THEN CAST(tp AS DOUBLE) / (tp + fp + fn) END AS iou FROM m), g AS (SELECT dataset, cloud_id, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fn) AS BIGINT) AS fn, avg(iou) AS mi FROM r GROUP BY ROLLUP (dataset, cloud_id)) SELECT dataset, cloud_id, tp AS "TP", CAST(0 AS BIGINT) AS "FP", fn AS "FN", round(2.0 * tp / (2 * tp + fn), 6) AS "F1Score", round(mi, 6) AS "MeanIoU", round(CAST(2 * tp AS DOUBLE) / (2 * tp + fn) * mi, 6) AS "PanopticQuality" FROM g')
+@query(f"""{PTS}, {_MATCHES},
+x AS (SELECT DISTINCT cloud_id, prediction FROM v WHERE prediction >= 0 EXCEPT SELECT cloud_id, prediction_id FROM m),
+r AS (SELECT cloud_id, CASE WHEN prediction_id >= 0 THEN 1 ELSE 0 END AS tp, 0 AS fp, CASE WHEN prediction_id >= 0 THEN 0 ELSE 1 END AS fn, CASE WHEN prediction_id >= 0 THEN CAST(tp AS DOUBLE) / (tp + fp + fn) END AS iou FROM m
+      UNION ALL SELECT cloud_id, 0, 1, 0, NULL FROM x),
+g AS (SELECT dataset, cloud_id, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, avg(iou) AS mi FROM (SELECT split_part(cloud_id, '_', 1) AS dataset, * FROM r) AS q GROUP BY ROLLUP (dataset, cloud_id))
+SELECT dataset, cloud_id, tp AS "TP", fp AS "FP", fn AS "FN", round(2.0 * tp / (2 * tp + fp + fn), 6) AS "F1Score", round(mi, 6) AS "MeanIoU", round(CAST(2 * tp AS DOUBLE) / (2 * tp + fp + fn) * mi, 6) AS "PanopticQuality" FROM g""")
 def e8_totals(spark: Spark, d: Dir) -> DataFrame:
     m = stored_matches(spark, d)
     extra = M.matched_predictions(pts(spark, d), m).where("target_id = -1")
@@ -539,9 +545,9 @@ def m1_color_instances(spark: Spark, d: Dir) -> DataFrame:
     return color_instances(pts(spark, d)).select("point_id", "rgba.*")
 
 
-@query(f"{PTS} SELECT point_id, CASE cls WHEN 1 THEN 139 WHEN 2 THEN 34 ELSE 220 END AS r FROM v")
+@query(f"{PTS}, c(cls, r, g, b, a) AS (VALUES (1, 139, 69, 19, 255), (2, 34, 139, 34, 255)) SELECT point_id, coalesce(r, 220) AS r, coalesce(g, 219) AS g, coalesce(b, 209) AS b, coalesce(a, 127) AS a FROM v LEFT JOIN c ON v.cls = c.cls")
 def m2_color_classes(spark: Spark, d: Dir) -> DataFrame:
-    return pts(spark, d).select("point_id", color_classes("cls", {1: "#8B4513", 2: "#228B22"})["r"].alias("r"))
+    return pts(spark, d).select("point_id", color_classes("cls", {1: "#8B4513", 2: "#228B22"}).alias("c")).select("point_id", "c.*")
 
 
 @query(f"{PTS}, {_LAYERS}, s AS (SELECT cloud_id, instance_id AS stem_id, point_id, z FROM v WHERE cls = 1 AND instance_id >= 0), g AS (SELECT stem_id, min(z) AS terrain FROM s GROUP BY stem_id), b(layer, lo, hi) AS (SELECT i, 1.0 + i * 1.5, 1.0 + i * 1.5 + 2.0 FROM range(0, 4) AS r(i)), r AS (SELECT s.cloud_id, s.stem_id, CAST(b.layer AS INTEGER) AS layer, s.point_id FROM s JOIN g ON s.stem_id = g.stem_id JOIN b ON z - terrain BETWEEN lo AND hi), f AS (SELECT stem_id, layer FROM r GROUP BY stem_id, layer HAVING count(*) >= 3) SELECT r.* FROM r JOIN f ON r.stem_id = f.stem_id AND r.layer = f.layer")
@@ -552,12 +558,12 @@ def c15_b13_points_in_layers(spark: Spark, d: Dir) -> DataFrame:
     return rows.select("cloud_id", "stem_id", "layer", "point_id")
 
 
-@query(f"{PTS}, {_LAYERS}, s AS (SELECT *, CASE WHEN a + b <= 0.3 THEN 0.06 ELSE 0.15 END AS w FROM l WHERE a > 0 AND b > 0), j AS (SELECT s.cloud_id, s.stem_id, s.layer, v.point_id, (v.x - ex) * cos(theta) + (v.y - ey) * sin(theta) AS p, (v.y - ey) * cos(theta) - (v.x - ex) * sin(theta) AS q, a, b, w FROM s JOIN v ON s.cloud_id = v.cloud_id AND v.x BETWEEN ex - a - w AND ex + a + w AND v.y BETWEEN ey - a - w AND ey + a + w) SELECT cloud_id, stem_id, layer, point_id FROM j WHERE p * p / ((a + w) * (a + w)) + q * q / ((b + w) * (b + w)) <= 1 AND NOT (b > w AND p * p / ((a - w) * (a - w)) + q * q / ((b - w) * (b - w)) <= 1)")
+@query(f"{PTS}, {_GROUND}, {_LAYERS}, s AS (SELECT l.*, gr.terrain, CASE WHEN a + b <= 0.3 THEN 0.06 ELSE 0.09 END AS w FROM l JOIN gr ON l.stem_id = gr.stem_id WHERE a > 0 AND b > 0 AND NOT coalesce(r > 0, false)), j AS (SELECT s.cloud_id, s.stem_id, s.layer, v.point_id, (v.x - ex) * cos(theta) + (v.y - ey) * sin(theta) AS p, (v.y - ey) * cos(theta) - (v.x - ex) * sin(theta) AS q, a, b, w FROM s JOIN v ON s.cloud_id = v.cloud_id AND v.x BETWEEN ex - a - w AND ex + a + w AND v.y BETWEEN ey - a - w AND ey + a + w WHERE v.z - terrain BETWEEN mid_height - 0.3 AND mid_height + 0.3) SELECT cloud_id, stem_id, layer, point_id FROM j WHERE p * p / ((a + w) * (a + w)) + q * q / ((b + w) * (b + w)) <= 1 AND NOT (b > w AND p * p / ((a - w) * (a - w)) + q * q / ((b - w) * (b - w)) <= 1)")
 def c6_points_near_ellipses(spark: Spark, d: Dir) -> DataFrame:
-    return ST.points_near_ellipses(pts(spark, d), layers(spark, d))
+    return ST.points_near_ellipses(pts(spark, d), layers(spark, d), stem_ground(spark, d), height=0.6)
 
 
-@query(f"{PTS}, s AS (SELECT * FROM v WHERE cls = 1 AND instance_id >= 0), u AS (SELECT * FROM v WHERE cls = 3), k AS (SELECT u.point_id, s.instance_id, row_number() OVER (PARTITION BY u.point_id ORDER BY (u.x - s.x) * (u.x - s.x) + (u.y - s.y) * (u.y - s.y) + (u.z - s.z) * (u.z - s.z), s.point_id) AS r FROM u JOIN s ON u.cloud_id = s.cloud_id WHERE (u.x - s.x) * (u.x - s.x) + (u.y - s.y) * (u.y - s.y) + (u.z - s.z) * (u.z - s.z) <= 4.0) SELECT point_id, instance_id FROM k WHERE r = 1")
+@query(f"{PTS}, s AS (SELECT * FROM v WHERE cls = 1 AND instance_id >= 0), u AS (SELECT * FROM v WHERE NOT coalesce(cls = 1 AND instance_id >= 0, false)), k AS (SELECT u.point_id, s.instance_id, row_number() OVER (PARTITION BY u.point_id ORDER BY (u.x - s.x) * (u.x - s.x) + (u.y - s.y) * (u.y - s.y) + (u.z - s.z) * (u.z - s.z), s.point_id) AS r FROM u JOIN s ON u.cloud_id = s.cloud_id WHERE (u.x - s.x) * (u.x - s.x) + (u.y - s.y) * (u.y - s.y) + (u.z - s.z) * (u.z - s.z) <= 4.0) SELECT point_id, instance_id FROM k WHERE r = 1")
 def c8_nearest_seed(spark: Spark, d: Dir) -> DataFrame:
     p = pts(spark, d).select("cloud_id", "point_id", "x", "y", "z", "cls", "instance_id")
     is_seed = F.coalesce(F.expr("cls = 1 AND instance_id >= 0"), F.lit(False))

@@ -8,7 +8,7 @@ from sylvaframe.operators.cluster import connected_components, dbscan, grow_regi
 from sylvaframe.operators.groups import filter_extent, filter_intensity, filter_min_points, fit_line, principal_axes, voxel_downsample
 from sylvaframe.operators.hotkeys import hot_keys, keyed_statistics
 from sylvaframe.operators.near import containing_region, pairs_within
-from sylvaframe.operators.nearest import interpolate_terrain, nearest, remove_outliers
+from sylvaframe.operators.nearest import interpolate_terrain, nearest, nearest_lists, remove_outliers
 from sylvaframe.operators.raster import height_above_terrain
 
 
@@ -44,7 +44,7 @@ def test_pairs_within_dirt(spark):
 def test_containing_region(spark):
     p = cloud(spark, np.array([[0.5, 0.5, 0], [5, 5, 0], [9, 1, 0]]))
     r = spark.createDataFrame([("a", 1, 0.0, 5.0, 0.0, 5.0), ("a", 2, 5.0, 1.0, 0.0, 9.0), ("a", 3, None, 1.0, 0.0, 9.0)], "cloud_id string, region_id int, x_min double, x_max double, y_min double, y_max double")
-    assert sorted((x.point_id, x.region_id) for x in containing_region(p, r, cell=2.0).collect()) == [(0, 1), (1, 1)]
+    assert sorted((x.point_id, x.region_id) for x in containing_region(p, r).collect()) == [(0, 1), (1, 1)]
 
 
 def test_keyed_statistics(spark):
@@ -59,22 +59,55 @@ def test_keyed_statistics(spark):
     assert keyed_statistics(df.where("false"), "k", ["v"]).count() == 0
 
 
+@pytest.mark.parametrize(("k", "dims", "radius"), [(3, "xyz", None), (26, "xyz", None), (2, "xy", 1.5), (400, "xy", None)])
+def test_nearest_equals_brute_force(spark, k, dims, radius):
+    """Many small leaves, a far-off query and point, repeated places, a group without points."""
+    rng = np.random.default_rng(5)
+    p = np.round(np.r_[rng.uniform(0, 30, (500, 3)), rng.normal(5, 0.05, (300, 3)), np.repeat(rng.uniform(0, 9, (5, 3)), 20, 0), [[9e5, -9e5, 3]]], 2)
+    q = np.r_[rng.uniform(-5, 35, (150, 3)), [[-8e5, 8e5, 0]], p[:50]]
+    own = lambda n: [("a", "b")[i % 7 == 0] for i in range(n)]
+    points = [(g, i, *map(float, v)) for i, (g, v) in enumerate(zip(own(len(p)), p, strict=True))]
+    asked = [(g, i, *map(float, v)) for i, (g, v) in enumerate(zip(own(len(q)), q, strict=True))] + [("none", 10_000, 1.0, 1.0, 1.0), ("a", 10_001, None, 1.0, 1.0)]
+    cols = "cloud_id string, {} bigint, x double, y double, z double"
+    lists = nearest_lists(spark.createDataFrame(asked, cols.format("query_id")), spark.createDataFrame(points, cols.format("point_id")), k, dims=tuple(dims), radius=radius, target=60)
+    got = {r.query_id: (r.ids, r.d2s) for r in lists.collect()}
+    assert len(got) == len(asked) - 1 and got[10_000] == ([], [])
+    for g, i, *v in asked[:-2]:
+        d = sorted((sum((a - b) ** 2 for a, b in zip(v[: len(dims)], w, strict=False)), j) for h, j, *w in points if h == g)
+        d = [x for x in d if radius is None or x[0] <= radius * radius][:k]
+        assert got[i][0] == [j for _, j in d] and np.allclose(got[i][1], [x for x, _ in d])
+    mean = nearest_lists(spark.createDataFrame(points, cols.format("point_id")), None, 5, dims=tuple(dims), query_id="point_id", exclude_self=True, sums=True, target=60)
+    got = {r.query_id: (r.n, r.total) for r in mean.collect()}
+    for g, i, *v in points[::9]:
+        d = sorted(sum((a - b) ** 2 for a, b in zip(v[: len(dims)], w, strict=False)) ** 0.5 for h, j, *w in points if h == g and j != i)[:5]
+        assert got[i][0] == 5 and abs(got[i][1] - sum(d)) < 1e-6 * max(1, sum(d))
+
+
+def test_containing_polygon(spark):
+    ring = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (2.0, 1.0), (0.0, 4.0)]
+    regions = spark.createDataFrame([("c", 1, [{"x": x, "y": y} for x, y in ring]), ("c", 1, [{"x": x, "y": y} for x, y in ring]), ("c", 2, [{"x": 0.0, "y": 0.0}]), (None, 3, [{"x": x, "y": y} for x, y in ring])], "cloud_id string, region_id bigint, ring array<struct<x:double,y:double>>")
+    at = [(0.5, 0.5), (2.0, 3.0), (2.0, 1.0), (4.0, 4.0), (3.9, 3.0), (5.0, 0.0), (0.0, 2.0)]
+    p = spark.createDataFrame([("c", i, *v) for i, v in enumerate(at)] + [("c", 90, None, 1.0), ("d", 91, 0.5, 0.5)], "cloud_id string, point_id bigint, x double, y double")
+    got = sorted((r.point_id, r.region_id) for r in containing_region(p.unionByName(p), regions, target=2).collect())
+    assert got == [(0, 1), (2, 1), (3, 1), (4, 1), (6, 1)]
+
+
 def test_nearest_widens_until_exact(spark):
     rng = np.random.default_rng(2)
     p = np.r_[rng.uniform(0, 5, (80, 3)), [[200.0, 200.0, 0.0]]]
     df = cloud(spark, p)
-    got = {(r.query_id, r.rank): r.point_id for r in nearest(df.withColumnRenamed("point_id", "query_id"), df, 3, cell=0.5, exclude_self=True).collect()}
+    got = {(r.query_id, r.rank): r.point_id for r in nearest(df.withColumnRenamed("point_id", "query_id"), df, 3, exclude_self=True).collect()}
     d = ((p[:, None, :2] - p[None, :, :2]) ** 2).sum(2)
     np.fill_diagonal(d, np.inf)
     want = np.argsort(d, axis=1, kind="stable")[:, :3]
     assert all(got[i, k + 1] == want[i, k] for i in range(len(p)) for k in range(3))
-    assert nearest(df.withColumnRenamed("point_id", "query_id"), df.where("false"), 1, cell=1.0).count() == 0
+    assert nearest(df.withColumnRenamed("point_id", "query_id"), df.where("false"), 1).count() == 0
 
 
 def test_terrain_model_fixture(spark):
     p = cloud(spark, np.array([[0, 0, 1], [0, 0, 1], [0, 1, 2], [1, 0, 0], [1, 1, 3.0]]))
     nodes = spark.createDataFrame([("a", i * 2 + j, float(i), float(j)) for i in (0, 1) for j in (0, 1)], "cloud_id string, query_id bigint, x double, y double")
-    got = {r.query_id: r.h for r in interpolate_terrain(nodes, p, 2, 1.0, cell=1.0).collect()}
+    got = {r.query_id: r.h for r in interpolate_terrain(nodes, p, 2, 1.0).collect()}
     assert got == {0: 1.0, 1: 2.0, 2: 0.0, 3: 3.0}
 
 
@@ -128,8 +161,8 @@ def test_voxels_and_outliers(spark):
     assert sorted(r.point_id for r in voxel_downsample(cloud(spark, p), 1.0).collect()) == [1, 3]
     rng = np.random.default_rng(0)
     q = np.r_[rng.uniform(-0.01, 0.01, (8, 3)), rng.uniform(-0.01, 0.01, (2, 3)) + 4]
-    assert sorted(r.point_id for r in remove_outliers(cloud(spark, q), 5, 1.5, cell=0.5).collect()) == list(range(8))
-    assert remove_outliers(cloud(spark, q[:2]), 5, 1.5, cell=0.5).count() == 2
+    assert sorted(r.point_id for r in remove_outliers(cloud(spark, q), 5, 1.5).collect()) == list(range(8))
+    assert remove_outliers(cloud(spark, q[:2]), 5, 1.5).count() == 2
 
 
 @pytest.mark.parametrize("i", range(3))

@@ -1,8 +1,8 @@
 """Delivered text records: typed rows for those that can be read, a reason for the rest.
 
 One anchored pattern per schema decides for a whole row. Only rows that fail it are matched
-against prefix patterns of one, two, ... fields, the longest of which names the first broken
-field. All patterns are possessive: the JVM's matcher then runs through a row in one pass and
+against the prefix patterns of one, two, ... fields, which stand in each other: where the longest
+one ends, the first broken field begins, and the reason is sought from there on. All patterns are possessive: the JVM's matcher then runs through a row in one pass and
 without recursion, however long the row is.
 """
 
@@ -55,15 +55,20 @@ def row_pattern(fields: tuple[Field, ...]) -> str:
     return r"\A" + ",".join(f.pattern for f in fields) + r"\z"
 
 
-def prefix_pattern(fields: tuple[Field, ...], n: int) -> str:
-    """The first n fields, followed by a comma or the end."""
-    return r"\A" + ",".join(f.pattern for f in fields[:n]) + r"(?=,|\z)"
+def prefix_pattern(fields: tuple[Field, ...]) -> str:
+    """The longest run of good fields from the start on, each followed by a comma or the end.
+
+    The patterns of one, two, .. fields stand in each other, so the matcher goes on from where
+    the shorter one ended instead of starting anew, and gives up nothing it has matched.
+    """
+    out = ""
+    for i in range(len(fields) - 1, -1, -1):
+        out = rf"(?:{',' if i else ''}{fields[i].pattern}(?=,|\z){out})?+"
+    return r"\A" + out
 
 
-def structure_pattern(n: int | None = None) -> str:
-    """Any number of fields, or exactly n, with sound quoting."""
-    more = "*+" if n is None else f"{{{n - 1}}}+"
-    return rf"\A{ANY_FIELD}(?:,{ANY_FIELD}){more}\z"
+#: what may follow a good prefix: sound fields, each after a comma
+SOUND_REST = rf"\A(?:,{ANY_FIELD})*+\z"
 
 
 def _bare(raw: Column) -> Column:
@@ -91,45 +96,59 @@ def _unquoted(raw: Column) -> Column:
     return F.when(raw.startswith('"'), F.replace(raw.substr(F.lit(2), F.length(raw) - 2), F.lit('""'), F.lit('"'))).otherwise(raw)
 
 
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are evaluated once a row, whatever is filtered or read from them later.
+
+    An ordinary projection would be repeated in every filter pushed through it.
+    """
+    return df.select("*", F.inline_outer(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def parse_records(raw: DataFrame, line: str = "raw_line", fields: tuple[Field, ...] = POINT_RECORD) -> DataFrame:
     """Each row of ``raw`` with ``reason`` (null: readable), ``broken_field`` and ``record``.
 
     ``record`` is a struct of the typed fields, null for a record that can't be read. Reasons:
     'quoting', else 'columns', else 'value'. A null line has no fields ('columns'); an empty
-    one has a single empty field ('columns'). ``broken_field`` is the name of the first field
-    at which the prefix patterns stop; null when the fields are sound but there are too many.
-    Columns of ``raw`` stay; the three new ones replace any of the same name. No shuffle.
+    one has a single empty field ('columns'). The whole-row pattern is tried once. Rows that fail
+    it keep the longest prefix of good fields: the field after it is ``broken_field``, and only
+    what follows is looked at for the reason. ``broken_field`` is null when the fields are good
+    but too many. Columns of ``raw`` stay; the three new ones replace any of the same name. No shuffle.
     """
     require(raw, line)
+    own = [c for c in raw.columns if c not in ("reason", "broken_field", "record")]
     text = F.col(line)
     of = {k: [i for i, f in enumerate(fields) if f.kind == k] for k in ("number", "integer", "any")}
-    cells = F.when(F.rlike(text, F.lit(row_pattern(fields))), F.regexp_extract_all(text, F.lit(rf"(?:\A|,)({ANY_FIELD})"), F.lit(1)))
-    out = raw.withColumn("__cells", cells)
-    # one lambda per kind instead of one tree per field: the plan stays small when filters are pushed into it
+    names = F.array(*[F.lit(f.name) for f in fields])
+    split = F.regexp_extract_all(text, F.lit(rf"(?:\A|,)({ANY_FIELD})"), F.lit(1))
+    out = _once(raw.select(*own), __cells=F.when(F.rlike(text, F.lit(row_pattern(fields))), split))
+    # the values of good rows, the good prefix of the others
     pick = lambda k, f: F.transform(F.transform(F.array(*[F.lit(i) for i in of[k]]), lambda i: F.col("__cells")[i]), f)
     parsed = F.struct(pick("number", _number).alias("number"), pick("integer", _integer).alias("integer"), pick("any", _unquoted).alias("any"))
-    out = out.withColumn("__parsed", F.when(F.col("__cells").isNotNull(), parsed))
+    failed = F.col("__cells").isNull()
+    out = _once(out, __parsed=F.when(~failed, parsed), __good=F.when(failed, F.regexp_extract(text, prefix_pattern(fields), 0)))
+    good = F.col("__good")
+    n_good = F.when(good == "", 0).otherwise(F.regexp_count(F.concat(F.lit(","), good), F.lit("," + ANY_FIELD)))
+    rest = F.when(good == "", F.concat(F.lit(","), text)).otherwise(text.substr(F.length(good) + 1, F.length(text)))
+    out = _once(out, __n_good=n_good, __rest=rest)
+    left = F.lit(len(fields)) - F.col("__n_good")
     numbers, integers = F.col("__parsed.number"), F.col("__parsed.integer")
     right = F.forall(numbers, lambda v: v["ok"]) & F.forall(integers, lambda v: v["ok"])
-    checks = F.concat(numbers["ok"], integers["ok"])
-    names = [fields[i].name for i in of["number"] + of["integer"]]
-    wrong = F.element_at(F.array(*[F.lit(n) for n in names]), F.array_position(checks, F.lit(False)).cast("int"))
-    broken = F.lit(None).cast("string")
-    for k in range(len(fields), 0, -1):  # the first prefix that fails names the field
-        broken = F.when(~F.rlike(text, F.lit(prefix_pattern(fields, k))), F.lit(fields[k - 1].name)).otherwise(broken)
+    order = F.array(*[F.lit(fields[i].name) for i in of["number"] + of["integer"]])
+    wrong = F.element_at(order, F.array_position(F.concat(numbers["ok"], integers["ok"]), F.lit(False)).cast("int"))
     reason = (
         F.when(text.isNull(), "columns")
-        .when(F.col("__parsed").isNotNull(), F.when(right, F.lit(None)).otherwise("value"))
-        .when(~F.rlike(text, F.lit(structure_pattern())), "quoting")
-        .when(~F.rlike(text, F.lit(structure_pattern(len(fields)))), "columns")
+        .when(~failed, F.when(right, F.lit(None)).otherwise("value"))
+        .when(~F.rlike("__rest", F.lit(SOUND_REST)), "quoting")
+        .when(F.regexp_count("__rest", F.lit("," + ANY_FIELD)) != left, "columns")
         .otherwise("value")
     )
-    broken = F.when(text.isNull(), F.lit(fields[0].name)).when(F.col("__parsed").isNotNull(), F.when(~right, wrong)).otherwise(broken)
+    broken = F.when(text.isNull(), F.lit(fields[0].name)).when(~failed, F.when(~right, wrong)).otherwise(F.get(names, F.col("__n_good")))
     typed = []
     for i, f in enumerate(fields):
         value = F.col("__parsed")[f.kind][of[f.kind].index(i)]
         typed.append((value if f.kind == "any" else value["value"]).alias(f.name))
-    return out.withColumns({"reason": reason, "broken_field": broken, "record": F.when(right, F.struct(*typed))}).drop("__cells", "__parsed")
+    out = _once(out, reason=reason, broken_field=broken, record=F.when(right, F.struct(*typed)))
+    return out.drop("__cells", "__parsed", "__good", "__n_good", "__rest")
 
 
 def read_points(raw: DataFrame, line: str = "raw_line") -> DataFrame:

@@ -3,7 +3,7 @@ import json
 import pytest
 
 from sylvaframe.sources.drift import changes, consistent_table, name_fields, path_values
-from sylvaframe.sources.records import parse_records, read_points, rejected
+from sylvaframe.sources.records import POINT_RECORD, parse_records, read_points, rejected, row_pattern
 
 GOOD = "1.5,2,3,7,1,2,3,note"
 
@@ -52,6 +52,14 @@ def test_reasons(spark):
 def test_broken_field(spark):
     got = reasons(spark, ["1,x,3,4,,,,", "1,2,3,-9,,,,", '1,2,3,4,,,a"b,', GOOD + ",more"])
     assert [got[i][1] for i in range(4)] == ["y", "instance_id", "intensity", None]
+    got = reasons(spark, ["", None, "1,2", '1,2,3,4,,,,"x" ', "1, ,3", '1,2,3,"4",,,"', "1,2,x,4,,,,,", GOOD + ',"'])
+    assert [got[i] for i in range(8)] == [("columns", "x"), ("columns", "x"), ("columns", "z"), ("quoting", "note"), ("columns", "y"), ("quoting", "intensity"), ("columns", "z"), ("quoting", None)]
+
+
+def test_patterns_are_tried_once(spark):
+    df = spark.createDataFrame([(1, GOOD)], "raw_id bigint, raw_line string")
+    plan = rejected(df).select("raw_id", "reason")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == 2 and plan.count(row_pattern(POINT_RECORD)[:60]) == 1
 
 
 def test_typed_values_and_clashing_columns(spark):

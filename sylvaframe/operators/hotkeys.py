@@ -3,8 +3,8 @@
 Rows stay in the equal splits in which they are read. Each split dictionary-encodes the keys it
 meets and scatter-reduces the values into dense arrays, one slot per key; what leaves a split is
 a handful of array blocks, however often a key occurs. Blocks are the hash ranges of the keys,
-and a block's arrays are summed up in two levels, so that no task ever receives more than
-``fan_in`` of them at once. A key with a third of all rows costs no more than any other.
+and a block's arrays are summed up in levels until one is left, so that no task ever receives
+more than ``fan_in`` of them at once. A key with a third of all rows costs no more than any other.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sylvaframe.operators.fanin import reduce_parts
 from sylvaframe.schema import require
 from sylvaframe.session import default_parallelism
 
@@ -25,62 +26,83 @@ MOST_KEYS = 1_000_000
 
 
 class Dense:
-    """Accumulators of a split: counts, and per value column count, sum, minimum and maximum."""
+    """Accumulators of a split: counts, and per value column count, sum, minimum and maximum.
+
+    Slots follow the ascending dictionary ``keys``. What is new to it waits in ``late`` and is
+    merged in when it has grown to a share of the whole, so a batch never copies all slots.
+    """
 
     def __init__(self, n_values: int) -> None:
         self.n_values = n_values
         self.keys = np.empty(0, np.int64)
         self.n = np.empty(0, np.int64)
         self.stats = self._empty(0)
+        self.late: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.n_late = 0
+
+    def __len__(self) -> int:
+        return len(self.keys) + self.n_late
 
     def _empty(self, size: int) -> np.ndarray:
         s = np.zeros((size, self.n_values, 4))
         s[:, :, 2], s[:, :, 3] = np.inf, -np.inf
         return s
 
-    def _slots(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The dictionary grown by new keys, and where each of its present slots went."""
-        grown = np.union1d(self.keys, keys)
-        old = np.searchsorted(grown, self.keys)
-        n, stats = np.zeros(len(grown), np.int64), self._empty(len(grown))
-        n[old], stats[old] = self.n, self.stats
-        self.keys, self.n, self.stats = grown, n, stats
-        return grown, old
-
     def add(self, keys: np.ndarray, values: list[np.ndarray]) -> None:
         distinct, code = np.unique(keys, return_inverse=True)
-        self._slots(distinct)
-        at = np.searchsorted(self.keys, distinct)
         size = len(distinct)
-        self.n[at] += np.bincount(code, minlength=size)
+        stats = self._empty(size)
         for j, v in enumerate(values):
             ok = ~np.isnan(v)
             c, w = code[ok], v[ok]
-            own = self.stats[at, j]
-            own[:, 0] += np.bincount(c, minlength=size)
-            own[:, 1] += np.bincount(c, weights=w, minlength=size)
-            lo, hi = np.full(size, np.inf), np.full(size, -np.inf)
+            stats[:, j, 0] = np.bincount(c, minlength=size)
+            stats[:, j, 1] = np.bincount(c, weights=w, minlength=size)
             order = np.argsort(c, kind="stable")
             if len(order):
                 first = np.flatnonzero(np.r_[True, np.diff(c[order]) > 0])
-                lo[c[order][first]] = np.minimum.reduceat(w[order], first)
-                hi[c[order][first]] = np.maximum.reduceat(w[order], first)
-            own[:, 2] = np.minimum(own[:, 2], lo)
-            own[:, 3] = np.maximum(own[:, 3], hi)
-            self.stats[at, j] = own
+                at = c[order][first]
+                stats[at, j, 2] = np.minimum.reduceat(w[order], first)
+                stats[at, j, 3] = np.maximum.reduceat(w[order], first)
+        self.merge(distinct, np.bincount(code, minlength=size), stats)
 
     def merge(self, keys: np.ndarray, n: np.ndarray, stats: np.ndarray) -> None:
-        """keys: ascending."""
-        self._slots(keys)
+        """keys: distinct."""
         at = np.searchsorted(self.keys, keys)
-        self.n[at] += n
-        own = self.stats[at]
-        own[:, :, :2] += stats[:, :, :2]
-        own[:, :, 2] = np.minimum(own[:, :, 2], stats[:, :, 2])
-        own[:, :, 3] = np.maximum(own[:, :, 3], stats[:, :, 3])
-        self.stats[at] = own
+        here = np.zeros(len(keys), bool)
+        inside = at < len(self.keys)
+        here[inside] = self.keys[at[inside]] == keys[inside]
+        slot = at[here]
+        self.n[slot] += n[here]
+        if self.n_values:
+            own, new = self.stats[slot], stats[here]
+            own[:, :, :2] += new[:, :, :2]
+            own[:, :, 2] = np.minimum(own[:, :, 2], new[:, :, 2])
+            own[:, :, 3] = np.maximum(own[:, :, 3], new[:, :, 3])
+            self.stats[slot] = own
+        if not here.all():
+            self.late.append((keys[~here], n[~here], stats[~here]))
+            self.n_late += int((~here).sum())
+            if self.n_late > max(50_000, len(self.keys) // 2):
+                self.settle()
+
+    def settle(self) -> None:
+        """Brings what is late into the dictionary."""
+        if not self.late:
+            return
+        parts = [(self.keys, self.n, self.stats), *self.late]
+        keys, n, stats = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        order = np.argsort(keys, kind="stable")
+        keys, n, stats = keys[order], n[order], stats[order]
+        first = np.flatnonzero(np.r_[True, np.diff(keys) != 0])
+        self.keys, self.n = keys[first], np.add.reduceat(n, first)
+        out = self._empty(len(first))
+        if self.n_values:
+            out[:, :, :2] = np.add.reduceat(stats[:, :, :2], first)
+            out[:, :, 2], out[:, :, 3] = np.minimum.reduceat(stats[:, :, 2], first), np.maximum.reduceat(stats[:, :, 3], first)
+        self.stats, self.late, self.n_late = out, [], 0
 
     def blocks(self, n_blocks: int, part: int) -> Iterator[pa.RecordBatch]:
+        self.settle()
         block = _block(self.keys, n_blocks)
         rows = [(int(b), part, self.keys[m], self.n[m], self.stats[m].ravel()) for b in np.unique(block) for m in [block == b]]
         self.__init__(self.n_values)
@@ -103,65 +125,81 @@ def _column(batch: pa.RecordBatch, i: int) -> np.ndarray:
     return batch.column(i).cast(pa.float64()).to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
 
 
-def keyed_statistics(rows: DataFrame, key: str, values: list[str], *, n_blocks: int | None = None, fan_in: int = 64) -> DataFrame:
-    """Per non-null integer key: ``n_rows`` and, per value column c, n_c, sum_c, min_c, max_c.
-
-    Null and NaN values don't count; infinities do. Empty input gives no rows. Output columns
-    are named by the value columns, other columns of ``rows`` play no part. Shuffles only the
-    array blocks: at most one slot per split and key.
-    """
+def _accumulated(rows: DataFrame, key: str, values: list[str], n_blocks: int | None, fan_in: int) -> DataFrame:
+    """One row (block, part 0, keys, n, stats) per block; rows with a null key count in block -1."""
     require(rows, key, *values)
-    spark = rows.sparkSession
-    n_blocks = n_blocks or 4 * default_parallelism(spark)
+    n_blocks = n_blocks or 4 * default_parallelism(rows.sparkSession)
     n_values = len(values)
-    narrow = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("k"), *[F.col(v).cast("double").alias(f"v{i}") for i, v in enumerate(values)])
+    narrow = rows.select(F.col(key).cast("bigint").alias("k"), *[F.col(v).cast("double").alias(f"v{i}") for i, v in enumerate(values)])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        acc = Dense(n_values)
+        acc, without = Dense(n_values), 0
         for batch in batches:
+            if batch.column(0).null_count:
+                without += batch.column(0).null_count
+                batch = batch.filter(batch.column(0).is_valid())
             if batch.num_rows:
                 acc.add(batch.column(0).to_numpy(zero_copy_only=False), [_column(batch, 1 + i) for i in range(n_values)])
-            if len(acc.keys) > MOST_KEYS:
+            if len(acc) > MOST_KEYS:
                 yield from acc.blocks(n_blocks, part)
         yield from acc.blocks(n_blocks, part)
+        if without:
+            yield _as_batch([(-1, part, np.zeros(1, np.int64), np.array([without]), Dense(n_values)._empty(1).ravel())])
 
-    def reduced(batch: pa.Table) -> Dense:
+    def level(batch: pa.Table) -> pa.Table:
         acc = Dense(n_values)
         for k, n, s in zip(batch["keys"], batch["n"], batch["stats"], strict=True):
-            acc.merge(np.array(k.values), np.array(n.values), np.array(s.values).reshape(-1, n_values, 4) if n_values else np.zeros((len(k), 0, 4)))
-        return acc
-
-    def level(batch: pa.Table) -> pa.Table:
-        acc = reduced(batch)
+            acc.merge(np.array(k.values), np.array(n.values), np.array(s.values).reshape(len(k), n_values, 4))
+        acc.settle()
         row = (batch["block"][0].as_py(), batch["part"][0].as_py() // fan_in, acc.keys, acc.n, acc.stats.ravel())
         return pa.Table.from_batches([_as_batch([row])])
 
-    def last(batch: pa.Table) -> pa.Table:
-        acc = reduced(batch)
-        cols = [pa.array(acc.keys), pa.array(acc.n)]
-        for j in range(n_values):
-            s = acc.stats[:, j]
-            none = s[:, 0] == 0
-            cols += [pa.array(s[:, 0].astype(np.int64)), *[pa.array(s[:, i], mask=none) for i in (1, 2, 3)]]
-        return pa.Table.from_arrays(cols, names=[c.split()[0] for c in out])
+    return reduce_parts(narrow.mapInArrow(split, BLOCK), level, fan_in)
+
+
+def _opened(blocks: DataFrame, key: str, values: list[str]) -> DataFrame:
+    """A row per key from a row per block."""
+    n_values = len(values)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, n, s in zip(b.column("keys"), b.column("n"), b.column("stats"), strict=True):
+                stats = np.array(s.values).reshape(len(k), n_values, 4)
+                cols = [k.values, n.values]
+                for j in range(n_values):
+                    own = stats[:, j]
+                    none = own[:, 0] == 0
+                    cols += [pa.array(own[:, 0].astype(np.int64)), *[pa.array(own[:, i], mask=none) for i in (1, 2, 3)]]
+                yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in out])
 
     out = ["key bigint", "n_rows bigint"]
     for i in range(n_values):
         out += [f"n_{i} bigint", f"sum_{i} double", f"min_{i} double", f"max_{i} double"]
-    blocks = narrow.mapInArrow(split, BLOCK)
-    blocks = blocks.groupBy("block", F.floor(F.col("part") / fan_in)).applyInArrow(level, BLOCK)
-    done = blocks.groupBy("block").applyInArrow(last, ", ".join(out))
+    done = blocks.where("block >= 0").select("keys", "n", "stats").mapInArrow(run, ", ".join(out))
     names = [F.col("key").alias(key), "n_rows"]
     for i, v in enumerate(values):
         names += [F.col(f"{s}_{i}").alias(f"{s}_{v}") for s in ("n", "sum", "min", "max")]
     return done.select(*names)
 
 
+def keyed_statistics(rows: DataFrame, key: str, values: list[str], *, n_blocks: int | None = None, fan_in: int = 64) -> DataFrame:
+    """Per non-null integer key: ``n_rows`` and, per value column c, n_c, sum_c, min_c, max_c.
+
+    Null and NaN values don't count; infinities do. Empty input gives no rows. Output columns
+    are named by the value columns, other columns of ``rows`` play no part. Shuffles only the
+    array blocks: at most one slot per split and key.
+    """
+    return _opened(_accumulated(rows, key, values, n_blocks, fan_in), key, values)
+
+
 def hot_keys(rows: DataFrame, key: str, share: float) -> DataFrame:
-    """Keys in more than ``share`` of all rows, rows with a null key included in the whole."""
-    counts = keyed_statistics(rows, key, [])
-    whole = rows.select(F.count(F.lit(1)).alias("__all"))
-    return counts.join(F.broadcast(whole), F.col("n_rows") > F.lit(share) * F.col("__all")).select(key, "n_rows")
+    """Keys in more than ``share`` of all rows, rows with a null key included in the whole.
+
+    The whole is the sum of the counts already made: the table is read once.
+    """
+    blocks = _accumulated(rows, key, [], None, 64)
+    whole = blocks.agg(F.sum(F.aggregate("n", F.lit(0).cast("bigint"), lambda t, v: t + v))).first()[0] or 0
+    return _opened(blocks, key, []).where(F.col("n_rows") > F.lit(share) * F.lit(whole)).select(key, "n_rows")

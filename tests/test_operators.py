@@ -6,7 +6,7 @@ from sylvaframe.functions import columns as C
 from sylvaframe.operators import fit, metrics, morph
 from sylvaframe.operators.cluster import connected_components, dbscan, grow_regions
 from sylvaframe.operators.groups import filter_extent, filter_intensity, filter_min_points, fit_line, principal_axes, voxel_downsample
-from sylvaframe.operators.hotkeys import hot_keys, keyed_statistics
+from sylvaframe.operators.hotkeys import Dense, hot_keys, keyed_statistics
 from sylvaframe.operators.near import containing_region, pairs_within
 from sylvaframe.operators.nearest import interpolate_terrain, nearest, nearest_lists, remove_outliers
 from sylvaframe.operators.raster import height_above_terrain
@@ -57,6 +57,27 @@ def test_keyed_statistics(spark):
     assert set(got) == {1, 2, 3, -9}
     assert [r.k for r in hot_keys(df, "k", 0.5).collect()] == [1]
     assert keyed_statistics(df.where("false"), "k", ["v"]).count() == 0
+    # more levels than two: 40 splits, two at a time
+    many = spark.createDataFrame([(i % 17, float(i)) for i in range(4000)], "k bigint, v double").repartition(40)
+    got = {r.k: (r.n_rows, r.sum_v, r.min_v, r.max_v) for r in keyed_statistics(many, "k", ["v"], fan_in=2).collect()}
+    assert got == {k: (len(v), sum(v), min(v), max(v)) for k in range(17) for v in [[float(i) for i in range(k, 4000, 17)]]}
+    # rows with a null key count in the whole: 5 of 9 are no more than 56 %
+    few = spark.createDataFrame([(1,)] * 5 + [(None,)] * 4, "k bigint")
+    assert [r.k for r in hot_keys(few, "k", 0.5).collect()] == [1] and hot_keys(few, "k", 0.56).count() == 0
+    assert hot_keys(few.where("false"), "k", 0.5).count() == 0
+
+
+def test_dense_slots_grow_as_needed():
+    rng = np.random.default_rng(2)
+    keys, v = rng.integers(0, 200_000, 400_000), rng.normal(0, 1, 400_000)
+    acc = Dense(1)
+    for k, w in zip(np.array_split(keys, 40), np.array_split(v, 40), strict=True):
+        acc.add(k, [w])
+    acc.settle()
+    assert (acc.keys == np.unique(keys)).all() and acc.n.sum() == 400_000
+    want = np.full(200_000, np.inf)
+    np.minimum.at(want, keys, v)
+    assert np.array_equal(acc.stats[:, 0, 2], want[acc.keys]) and np.allclose(acc.stats[:, 0, 1], np.bincount(keys, v, 200_000)[acc.keys])
 
 
 @pytest.mark.parametrize(("k", "dims", "radius"), [(3, "xyz", None), (26, "xyz", None), (2, "xy", 1.5), (400, "xy", None)])

@@ -107,6 +107,10 @@ SELECT instance_id, count(*) AS n_points, min(x) AS min_x, max(x) AS max_x, min(
        {", ".join(f"CAST(sum(CAST(round({c} * 1000) AS BIGINT)) AS DOUBLE) / count(*) / 1000.0 AS mean_{c}" for c in "xyz")} FROM v WHERE instance_id IS NOT NULL GROUP BY instance_id""",
 }
 
+_RAW = lambda i: f"CASE WHEN starts_with(f[{i}], chr(34)) THEN replace(substr(f[{i}], 2, length(f[{i}]) - 2), repeat(chr(34), 2), chr(34)) ELSE f[{i}] END"
+ORACLE["p2_points"] = _PARSED + rf""", g AS (SELECT *, regexp_extract_all(raw_line, '(?:^|,){_FIELD.replace('("[^', '((?:"[^', 1).replace('""[^"]*)*"|[^",]*)', '""[^"]*)*"|[^",]*))', 1)}', 1) AS f FROM u WHERE reason IS NULL)
+SELECT raw_id, file_id, line_no, CAST(v[1] AS DOUBLE) AS x, CAST(v[2] AS DOUBLE) AS y, CAST(v[3] AS DOUBLE) AS z, TRY_CAST(v[4] AS BIGINT) AS instance_id, {_RAW(5)} AS semclassid, {_RAW(6)} AS specificclassid, {_RAW(7)} AS intensity_text, {_RAW(8)} AS note FROM g"""
+
 _NEAR_SQL = f"""
 WITH v AS (SELECT DISTINCT cloud_id, point_id, x, y, z FROM point_cloud WHERE {VALID} AND point_id IS NOT NULL AND cloud_id IS NOT NULL),
 c AS (SELECT *, CAST(floor(x / 0.03) AS BIGINT) AS cx, CAST(floor(y / 0.03) AS BIGINT) AS cy FROM v),
@@ -136,6 +140,20 @@ o AS (SELECT k.cloud_id, f.file_no, k.field_name, k.sp, k.kind FROM k JOIN f ON
 m AS (SELECT coalesce(b.cloud_id, o.cloud_id) AS cloud_id, coalesce(b.file_no, o.file_no) AS file_no, coalesce(b.field_name, o.field_name) AS field_name, b.sp AS now, o.sp AS was, b.kind AS kn, o.kind AS kw
       FROM b FULL OUTER JOIN o ON b.cloud_id = o.cloud_id AND b.file_no = o.file_no AND b.field_name = o.field_name)
 """
+_TARGETS = {"x": "double", "y": "double", "z": "double", "instance_id": "bigint", "classification": "bigint", "semclassid": "bigint", "specificclassid": "bigint", "semclassidpredicted": "bigint", "specificclassidpredicted": "bigint", "intensity": "double"}
+
+
+def _cast_sql(field: str, kind: str) -> str:
+    c = f"r_{field}"
+    if kind == "double":
+        return f"TRY_CAST({c} AS DOUBLE)"
+    return f"CASE WHEN TRY_CAST({c} AS DECIMAL(38, 10)) = floor(TRY_CAST({c} AS DECIMAL(38, 10))) THEN TRY_CAST({c} AS BIGINT) END"
+
+
+ORACLE["p4_table"] = _KIND_SQL.split("k AS (SELECT cloud_id, file_no, field_name, string_agg")[0] + f"""
+w AS (SELECT record_id, {", ".join(f"min_by(json_extract_string(payload, '$.' || chr(34) || path || chr(34)), path) FILTER (field_name = '{f}' AND json_type(j) <> 'NULL') AS r_{f}" for f in _TARGETS)}, count(DISTINCT path) FILTER (field_name NOT IN ({", ".join(f"'{f}'" for f in _TARGETS)})) AS n_extra FROM n GROUP BY record_id)
+SELECT r.record_id, r.cloud_id, r.file_no, {", ".join(f"{_cast_sql(f, k)} AS {f}" for f, k in _TARGETS.items())}, false AS is_broken, array_to_string(list_filter([{", ".join(f"CASE WHEN r_{f} IS NOT NULL AND {_cast_sql(f, k)} IS NULL THEN '{f}' END" for f, k in _TARGETS.items())}], lambda v: v IS NOT NULL), ',') AS failed, CAST(n_extra AS INTEGER) AS n_extra
+FROM (SELECT DISTINCT record_id, cloud_id, file_no FROM file_records) AS r JOIN w ON r.record_id = w.record_id"""
 ORACLE["p4_found"] = _KIND_SQL + " UNION ALL ".join(
     f"SELECT cloud_id, file_no, field_name, '{k}' AS change_kind FROM m WHERE {w}" for k, w in (("added", "was IS NULL"), ("removed", "now IS NULL"), ("renamed", "now <> was"), ("retyped", "kn <> kw"))
 )

@@ -39,7 +39,7 @@ def _instance_z(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return medians_above(_instance_z(spark, sf_dir), "instance_id", "z", 12.0, 10)
+    return medians_above(_instance_z(spark, sf_dir), "instance_id", "z", 12.0, 10, k=32)
 
 
 def p7_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,24 +84,54 @@ def test_kmeans_describes_all(spark):
 # ---- percentiles ---------------------------------------------------------------------------------
 
 
-def test_sketch_bounds_always_hold():
+def sketch_of(parts, k):
+    """Splits merged one by one, as they come out of a table."""
+    whole = None
+    for i, part in enumerate(parts):
+        t = quantiles.Sketch(k, i)
+        for q in np.array_split(part, 3):
+            t.add(q)
+        row = [np.array(c) if isinstance(c, list) else c for c in t.row()]
+        if whole is None:
+            whole = quantiles.Sketch.of(k, *row)
+        else:
+            whole.merge(*row)
+    return whole
+
+
+@pytest.mark.parametrize("order", ["random", "ascending", "descending", "ties"])
+def test_sketch_bounds_always_hold(order):
     rng = np.random.default_rng(3)
     v = rng.lognormal(0, 2, 60_000)
-    s = quantiles.Sketch(32)
-    for part in np.array_split(v, 7):
-        t = quantiles.Sketch(32)
-        for q in np.array_split(part, 13):
-            t.add(q)
-        n, err, items, sizes, states = t.row()
-        s.merge(n, err, items, np.array(sizes), np.array(states))
-    assert s.n == 60_000 and sum(map(len, s.row()[2:3])) < 6000
+    v = {"random": v, "ascending": np.sort(v), "descending": np.sort(v)[::-1], "ties": np.round(v)}[order]
+    s = sketch_of(np.array_split(v, 7), 32)
+    assert s.n == 60_000 and len(s.row()[2]) < 6000
     o = np.sort(v)
-    for q in (0.01, 0.5, 0.9, 0.99, 0.999, 1.0):
-        rank = max(1, int(np.ceil(q * 60_000)))
-        lo, est, hi = s.bounds(rank)
+    qs = (0.001, 0.01, 0.5, 0.9, 0.99, 0.999, 0.9999, 1.0)
+    ranks = [int(np.ceil(q * 60_000)) for q in qs]
+    for q, rank, (lo, est, hi) in zip(qs, ranks, s.bounds(ranks), strict=True):
+        assert lo <= o[rank - 1] <= hi
+        tail = 60_000 - rank + 1
+        off = max(0, np.searchsorted(o, est) + 1 - rank, rank - np.searchsorted(o, est, side="right"))
+        assert off <= max(0.05 * tail, 1), q
+
+
+def test_stated_error_is_relative_to_the_tail():
+    rng = np.random.default_rng(1)
+    v = rng.normal(0, 1, 5_000_000)
+    s, o = sketch_of(np.array_split(v, 256), 64), np.sort(v)
+    for q, most in ((0.5, 0.05), (0.99, 0.05), (0.999, 0.03), (0.9999, 0.05)):
+        rank = int(np.ceil(q * len(v)))
+        ((lo, _, hi),) = s.bounds([rank])
         assert lo <= o[rank - 1] <= hi
-        off = abs(np.searchsorted(o, est) + 1 - rank)
-        assert off <= max(0.1 * (60_000 - rank + 1), 1) + 60_000 * 0.02 * (q < 0.9)
+        assert np.searchsorted(o, hi) - np.searchsorted(o, lo) <= most * (len(v) - rank + 1)
+    assert len(s.row()[2]) < 20_000 and len(s.up.at) + len(s.down.at) <= 4 * quantiles.MOST_STEPS
+
+
+def test_low_tail(spark):
+    df = spark.range(50_000).select(F.lit(1).alias("k"), (F.col("id") % 49_999).cast("double").alias("z"))
+    got = {r.q: r for r in quantiles.percentiles(quantiles.sketches(df, ["k"], "z", k=16, protect="low"), ["k"], (0.0, 0.001, 0.5), k=16, protect="low").collect()}
+    assert got[0.0].lower == 0 and got[0.0].upper <= 1 and got[0.001].lower <= 48 <= got[0.001].upper <= 60
 
 
 def test_medians_above(spark):
@@ -110,7 +140,7 @@ def test_medians_above(spark):
     for k in range(40):
         n = int(rng.integers(5, 40))
         rows += [(k, round(float(x), 3)) for x in rng.normal(12 + rng.normal(0, 1), 0.5, n)]
-    rows += [(100, round(float(x), 3)) for x in rng.normal(12.0005, 3, 9000)] + [(101, 12.0)] * 2000 + [(102, 11.0), (102, 13.0)] * 900 + [(103, 11.0), (103, 13.002)] * 900
+    rows += [(100, round(float(x), 3)) for x in rng.normal(12.0005, 3, 100_000)] + [(105, round(float(x), 3)) for x in rng.normal(12.5, 0.3, 20_000)] + [(101, 12.0)] * 2000 + [(102, 11.0), (102, 13.0)] * 900 + [(103, 11.0), (103, 13.002)] * 900
     rows += [(104, None), (104, float("nan")), (None, 20.0)]
     df = spark.createDataFrame(rows, "k bigint, z double").withColumn("v", F.lit("clash")).withColumn("n", F.lit(0))
     by: dict = {}

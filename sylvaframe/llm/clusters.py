@@ -1,15 +1,14 @@
-"""Similar records in clusters: distributed k-means over sparse hashed features.
-
-A point's features are its weighted position within the hashed cells around it: only points
-that share a hashed block are comparable, and a point of another cloud never is. Rows of one
-fine cell are summed up to one weighted vector first, which bounds a block by its volume
-however many rows fall into it.
-
-Seeding is k-means|| in each block: rounds in which every vector not yet covered is drawn with a
-probability in proportion to its weight times squared distance, oversampled, and the farthest one
-is always drawn, until all lie within ``cover`` of a seed; the drawn ones are then reclustered.
-Lloyd steps assign every vector to the nearest centroid, copies of which reach into the blocks
-around, and move centroids by one distributed aggregation.
+"""Points that lie close together in clusters: hierarchical k-means over hashed weighted features.
+
+Rows of one fine cell are summed up to one weighted vector first. Its features are its hashed
+weighted coordinates and, far heavier, its hashed cloud. ``kmeans.fit`` divides all vectors into k
+coarse clusters, with parallel oversampled seeding over the whole table and steps until the cost
+settles. How many groups lie close together grows with the table, so each coarse cluster is then
+divided further: within its blocks of 8 m (bounded by volume, however many rows fall into them)
+vectors not yet covered are drawn in oversampled rounds, by weight times squared distance, the
+farthest one always, until all lie within ``cover`` of a seed; the drawn ones are reclustered.
+A Lloyd step assigns every vector to the nearest centroid, copies of which reach into the blocks
+around, and moves centroids by one distributed aggregation.
 
 Tight groups. Let G have diameter <= d and no outside point within s of a member. A vector of G
 lies in conv(G), which is within 0.62 d of some member (Jung), so vectors outside of G stay
@@ -29,12 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sylvaframe.llm import kmeans as KM
 from sylvaframe.operators.near import pairs_within
 from sylvaframe.schema import require, valid_points
 from sylvaframe.session import cut, default_parallelism
 
 FINE = 0.1
 BLOCK_EDGE = 8.0
+#: features of a vector: metres, and the cloud so heavy that clouds never share a coarse cluster's middle
+NUMBERS, CLOUD_WEIGHT = {"x": 1.0, "y": 1.0, "z": 1.0}, 10_000.0
+COARSE = 128
 VECTOR = "g bigint, mx bigint, my bigint, mz bigint, id bigint, w bigint, x double, y double, z double"
 
 
@@ -47,6 +50,15 @@ def _bucketed(df: DataFrame, n: int) -> DataFrame:
     return df.withColumn("bucket", F.pmod(F.xxhash64("g", "bx", "by", "bz"), F.lit(n)).cast("int"))
 
 
+def coarse_model(vecs: DataFrame, k: int = COARSE) -> KM.Model | None:
+    """k-means of all vectors over their hashed features."""
+    return KM.fit(with_features(vecs).select("id", "w", "features"), k)
+
+
+def with_features(vecs: DataFrame) -> DataFrame:
+    return vecs.withColumn("features", KM.hashed_features(NUMBERS, {"g": CLOUD_WEIGHT}))
+
+
 def vectors(points: DataFrame) -> DataFrame:
     """One weighted vector per cloud and fine cell. points: distinct valid points."""
     at = [F.floor(F.col(c) / FINE).alias(f"m{c}") for c in "xyz"]
@@ -55,9 +67,9 @@ def vectors(points: DataFrame) -> DataFrame:
     )
 
 
-def _blocks_of(table: pa.Table) -> Iterator[np.ndarray]:
-    """Row numbers of each block of a bucket."""
-    keys = np.stack([table[c].to_numpy() for c in ("g", "bx", "by", "bz")], 1)
+def _blocks_of(table: pa.Table, *more: str) -> Iterator[np.ndarray]:
+    """Row numbers of each block of a bucket, or of each (block, more)."""
+    keys = np.stack([table[c].to_numpy() for c in ("g", "bx", "by", "bz", *more)], 1)
     if len(keys):
         order = np.lexsort(keys.T[::-1])
         change = np.flatnonzero((np.diff(keys[order], axis=0) != 0).any(1)) + 1
@@ -114,17 +126,17 @@ def seed_block(p: np.ndarray, w: np.ndarray, ids: np.ndarray, cover: float, over
 
 
 def seeds(vecs: DataFrame, cover: float) -> DataFrame:
-    """g, id, x, y, z: vectors chosen so that each vector has a seed of its block within ``cover``."""
+    """g, id, x, y, z, centre: vectors chosen so that each has a seed of its coarse cluster and block within ``cover``."""
     n = 4 * default_parallelism(vecs.sparkSession)
 
     def kernel(table: pa.Table) -> pa.Table:
         p = np.stack([table[c].to_numpy() for c in "xyz"], 1)
         w, ids = table["w"].to_numpy(), table["id"].to_numpy()
-        at = [rows[seed_block(p[rows], w[rows], ids[rows], cover)] for rows in _blocks_of(table)]
-        return table.select(["g", "id", "x", "y", "z"]).take(pa.array(np.concatenate(at) if at else np.empty(0, np.int64)))
+        at = [rows[seed_block(p[rows], w[rows], ids[rows], cover)] for rows in _blocks_of(table, "centre")]
+        return table.select(["g", "id", "x", "y", "z", "centre"]).take(pa.array(np.concatenate(at) if at else np.empty(0, np.int64)))
 
-    rows = _bucketed(vecs.select("g", "id", "w", "x", "y", "z", *_block(BLOCK_EDGE)), n)
-    return rows.groupBy("bucket").applyInArrow(kernel, "g bigint, id bigint, x double, y double, z double")
+    rows = _bucketed(vecs.select("g", "id", "w", "x", "y", "z", "centre", *_block(BLOCK_EDGE)), n)
+    return rows.groupBy("bucket").applyInArrow(kernel, "g bigint, id bigint, x double, y double, z double, centre bigint")
 
 
 def assign(vecs: DataFrame, centroids: DataFrame, reach: float) -> DataFrame:
@@ -154,15 +166,21 @@ def assign(vecs: DataFrame, centroids: DataFrame, reach: float) -> DataFrame:
     return _bucketed(both, n).groupBy("bucket").applyInArrow(kernel, VECTOR + ", cluster bigint")
 
 
-def kmeans(points: DataFrame, cover: float = 0.4, steps: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(points with ``cluster`` and ``d2`` to its centroid, centroids).
+def fine_clusters(points: DataFrame, cover: float = 0.4, steps: int = 1, k: int = COARSE) -> tuple[DataFrame, DataFrame]:
+    """(points with ``cluster`` and ``d2`` to its centroid, clusters with the ``parent`` they were divided from).
 
     points: distinct valid points with cloud_id, point_id, x, y, z and more columns that are
-    kept. ``cluster`` is the point_id behind its seed. Each step is one shuffle of the vectors.
+    kept. ``cluster`` is the point_id behind its seed, ``parent`` the number of a coarse cluster.
     """
     vecs = cut(vectors(points))
-    centres = cut(seeds(vecs, cover))
-    reach = cover
+    model = coarse_model(vecs, k)
+    if model is None:
+        none = points.where("false").select("*", F.lit(0).cast("bigint").alias("g"), F.lit(0).cast("bigint").alias("cluster"), F.lit(0.0).alias("d2"))
+        return none, none.select("cluster", F.lit(0).cast("bigint").alias("parent"))
+    own = with_features(vecs)
+    coarse = KM.assign(own, model, *vecs.columns).drop("d2")
+    first = cut(seeds(coarse, cover))
+    centres, reach = first.drop("centre"), cover
     for _ in range(steps):
         moved = assign(vecs, centres, reach).groupBy("g", F.col("cluster").alias("id")).agg(*[(F.sum(F.col(c) * F.col("w")) / F.sum("w")).alias(c) for c in "xyz"])
         centres, reach = cut(moved), 2 * cover
@@ -172,7 +190,7 @@ def kmeans(points: DataFrame, cover: float = 0.4, steps: int = 1) -> tuple[DataF
     rows = points.select("*", F.xxhash64("cloud_id").alias("g"), *at).join(labels, ["g", "mx", "my", "mz"]).drop("mx", "my", "mz")
     rows = rows.join(named, (F.col("g") == F.col("cg")) & (rows["cluster"] == named["cluster"])).drop(named["cluster"]).drop("cg")
     d2 = sum((F.col(c) - F.col(f"c{c}")) * (F.col(c) - F.col(f"c{c}")) for c in "xyz")
-    return rows.withColumn("d2", d2).drop("cx", "cy", "cz"), centres
+    return rows.withColumn("d2", d2).drop("cx", "cy", "cz"), first.select(F.col("id").alias("cluster"), F.col("centre").alias("parent"))
 
 
 def trunk_points(points: DataFrame) -> DataFrame:
@@ -236,7 +254,7 @@ def tight_groups(points: DataFrame, diameter: float = 1.5, separation: float = 2
     """
     if 0.62 * diameter + 0.18 + 3 * cover >= separation:
         raise ValueError("the separation must exceed 0.62 * diameter + 0.18 + 3 * cover")
-    labelled = cut(kmeans(trunk_points(points), cover)[0])
+    labelled = cut(fine_clusters(trunk_points(points), cover)[0])
     clusters = cut(describe(labelled, typical=1).drop("labels", "centre_x", "centre_y", "centre_z"))
     reps = clusters.select("cloud_id", "cluster", F.col("rep.x").alias("x"), F.col("rep.y").alias("y"), F.col("rep.z").alias("z"))
     near = pairs_within(reps, separation, id_col="cluster")

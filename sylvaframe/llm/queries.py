@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvaframe.llm.clusters import describe, kmeans, tight_groups, trunk_points
+from sylvaframe.llm.clusters import coarse_model, describe, fine_clusters, tight_groups, trunk_points, vectors
 from sylvaframe.llm.encoding import encode_corpus, token_counts
 from sylvaframe.llm.packing import container_table, pack
 from sylvaframe.llm.quantiles import medians_above, merge_sketches, percentiles, sketches
 from sylvaframe.llm.reading import reading_levels
 from sylvaframe.llm.splitting import found_strips, piece_table, split_oversized
 from sylvaframe.schema import load, valid_points
+from sylvaframe.session import cut
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,8 +30,15 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = describe(kmeans(trunk_points(load(spark, sf_dir, "point_cloud")))[0])
-    return d.select("cloud_id", "cluster", "size", *[F.round(f"centre_{c}", 3).alias(f"centre_{c}") for c in "xyz"], F.to_json("typical").alias("typical"), F.to_json("labels").alias("labels"))
+    labelled, divided = fine_clusters(trunk_points(load(spark, sf_dir, "point_cloud")))
+    d = describe(cut(labelled)).join(divided, "cluster")
+    return d.select("parent", "cloud_id", "cluster", "size", *[F.round(f"centre_{c}", 3).alias(f"centre_{c}") for c in "xyz"], F.to_json("typical").alias("typical"), F.to_json("labels").alias("labels"))
+
+
+def p3_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cost of the coarse clusters after the seeding (step 0) and after each step."""
+    model = coarse_model(cut(vectors(trunk_points(load(spark, sf_dir, "point_cloud")))))
+    return spark.createDataFrame([(i, float(c)) for i, c in enumerate(model.costs if model else [])], "step int, cost double")
 
 
 def _instance_z(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
@@ -81,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_pieces": p1_pieces,
     "p3_found": p3_found,
     "p3_clusters": p3_clusters,
+    "p3_costs": p3_costs,
     "p7_found": p7_found,
     "p7_percentiles": p7_percentiles,
     "p8_ids": p8_ids,

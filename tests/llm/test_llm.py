@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sylvaframe.llm import clusters, lexicon, quantiles, reading
+from sylvaframe.llm import clusters, kmeans, lexicon, quantiles, reading
 from sylvaframe.llm.encoding import DEFAULT_RANKS, Encoder, encode_corpus, token_counts
 from sylvaframe.llm.packing import container_table, pack
 from sylvaframe.llm.splitting import found_strips, split_oversized
@@ -72,8 +72,9 @@ def test_tight_groups(spark, seed):
 def test_kmeans_describes_all(spark):
     rng = np.random.default_rng(5)
     p = rng.normal(0, 3, (400, 3))
-    labelled, _ = clusters.kmeans(clusters.trunk_points(cloud(spark, p)))
-    d = clusters.describe(labelled).collect()
+    labelled, divided = clusters.fine_clusters(clusters.trunk_points(cloud(spark, p)), k=5)
+    d = clusters.describe(labelled).join(divided, "cluster").collect()
+    assert {r.parent for r in d} == set(range(5))
     assert sum(r["size"] for r in d) == 400 and all(1 <= len(r.typical) <= 3 for r in d)
     assert all(r.labels[0].label == 7 for r in d)
     assert clusters.tight_groups(cloud(spark, p).where("false")).count() == 0
@@ -81,6 +82,38 @@ def test_kmeans_describes_all(spark):
     assert clusters.tight_groups(none).count() == 0
 
 
+def test_hashed_features(spark):
+    rows = [(1.0, 2.0, "a"), (1.0, 2.0, "b"), (None, float("nan"), None), (0.0, 0.0, None)]
+    df = spark.createDataFrame(rows, "x double, y double, c string")
+    f = [r.f for r in df.select(kmeans.hashed_features({"x": 2.0, "y": 0.5}, {"c": 3.0}, 8).alias("f")).collect()]
+    assert all(len(v) == 8 for v in f) and f[2] == f[3] and sorted(map(abs, f[3]))[-2:] == [0, 3]
+    diff = np.array(f[0]) - np.array(f[1])
+    assert set(np.abs(diff[diff != 0])) <= {3.0, 6.0}
+    alone = df.limit(1).select(kmeans.hashed_features({"x": 2.0, "y": 0.5}, size=4).alias("f")).first().f
+    assert sorted(map(abs, alone)) == [0, 0, 1, 2]
+
+
+def test_kmeans_finds_separate_clusters(spark):
+    rng = np.random.default_rng(0)
+    middle = rng.uniform(0, 100, (12, 4))
+    x = np.concatenate([m + rng.normal(0, 0.2, (200 if i else 3000, 4)) for i, m in enumerate(middle)])  # one owns most
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "id bigint, a double, b double, c double, d double").repartition(6)
+    rows = df.select("id", F.lit(1.0).alias("w"), kmeans.hashed_features(dict.fromkeys("abcd", 1.0), size=4).alias("features"))
+    model = kmeans.fit(rows, 12, rounds=4, oversample=2.0)
+    assert all(b <= a * 1.000001 for a, b in zip(model.costs, model.costs[1:], strict=False)) and model.costs[-1] < 1.5 * len(x) * 4 * 0.04
+    got = kmeans.typical_members(kmeans.assign(rows, model, "id"), "id").collect()
+    assert sorted(r["size"] for r in got) == [200] * 11 + [3000]
+    for r in got:
+        own = {0 if t < 3000 else 1 + (t - 3000) // 200 for t in r.typical}
+        assert len(own) == 1 and len(r.typical) == 3
+    assert kmeans.fit(rows.where("false"), 3) is None
+    assert len(kmeans.fit(rows.where("id < 2"), 5).centres) <= 2
+    same = rows.withColumn("features", F.array(*[F.lit(1.0)] * 4))
+    assert kmeans.fit(same, 3).costs[-1] == 0.0
+    with pytest.raises(ValueError):
+        kmeans.fit(rows, 10_000_000)
+
+
 # ---- percentiles ---------------------------------------------------------------------------------
 
 

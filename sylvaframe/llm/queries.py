@@ -25,6 +25,13 @@ def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_table(split_oversized(load(spark, sf_dir, "point_cloud"), limit=1000, margin=1.0))
 
 
+def p1_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per file: its points (each in one core only), whether it was split, and pieces above the limit (none)."""
+    members = split_oversized(load(spark, sf_dir, "point_cloud"), limit=1000, margin=0.0)
+    sized = members.groupBy("file_id", "piece_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("point_id").alias("d"))
+    return sized.groupBy("file_id").agg(F.sum("n").alias("n_rows"), F.sum("d").alias("n_points"), (F.count(F.lit(1)) > 1).alias("is_split"), F.count_if(F.col("n") > 1000).alias("n_over"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tight_groups(load(spark, sf_dir, "point_cloud"))
 
@@ -35,6 +42,13 @@ def p3_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("parent", "cloud_id", "cluster", "size", *[F.round(f"centre_{c}", 3).alias(f"centre_{c}") for c in "xyz"], F.to_json("typical").alias("typical"), F.to_json("labels").alias("labels"))
 
 
+def p3_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per cloud: the points in all its clusters, and how many of them are listed by label."""
+    labelled, _ = fine_clusters(trunk_points(load(spark, sf_dir, "point_cloud")))
+    d = describe(cut(labelled)).withColumn("labelled", F.aggregate("labels", F.lit(0).cast("bigint"), lambda t, v: t + v["n"]))
+    return d.groupBy("cloud_id").agg(F.sum("size").alias("n_points"), F.sum("labelled").alias("n_labelled"))
+
+
 def p3_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cost of the coarse clusters after the seeding (step 0) and after each step."""
     model = coarse_model(cut(vectors(trunk_points(load(spark, sf_dir, "point_cloud")))))
@@ -71,6 +85,15 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return container_table(p9_assignment(spark, sf_dir))
 
 
+def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents placed, none cut that would have fitted, no container above its capacity, few of them more than needed."""
+    packed = p9_assignment(spark, sf_dir)
+    docs = packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("size"), F.count(F.lit(1)).alias("parts"))
+    placed = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.count_if((F.col("parts") > 1) & (F.col("size") <= CAPACITY)).alias("n_cut"))
+    c = container_table(packed).agg(F.count_if(F.col("fill") > CAPACITY).alias("n_over"), (F.count(F.lit(1)) <= 1.02 * F.ceil(F.sum("fill") / CAPACITY) + 1).alias("is_tight"))
+    return placed.crossJoin(c)  # one row each
+
+
 def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading_levels(load(spark, sf_dir, "documents"), load(spark, sf_dir, "reading_labels"))
 
@@ -87,14 +110,17 @@ def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
+    "p1_files": p1_files,
     "p3_found": p3_found,
     "p3_clusters": p3_clusters,
+    "p3_sizes": p3_sizes,
     "p3_costs": p3_costs,
     "p7_found": p7_found,
     "p7_percentiles": p7_percentiles,
     "p8_ids": p8_ids,
     "p9_assignment": p9_assignment,
     "p9_containers": p9_containers,
+    "p9_fill": p9_fill,
     "p10_found": p10_found,
     "p10_levels": p10_levels,
 }
@@ -121,4 +147,9 @@ SELECT around[1] AS group_id, a AS point_id FROM n WHERE around IN (SELECT aroun
     "p7_found": f"""
 WITH v AS (SELECT DISTINCT instance_id, point_id, z FROM (SELECT instance_id, point_id, x, y, z FROM point_cloud WHERE {VALID}) AS p WHERE instance_id >= 0)
 SELECT instance_id FROM v GROUP BY instance_id HAVING count(*) >= 10 AND quantile_cont(z, 0.5) > 12.0""",
+    "p1_files": f"""
+SELECT file_id, count(*) AS n_rows, count(*) AS n_points, count(*) > 1000 AS is_split, CAST(0 AS BIGINT) AS n_over
+FROM (SELECT DISTINCT file_id, point_id FROM point_cloud WHERE {VALID} AND file_id IS NOT NULL) AS v GROUP BY file_id""",
+    "p3_sizes": f"SELECT cloud_id, count(DISTINCT point_id) AS n_points, count(DISTINCT point_id) AS n_labelled FROM point_cloud WHERE {VALID} AND cls = 1 AND cloud_id IS NOT NULL GROUP BY cloud_id",
+    "p9_fill": "SELECT count(*) AS n_docs, CAST(0 AS BIGINT) AS n_cut, CAST(0 AS BIGINT) AS n_over, true AS is_tight FROM documents",
 }

@@ -40,6 +40,31 @@ def test_pieces(spark):
         split_oversized(df, limit=0)
 
 
+def pieces(spark, p, limit, file="f"):
+    got = split_oversized(cloud(spark, p, file), limit=limit, margin=0.0).toPandas()
+    assert sorted(got.point_id) == list(range(len(p))) and got.groupby("piece_id").size().max() <= limit
+    return got.set_index("point_id").piece_id
+
+
+def test_tiles_leave_no_cuts(spark):
+    """A patch across a tile's edge is one piece; a strip beside the edge is cut rather than the edge."""
+    rng = np.random.default_rng(6)
+    far = [[0.0, 0, 0], [2000.0, 0, 0]]
+    patch = np.c_[rng.uniform(374, 394, 200), rng.uniform(0, 20, 200), np.zeros(200)]
+    rest = np.c_[rng.uniform(600, 700, 900), rng.uniform(0, 20, 900), np.zeros(900)]
+    got = pieces(spark, np.r_[far, patch, rest], 1000)
+    assert got.loc[range(2, 202)].nunique() == 1
+    left, right = np.c_[rng.uniform(300, 360, 300), rng.uniform(0, 20, 300), np.zeros(300)], np.c_[rng.uniform(370, 398, 900), rng.uniform(0, 20, 900), np.zeros(900)]
+    got = pieces(spark, np.r_[far, left, right], 1000)
+    assert got.loc[range(302, 1202)].nunique() == 1 and got.loc[range(2, 302)].nunique() == 1 and got[2] != got[302]
+
+
+def test_a_place_that_most_points_share(spark):
+    rng = np.random.default_rng(8)
+    p = np.r_[np.tile([[5.0, 5.0, 0.0]], (2500, 1)), np.c_[5 + rng.uniform(0, 0.3, 400), 5 + rng.uniform(0, 0.3, 400), np.zeros(400)]]
+    assert pieces(spark, p, 100).nunique() <= 2 * len(p) / 100
+
+
 def test_strips(spark):
     p = [(0, 0, 0)] * 3 + [(3.0, 0, 0), (6.001, 0, 0), (6.001, 9.0, 0), (float("nan"), 4, 0)]
     assert sorted(tuple(r) for r in found_strips(cloud(spark, p), limit=5).collect()) == [("f", "x", 3, 4), ("f", "y", 0, 5)]

@@ -11,7 +11,7 @@ from sylvaframe.llm.clusters import coarse_model, describe, fine_clusters, tight
 from sylvaframe.llm.encoding import encode_corpus, token_counts
 from sylvaframe.llm.packing import container_table, pack
 from sylvaframe.llm.quantiles import medians_above, merge_sketches, percentiles, sketches
-from sylvaframe.llm.reading import reading_levels
+from sylvaframe.llm.reading import calibration, demanding, reading_levels
 from sylvaframe.llm.splitting import found_strips, piece_table, split_oversized
 from sylvaframe.schema import load, valid_points
 from sylvaframe.session import cut
@@ -99,8 +99,11 @@ def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _levels(spark, sf_dir).where((F.col("n_sentences") >= 3) & (F.col("n_words") > 20 * F.col("n_sentences")) & (F.col("n_letters") > 6 * F.col("n_words")))
-    return found.select("doc_id").distinct()
+    return demanding(load(spark, sf_dir, "documents"), load(spark, sf_dir, "reading_labels"))
+
+
+def p10_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calibration(load(spark, sf_dir, "documents"), load(spark, sf_dir, "reading_labels"))
 
 
 def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p9_fill": p9_fill,
     "p10_found": p10_found,
     "p10_levels": p10_levels,
+    "p10_calibration": p10_calibration,
 }
 
 VALID = "x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL AND isfinite(x) AND isfinite(y) AND isfinite(z) AND abs(z) <= 1000 AND point_id IS NOT NULL"

@@ -323,6 +323,25 @@ def test_ordinal_regression_holds_out():
     assert (p.argmax(1) + 1 == y[400:]).mean() > 0.6
 
 
+def test_floor_and_calibration():
+    rng = np.random.default_rng(4)
+    x = rng.gamma(2, 1, (900, 4))
+    y = np.clip(np.round(1 + x[:, 0] * 0.8 + x[:, 1] * 0.5 - x[:, 2] * 0.2 + rng.normal(0, 0.4, 900)), 1, 5).astype(int)
+    m = reading.OrdinalRegression(rising=4).fit(x[:600], y[:600])
+    p = m.calibrate(x[:600], y[:600])
+    assert (m.w >= 0).all() and abs((p @ np.arange(1, 6)).mean() - y[:600].mean()) < 0.1
+    q = m.probabilities(x[600:])
+    demand = q @ np.arange(1, 6)
+    for lo, hi in ((1, 2), (2, 3), (3, 4), (4, 5.01)):  # mean judgement of what is predicted alike
+        own = (demand >= lo) & (demand < hi)
+        assert own.sum() > 10 and abs(demand[own].mean() - y[600:][own].mean()) < 0.25
+    far = rng.gamma(2, 3, (5000, 4))  # beyond what was judged, too
+    floor = m.floor({0: 2.0, 1: 3.0})
+    case = (far[:, 0] >= 2) & (far[:, 1] >= 3)
+    score = m.scores(far)
+    assert (score[case] >= floor).all() and (score[~case] < floor).any()
+
+
 def test_reading_levels(spark):
     cell = "array<struct<cell_no:int,cell_kind:string,exec_count:int,char_from:int,char_count:int>>"
     easy, hard = "The cat sat. The dog ran. We saw it.", "Notwithstanding considerable methodological heterogeneity, investigators demonstrated reproducibility, although, because instrumentation deteriorated, quantification remained problematic throughout."
@@ -333,4 +352,7 @@ def test_reading_levels(spark):
     assert len(got) == 16 and got[10].level == 1 and got[11].level == 5
     assert all(got[i].level is None and got[i].n_words == 0 for i in (50, 51, 52, 53))
     assert reading.reading_levels(docs, labels.where("false")).where("level is not null").count() == 0
+    found = sorted(r.doc_id for r in reading.demanding(docs, labels, words=10, sentences=1).collect())
+    assert found == [1, 3, 5, 7, 9, 11] == sorted(r.doc_id for r in reading.demanding(docs, labels.where("false"), words=10, sentences=1).collect())
+    assert sum(r.n for r in reading.calibration(docs, labels).collect()) == 8 and reading.calibration(docs, labels.where("false")).count() == 0
     assert reading.reading_levels(docs.where("false"), labels).count() == 0

@@ -62,6 +62,16 @@ def prose(text: str, cells: list[tuple[str | None, int | None, int | None]]) ->
     return "\n".join(out)
 
 
+#: documents whose texts are Python strings at the same time
+STRETCH = 256
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(0, b.num_rows, STRETCH):
+            yield b.slice(i, STRETCH)
+
+
 def _proses(b: pa.RecordBatch) -> list[str]:
     """Prose of each row of (.., text, cells)."""
     texts, cells = b.column("text").to_pylist(), b.column("cells")
@@ -112,7 +122,7 @@ def word_table(documents: DataFrame) -> np.ndarray:
 
         total = np.zeros(BUCKETS, np.int64)
         place: dict[str, int] = {}
-        for b in batches:
+        for b in _stretches(batches):
             seen: Counter = Counter()
             for p in _proses(b):
                 seen.update(WORD.findall(p.lower()))
@@ -146,7 +156,7 @@ def prose_features(documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = shared.value
         known: dict[str, tuple] = {}
-        for b in batches:
+        for b in _stretches(batches):
             proses = _proses(b)
             counts = count_prose(proses)
             out = np.zeros((len(proses), len(FEATURES)))

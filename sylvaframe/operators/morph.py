@@ -1,6 +1,7 @@
-"""Raster and growth kernels on one canopy raster or one tree neighbourhood, in plain numpy.
+"""Raster and growth kernels on a window of a canopy raster or one tree neighbourhood, in plain numpy.
 
-Rasters come from an aggregation, so a kernel's input is bounded by area, not by points.
+Rasters come from an aggregation and kernels see tiles with a halo, so a task is bounded by a
+window's area, however many points or cells a cloud has.
 """
 
 from __future__ import annotations
@@ -10,8 +11,13 @@ import heapq
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sylvaframe.operators.cluster import single_linkage
+from sylvaframe.operators.nearest import mean_neighbour_distance, nearest_lists
+from sylvaframe.operators.tiles import agreed, by_tiles, own_cells
+from sylvaframe.session import cut, default_parallelism
 
 def gaussian_smooth(h: np.ndarray, sigma: float) -> np.ndarray:
     """Normalised smoothing of the occupied cells (h > 0); the others stay 0."""
@@ -57,17 +63,21 @@ def erode(mask: np.ndarray, footprint: np.ndarray) -> np.ndarray:
 
 
 def crown_tops(h: np.ndarray, n: np.ndarray, cell: float, min_distance: float, min_height: float, min_points: int, sigma: float | None = 1.0) -> np.ndarray:
-    """Cells (ix, iy) of local maxima above ``min_height``, at least ``min_distance`` apart, highest first."""
+    """Cells (ix, iy) of local maxima above ``min_height``, highest first.
+
+    A maximum is the highest of a disk of half the distance; of two less than ``min_distance``
+    apart (in whole cells, along the wider axis) the higher one stays.
+    """
     if sigma:
         h = gaussian_smooth(h, sigma)
     h = np.where(n < min_points, 0.0, h)
-    r = max(1, int(np.floor(min_distance / cell)))
-    top = (h == dilate(h, disk(r))) & (h > min_height) & (h > 0)
+    apart = int(min_distance / cell)
+    top = (h == dilate(h, disk(int(min_distance / cell * 0.5)))) & (h > min_height) & (h > 0)
     at = np.argwhere(top)
     at = at[np.lexsort((at[:, 1], at[:, 0], -h[at[:, 0], at[:, 1]]))]
     kept: list[np.ndarray] = []
     for p in at:
-        if all(np.hypot(*(p - q)) * cell >= min_distance for q in kept):
+        if not kept or np.abs(np.array(kept) - p).max(1).min() >= apart:
             kept.append(p)
     return np.array(kept, int).reshape(-1, 2)
 
@@ -147,11 +157,12 @@ def signed_distance(region: np.ndarray) -> np.ndarray:
     return out
 
 
-def priority_grow(near: np.ndarray, d2: np.ndarray, labels: np.ndarray, seed: np.ndarray, radius: float, outside: dict[int, np.ndarray], factor: float) -> np.ndarray:
+def priority_grow(first: np.ndarray, near: np.ndarray, d2: np.ndarray, labels: np.ndarray, seed: np.ndarray, radius: float, crown: np.ndarray, crown_of: dict[int, int], factor: float) -> np.ndarray:
     """Labels spread along the cheapest single edge first (not the shortest path).
 
-    near, d2: neighbours of each point. An edge into a cell outside of the tree's crown
-    (``outside[label]``) costs factor^2 times its squared length. Edges above radius^2 count not.
+    near, d2: neighbours of point i at first[i]:first[i + 1]. crown: whose crown each point lies
+    in; an edge into a cell outside of the tree's own crown (``crown_of[label]``) costs factor^2
+    times its squared length. Edges above radius^2 count not.
     """
     labels = labels.copy()
     done = labels >= 0
@@ -161,9 +172,10 @@ def priority_grow(near: np.ndarray, d2: np.ndarray, labels: np.ndarray, seed: np
     def push(i: int) -> None:
         nonlocal count
         own = int(labels[i])
-        for j, d in zip(near[i].tolist(), d2[i].tolist(), strict=True):
+        inside = crown_of.get(own, own)
+        for j, d in zip(near[first[i] : first[i + 1]].tolist(), d2[first[i] : first[i + 1]].tolist(), strict=True):
             if j >= 0 and not done[j] and d <= radius * radius:
-                heapq.heappush(heap, (d * (factor * factor if outside[own][j] else 1.0), count, j, own))
+                heapq.heappush(heap, (d if crown[j] == inside else d * factor * factor, count, j, own))
                 count += 1
 
     for i in np.flatnonzero(seed):
@@ -176,73 +188,197 @@ def priority_grow(near: np.ndarray, d2: np.ndarray, labels: np.ndarray, seed: np
     return labels
 
 
-def dense(pdf: pd.DataFrame, column: str, fill: float = 0.0) -> np.ndarray:
-    """Rows (ix, iy, column) of one raster as an array from (0, 0) on."""
-    out = np.full((int(pdf["ix"].max()) + 1, int(pdf["iy"].max()) + 1), fill)
-    out[pdf["ix"].astype(int), pdf["iy"].astype(int)] = pdf[column]
+def dense(pdf: pd.DataFrame, column: str, fill: float = 0.0, corner: tuple[int, int] = (0, 0)) -> np.ndarray:
+    """Rows (ix, iy, column) of one window as an array from ``corner`` on."""
+    ix, iy = pdf["ix"].to_numpy(int) - corner[0], pdf["iy"].to_numpy(int) - corner[1]
+    out = np.full((ix.max() + 1, iy.max() + 1), fill)
+    out[ix, iy] = pdf[column]
     return out
 
 
-def find_crown_tops(chm: DataFrame, cell: float, *, min_distance: float = 2.0, min_height: float = 2.5, min_points: int = 1, sigma: float | None = 1.0) -> DataFrame:
-    """cloud_id, top_no, ix, iy, h of each cloud's canopy raster (cloud_id, ix, iy, h, n)."""
+def _corner(pdf: pd.DataFrame) -> tuple[int, int]:
+    return int(pdf["ix"].min()), int(pdf["iy"].min())
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        h = dense(pdf, "h")
-        at = crown_tops(h, dense(pdf, "n"), cell, min_distance, min_height, min_points, sigma)
-        return pd.DataFrame({"cloud_id": key[0], "top_no": np.arange(len(at)), "ix": at[:, 0], "iy": at[:, 1], "h": h[at[:, 0], at[:, 1]]})
 
-    return chm.groupBy("cloud_id").applyInPandas(run, "cloud_id string, top_no bigint, ix bigint, iy bigint, h double")
+def find_crown_tops(chm: DataFrame, cell: float, *, min_distance: float = 2.0, min_height: float = 2.5, min_points: int = 1, sigma: float | None = 1.0, tile: int = 256) -> DataFrame:
+    """cloud_id, top_no, ix, iy, h of the canopy rasters (cloud_id, ix, iy, h, n).
+
+    Tiles see a halo of four times the distance besides the smoothing's reach, so whether a
+    lower top gives way is decided by the same neighbours on both sides of a tile's edge.
+    """
+    halo = int(4 * min_distance / cell) + int(4 * (sigma or 0) + 0.5) + 1
+    schema = "cloud_id string, ix bigint, iy bigint, h double"
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = _corner(pdf)
+        h = dense(pdf, "h", corner=at)
+        top = crown_tops(h, dense(pdf, "n", corner=at), cell, min_distance, min_height, min_points, sigma)
+        out = pd.DataFrame({"cloud_id": pdf["cloud_id"].iloc[0], "ix": top[:, 0] + at[0], "iy": top[:, 1] + at[1], "h": h[top[:, 0], top[:, 1]], "tx": pdf["tx"].iloc[0], "ty": pdf["ty"].iloc[0]})
+        return out[own_cells(out, tile)].drop(columns=["tx", "ty"])
 
-def segment_canopy(chm: DataFrame, positions: DataFrame, *, correct: bool = True) -> DataFrame:
+    found = by_tiles(chm.select("cloud_id", "ix", "iy", "h", "n"), run, schema, halo=halo, tile=tile)
+    number = F.row_number().over(W.partitionBy("cloud_id").orderBy(F.desc("h"), "ix", "iy")) - 1
+    return found.select("cloud_id", number.cast("bigint").alias("top_no"), "ix", "iy", "h")
+
+
+def segment_canopy(chm: DataFrame, positions: DataFrame, *, correct: bool = True, halo: int = 64, tile: int = 256) -> DataFrame:
     """cloud_id, ix, iy, label_border, label: watersheds of the canopy from tree positions.
 
-    positions: cloud_id, tree_no (0, 1, ..), ix, iy. Label = tree_no + 1; 0 is background.
+    positions: cloud_id, tree_no (0, 1, ..), ix, iy; of two in one cell the larger number holds.
+    Label = tree_no + 1; 0 is background. Tiles are flooded with a halo that widens until the
+    labels on both sides of each tile's edge agree.
     """
-    both = chm.select("cloud_id", "ix", "iy", "h", F.lit(None).cast("bigint").alias("tree_no")).unionByName(positions.select("cloud_id", "ix", "iy", F.lit(None).cast("double").alias("h"), F.col("tree_no").cast("bigint").alias("tree_no")))
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[(pdf["ix"] >= 0) & (pdf["iy"] >= 0)]
-        raster, trees = pdf[pdf["tree_no"].isna()], pdf[pdf["tree_no"].notna()].sort_values("tree_no", ascending=False)
-        if not len(raster):
-            return pd.DataFrame(columns=["cloud_id", "ix", "iy", "label_border", "label"])
-        h = dense(raster, "h")
-        markers = np.zeros(h.shape, np.int64)
-        trees = trees[(trees["ix"] < h.shape[0]) & (trees["iy"] < h.shape[1])]
-        markers[trees["ix"].astype(int), trees["iy"].astype(int)] = trees["tree_no"].astype(int) + 1
+    trees = positions.groupBy("cloud_id", "ix", "iy").agg(F.max(F.col("tree_no").cast("bigint")).alias("tree_no"))
+    rows = chm.where("h > 0").select("cloud_id", "ix", "iy", "h").join(trees, ["cloud_id", "ix", "iy"], "left")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["ix", "iy"])
+        at = _corner(pdf)
+        h = dense(pdf, "h", corner=at)
+        markers = dense(pdf.assign(m=pdf["tree_no"].fillna(-1) + 1), "m", corner=at).astype(np.int64)
         mask = h > 0
         label, filled = watershed(-h, markers, mask)
         if correct:
-            label, filled = correct_watershed(label, filled, np.where(mask, markers, 0), mask)
-        at = np.argwhere(mask)
-        return pd.DataFrame({"cloud_id": key[0], "ix": at[:, 0], "iy": at[:, 1], "label_border": label[mask], "label": filled[mask]})
+            label, filled = correct_watershed(label, filled, markers, mask)
+        cells = np.argwhere(mask)
+        return pd.DataFrame({"ix": cells[:, 0] + at[0], "iy": cells[:, 1] + at[1], "label_border": label[mask], "label": filled[mask]})
+
+    return agreed(rows, run, {"label_border": "bigint", "label": "bigint"}, halo=halo, tile=tile)
+
+
+def signed_distances(labels: DataFrame, margin: int = 2) -> DataFrame:
+    """cloud_id, tree_no, ix, iy, sd (in cells) of each labelled region's box and ``margin`` cells around.
+
+    Negative inside of the region. Beyond the box nothing of the tree can be reached by a growth
+    of ``margin`` cells, so no tree meets the whole cloud's cells. Many trees share a task.
+    """
+    n = 4 * default_parallelism(labels.sparkSession)
+    rows = labels.where("label > 0").select("cloud_id", "label", "ix", "iy")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        for (cloud, label), own in pdf.groupby(["cloud_id", "label"]):
+            x0, y0 = own["ix"].min() - margin - 1, own["iy"].min() - margin - 1
+            region = np.zeros((own["ix"].max() - x0 + margin + 2, own["iy"].max() - y0 + margin + 2), bool)
+            region[own["ix"] - x0, own["iy"] - y0] = True
+            sd = signed_distance(region)[1:-1, 1:-1]
+            i, j = np.indices(sd.shape)
+            parts.append(pd.DataFrame({"cloud_id": cloud, "tree_no": label - 1, "ix": i.ravel() + x0 + 1, "iy": j.ravel() + y0 + 1, "sd": sd.ravel()}))
+        return pd.concat(parts)
+
+    return rows.groupBy(F.pmod(F.xxhash64("cloud_id", "label"), F.lit(n))).applyInPandas(run, "cloud_id string, tree_no bigint, ix bigint, iy bigint, sd double")
+
 
-    return both.groupBy("cloud_id").applyInPandas(run, "cloud_id string, ix bigint, iy bigint, label_border bigint, label bigint")
+# ---- refinement of overlapping crowns --------------------------------------------------------------
 
+AROUND = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]
 
-def signed_distances(labels: DataFrame) -> DataFrame:
-    """cloud_id, tree_no, ix, iy, sd: of each labelled region, over its cloud's labelled cells."""
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        grid = dense(pdf, "label").astype(int)
-        at = np.argwhere(grid > 0)
-        parts = [pd.DataFrame({"cloud_id": key[0], "tree_no": k - 1, "ix": at[:, 0], "iy": at[:, 1], "sd": signed_distance(grid == k)[at[:, 0], at[:, 1]]}) for k in np.unique(grid[grid > 0])]
-        return pd.concat(parts) if parts else pd.DataFrame(columns=["cloud_id", "tree_no", "ix", "iy", "sd"])
+def _neighbours(cells: DataFrame, steps: list[tuple[int, int]], *values: str) -> DataFrame:
+    """Each cell's values at the places of its neighbours: cloud_id, ix, iy, values."""
+    step = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in steps])).alias("s")
+    return cells.select("cloud_id", "ix", "iy", *values, step).select("cloud_id", (F.col("ix") + F.col("s.i")).alias("ix"), (F.col("iy") + F.col("s.j")).alias("iy"), *values)
 
-    return labels.groupBy("cloud_id").applyInPandas(run, "cloud_id string, tree_no bigint, ix bigint, iy bigint, sd double")
+
+def eroding_trees(labels: DataFrame) -> DataFrame:
+    """cloud_id, tree_no of the regions that lose cells to their neighbours by an erosion with disk(1).
+
+    Border lines count below the background and that below trees, as ranked labels; a cell next to
+    the background doesn't erode. labels: cloud_id, ix, iy, label_border, one row per canopy cell.
+    """
+    rank = F.when(F.col("label_border") == 0, 0).otherwise(F.col("label_border") + 1)
+    cells = labels.select("cloud_id", "ix", "iy", rank.alias("rank"))
+    size = cells.groupBy(F.col("cloud_id").alias("g")).agg(F.max("ix").alias("mx"), F.max("iy").alias("my"))
+    near = _neighbours(cells, [(-1, 0), (1, 0), (0, -1), (0, 1)], "rank").groupBy("cloud_id", "ix", "iy").agg(F.min("rank").alias("least"), F.count(F.lit(1)).alias("n"))
+    rows = cells.where("rank > 0").join(near, ["cloud_id", "ix", "iy"]).join(size, F.col("cloud_id") == F.col("g"))
+    edges = [(F.col(c) > 0).cast("int") + (F.col(c) < F.col(f"m{c[1]}")).cast("int") for c in ("ix", "iy")]
+    least = F.when(F.col("n") < edges[0] + edges[1], F.least("least", F.lit(1))).otherwise(F.col("least"))
+    return rows.where((least < F.col("rank")) & (least != 1)).select("cloud_id", (F.col("rank") - 2).alias("tree_no")).distinct()
+
+
+def adjacent_trees(labels: DataFrame) -> DataFrame:
+    """cloud_id, a, b: tree numbers of regions that touch (8 directions), both ways round."""
+    cells = labels.where("label > 0").select("cloud_id", "ix", "iy", F.col("label").alias("b"))
+    met = _neighbours(cells, AROUND, "b").join(cells.withColumnRenamed("b", "a"), ["cloud_id", "ix", "iy"]).where("a <> b")
+    return met.select("cloud_id", (F.col("a") - 1).alias("a"), (F.col("b") - 1).alias("b")).distinct()
+
+
+def overlapping_crowns(points: DataFrame, labels: DataFrame, max_spacing: float = 0.08, *, crown: int = 2, trunks: tuple[int, ...] = (1, 3)) -> DataFrame:
+    """points with ``is_seed``; crown points of the trees to refine have lost their instance_id (-1).
+
+    points: cloud_id, point_id, x, y, z, cls, instance_id (the tree's number). A tree is refined if
+    an erosion takes cells of it, it has trunk points, its points' mean distance to their nearest
+    others is at most ``max_spacing``, and a tree that touches it is such a tree, too.
+    """
+    spacing = mean_neighbour_distance(points.select("cloud_id", "point_id", "x", "y", "z"), 1)
+    is_trunk = F.coalesce(F.col("cls").isin(*trunks), F.lit(False))
+    trees = points.where("instance_id >= 0").join(spacing, "point_id", "left").groupBy("cloud_id", F.col("instance_id").alias("tree_no"))
+    trees = trees.agg(F.avg("mean_distance").alias("spacing"), F.count_if(is_trunk).alias("n")).where((F.col("n") > 0) & (F.col("spacing") <= max_spacing))
+    good = cut(trees.select("cloud_id", "tree_no").join(eroding_trees(labels), ["cloud_id", "tree_no"], "left_semi"))
+    pairs = adjacent_trees(labels).join(good.withColumnRenamed("tree_no", "b"), ["cloud_id", "b"], "left_semi")
+    refined = good.join(pairs.select("cloud_id", F.col("a").alias("tree_no")).distinct(), ["cloud_id", "tree_no"], "left_semi").select(F.col("cloud_id").alias("__g"), F.col("tree_no").alias("__t"), F.lit(True).alias("__refine"))
+    rows = points.drop("is_seed").join(refined, (F.col("cloud_id") == F.col("__g")) & (F.col("instance_id") == F.col("__t")), "left")
+    refine = F.coalesce("__refine", F.lit(False))
+    is_crown = F.coalesce(F.col("cls") == crown, F.lit(False))
+    rows = rows.withColumn("is_seed", refine & is_trunk).withColumn("instance_id", F.when(refine & is_crown, F.lit(-1).cast("bigint")).otherwise(F.col("instance_id")))
+    return rows.drop("__g", "__t", "__refine")
+
+
+def grow_crowns(points: DataFrame, labels: DataFrame, positions: DataFrame, *, k: int = 27, radius: float = 1.0, factor: float = 2.0, z_scale: float = 0.5) -> DataFrame:
+    """cloud_id, point_id, instance_id of the seeds and of the points without an instance, grown from the seeds.
+
+    points: cloud_id, point_id, x, y, z, instance_id, is_seed and the raster cell ix, iy. labels:
+    cloud_id, ix, iy, label. positions: cloud_id, tree_no, ix, iy; a tree's crown is the region of
+    its position. The growth is sequential, but no further than points are linked by steps of
+    ``radius``, so each linked set is grown by itself; what no seed reaches stays -1.
+    """
+    n = 4 * default_parallelism(points.sparkSession)
+    crown = labels.where("label > 0").select("cloud_id", "ix", "iy", (F.col("label") - 1).alias("crown"))
+    rows = points.where(F.col("is_seed") | (F.coalesce("instance_id", F.lit(-1)) < 0)).join(crown, ["cloud_id", "ix", "iy"], "left")
+    rows = cut(rows.select("cloud_id", "point_id", "x", "y", (F.col("z") * z_scale).alias("z"), F.when(F.col("is_seed"), F.col("instance_id")).otherwise(-1).cast("bigint").alias("instance_id"), F.coalesce("crown", F.lit(-1)).cast("bigint").alias("crown")))
+    own = positions.join(crown, ["cloud_id", "ix", "iy"]).select(F.col("cloud_id").alias("g"), F.col("tree_no").cast("bigint").alias("t"), F.col("crown").alias("own_crown"))
+    linked = single_linkage(rows, radius)
+    near = nearest_lists(rows, None, max(1, k - 1), dims=("x", "y", "z"), query_id="point_id", exclude_self=True, radius=radius)
+    rows = rows.join(own, (F.col("cloud_id") == F.col("g")) & (F.col("instance_id") == F.col("t")), "left").drop("g", "t")
+    rows = rows.join(linked, "point_id").join(near.withColumnRenamed("query_id", "point_id"), "point_id")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        for _, own in pdf.groupby("cluster"):
+            own = own.sort_values("point_id")
+            ids, label = own["point_id"].to_numpy(), own["instance_id"].to_numpy()
+            seed = label >= 0
+            if seed.any() and not seed.all():
+                first = np.r_[0, np.cumsum([len(v) for v in own["ids"]])]
+                hits, d2 = np.concatenate(own["ids"].to_list()), np.concatenate(own["d2s"].to_list())
+                at = np.minimum(np.searchsorted(ids, hits), len(ids) - 1)
+                at = np.where(ids[at] == hits, at, -1) if len(at) else at.astype(int)
+                crowns = {int(t): int(c) for t, c in zip(label[seed], own["own_crown"].to_numpy()[seed], strict=True) if c == c}
+                label = priority_grow(first, at, d2, label, seed, radius, own["crown"].to_numpy(), crowns, factor)
+            parts.append(pd.DataFrame({"cloud_id": own["cloud_id"].to_numpy(), "point_id": ids, "instance_id": label}))
+        return pd.concat(parts)
+
+    rows = rows.select("cloud_id", "point_id", "instance_id", "crown", F.col("own_crown").cast("double").alias("own_crown"), "cluster", "ids", "d2s")
+    return rows.groupBy(F.pmod(F.xxhash64("cluster"), F.lit(n))).applyInPandas(run, "cloud_id string, point_id bigint, instance_id bigint")
 
 
 # ---- cloth simulation ------------------------------------------------------------------------------
 
 
+#: cells without points that the cloth spans from the nearest ones with points; no cloth beyond
+SPAN = 16
+
+
 def cloth(surface: np.ndarray, rigidness: int = 2, iterations: int = 500, time_step: float = 0.65) -> np.ndarray:
-    """Heights of a cloth that falls onto the turned-over surface (NaN where it has no points)."""
+    """Heights of a cloth that falls onto the turned-over surface (NaN where it has no points and there is no cloth)."""
     ground = -surface
     known = ~np.isnan(ground)
     if not known.any():
         return np.full(surface.shape, np.nan)
-    # cells without points take the nearest known height, row-wise flooding outwards
-    while not known.all():
+    # cells without points take the mean of known heights around, ring by ring
+    for _ in range(SPAN):
+        if known.all():
+            break
         p, k = np.pad(np.where(known, ground, 0), 1), np.pad(known.astype(float), 1)
         w, h = ground.shape
         near = [(p[i : i + w, j : j + h], k[i : i + w, j : j + h]) for i in (0, 1, 2) for j in (0, 1, 2)]
@@ -250,55 +386,61 @@ def cloth(surface: np.ndarray, rigidness: int = 2, iterations: int = 500, time_s
         fill = ~known & (n > 0)
         ground = np.where(fill, total / np.where(n > 0, n, 1), ground)
         known = known | fill
-    now = np.full(ground.shape, ground.max() + 0.05)
-    last = now.copy()
-    free = np.ones(ground.shape, bool)
+    # only cells of the cloth are kept: neighbours along an axis as pairs of their numbers
+    place = np.cumsum(known.ravel()).reshape(known.shape) - 1
+    pairs = []
+    for axis in (0, 1):
+        one, two = [slice(None)] * 2, [slice(None)] * 2
+        one[axis], two[axis] = slice(None, -1), slice(1, None)
+        both = known[tuple(one)] & known[tuple(two)]
+        even = np.indices(both.shape)[axis][both] % 2 == 0
+        a, b = place[tuple(one)][both], place[tuple(two)][both]
+        pairs += [(a[even], b[even]), (a[~even], b[~even])]  # no cell twice in a set
+    level = ground[known]
+    now = np.full(len(level), level.max() + 0.05)
+    last = now
+    free = np.ones(len(level), bool)
     fall = -0.2 * time_step * time_step
     for _ in range(iterations):
         step = np.where(free, now + (now - last) * 0.99 + fall, now)
         last, now = now, step
         for _ in range(rigidness):
-            for axis in (0, 1):
-                for start in (0, 1):
-                    a = [slice(None)] * 2
-                    b = [slice(None)] * 2
-                    a[axis] = slice(start, now.shape[axis] - 1, 2)
-                    b[axis] = slice(start + 1, None, 2)
-                    x, y, fx, fy = now[tuple(a)], now[tuple(b)], free[tuple(a)], free[tuple(b)]
-                    m = min(x.shape[axis], y.shape[axis])
-                    cutter = [slice(None)] * 2
-                    cutter[axis] = slice(0, m)
-                    x, y, fx, fy = (v[tuple(cutter)] for v in (x, y, fx, fy))
-                    d = y - x
-                    half = fx & fy
-                    x += np.where(half, d / 2, np.where(fx, d, 0)) * 0.5
-                    y -= np.where(half, d / 2, np.where(fy, d, 0)) * 0.5
-        low = now < ground
-        now = np.where(low, ground, now)
+            for a, b in pairs:
+                d, fa, fb = now[b] - now[a], free[a], free[b]
+                share = np.where(fa & fb, 0.25, 0.5) * d
+                now[a] += share * fa
+                now[b] -= share * fb
+        low = now < level
+        now = np.where(low, level, now)
         free &= ~low
-        if np.abs(now - last)[free].max(initial=0) < 0.005:
+        if not free.any() or np.abs(now - last)[free].max() < 0.005:
             break
-    return -now
+    out = np.full(surface.shape, np.nan)
+    out[known] = -now
+    return out
 
 
-def classify_terrain(points: DataFrame, resolution: float = 0.5, threshold: float = 0.5, rigidness: int = 2, iterations: int = 500, group: str = "cloud_id") -> DataFrame:
+def classify_terrain(points: DataFrame, resolution: float = 0.5, threshold: float = 0.5, rigidness: int = 2, iterations: int = 500, group: str = "cloud_id", halo: int = 32, tile: int = 256) -> DataFrame:
     """points with ``terrain``: 0 within ``threshold`` of the cloth, else 1.
 
-    Only the lowest height of each raster cell goes into the simulation, one raster per cloud.
+    Only the lowest height of each raster cell goes into the simulation, which runs tile by tile
+    with a halo that widens, up to 128 cells, until the cloth's heights on both sides of each edge
+    agree to a fifth of the threshold. Points meet their cell's height in one join.
     """
     if rigidness not in (1, 2, 3):
         raise ValueError("rigidness must be 1, 2 or 3")
-    corner = points.groupBy(F.col(group).alias("__g")).agg(F.min("x").alias("__x0"), F.min("y").alias("__y0"))
-    rows = points.join(corner, F.col(group) == F.col("__g"))
-    rows = rows.withColumn("__ix", F.floor((F.col("x") - F.col("__x0")) / resolution)).withColumn("__iy", F.floor((F.col("y") - F.col("__y0")) / resolution))
-    low = rows.groupBy(F.col("__g").alias("g"), F.col("__ix").alias("ix"), F.col("__iy").alias("iy")).agg(F.min("z").alias("h"))
+    at = [F.floor(F.col(c) / resolution).alias(f"__i{c}") for c in "xy"]
+    rows = points.select("*", *at)
+    low = rows.groupBy(F.col(group).alias("__g"), F.col("__ix").alias("ix"), F.col("__iy").alias("iy")).agg(F.min("z").alias("h"))
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        surface = cloth(dense(pdf, "h", np.nan), rigidness, iterations)
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        corner = _corner(pdf)
+        surface = cloth(dense(pdf, "h", np.nan, corner), rigidness, iterations)
         ix, iy = pdf["ix"].to_numpy(int), pdf["iy"].to_numpy(int)
-        return pd.DataFrame({"g": key[0], "ix": ix, "iy": iy, "ground": surface[ix, iy]})
+        return pd.DataFrame({"ix": ix, "iy": iy, "ground": surface[ix - corner[0], iy - corner[1]]})
 
-    ground = low.groupBy("g").applyInPandas(run, "g string, ix bigint, iy bigint, ground double")
-    out = rows.join(ground, (F.col("__g") == F.col("g")) & (F.col("__ix") == F.col("ix")) & (F.col("__iy") == F.col("iy")))
-    flag = F.when(F.abs(F.col("z") - F.col("ground")) <= threshold, 0).otherwise(1)
-    return out.withColumn("terrain", flag).drop("__g", "__x0", "__y0", "__ix", "__iy", "g", "ix", "iy", "ground")
+    ground = agreed(low, run, {"ground": "double"}, halo=halo, tolerance=0.2 * threshold, most=128, group="__g", tile=tile)
+    ground = ground.select("__g", F.col("ix").alias("__jx"), F.col("iy").alias("__jy"), F.col("ground").alias("__ground"))
+    out = rows.join(ground, (F.col(group) == F.col("__g")) & (F.col("__ix") == F.col("__jx")) & (F.col("__iy") == F.col("__jy")))
+    flag = F.when(F.abs(F.col("z") - F.col("__ground")) <= threshold, 0).otherwise(1)
+    return out.withColumn("terrain", flag).drop("__g", "__ix", "__iy", "__jx", "__jy", "__ground")

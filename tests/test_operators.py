@@ -260,7 +260,8 @@ def test_neighbour_queries_take_all_points(spark, tmp_path):
     got = {r.query_id: r.total for r in Q.c4_c9_self_knn(spark, str(tmp_path)).collect()}
     assert sorted(got) == list(range(n)) and np.allclose([got[i] for i in range(n)], near[:, :26].sum(1), atol=1e-5)
     mean = near[:, :4].mean(1)
-    assert Q.d9_remove_outliers(spark, str(tmp_path)).first().n_kept == (mean <= mean.mean() + 1.5 * mean.std()).sum() < n
+    kept = sorted(r.point_id for r in Q.d9_remove_outliers(spark, str(tmp_path)).collect())
+    assert kept == np.flatnonzero(mean <= mean.mean() + 1.5 * mean.std()).tolist() and len(kept) < n
     seeds = [i for i in range(n) if cls[i] == 1 and own[i] >= 0]
     first = {i: seeds[int(np.argmin(d[i, seeds]))] for i in range(n) if i not in seeds}
     want = {i: own[s] for i, s in first.items() if d[i, s] <= 2}
@@ -277,11 +278,12 @@ def test_watershed_parts_a_ridge():
 
 
 def test_priority_growth_takes_cheap_edges():
-    near = np.array([[1, -1], [0, 2], [1, 3], [2, -1]])
-    d2 = np.array([[1.0, 9], [1, 4], [4, 1], [1, 9]])
-    out = {0: np.zeros(4, bool), 1: np.zeros(4, bool)}
-    got = morph.priority_grow(near, d2, np.array([0, -1, -1, 1]), np.array([True, False, False, True]), 3.0, out, 2.0)
-    assert got.tolist() == [0, 0, 1, 1]
+    first, near = np.array([0, 1, 3, 5, 6]), np.array([1, 0, 2, 1, 3, 2])
+    d2 = np.array([1.0, 1, 4, 4, 1, 1])
+    seed, label = np.array([True, False, False, True]), np.array([0, -1, -1, 1])
+    grow = lambda crown: morph.priority_grow(first, near, d2, label, seed, 3.0, np.array(crown), {}, 2.0).tolist()
+    assert grow([0, 0, 1, 1]) == [0, 0, 1, 1]
+    assert grow([0, 0, 0, 1]) == [0, 0, 0, 1] or grow([0, 0, 0, 1]) == [0, 0, 1, 1]
 
 
 def test_cloth(spark):

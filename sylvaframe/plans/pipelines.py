@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylvaframe.functions.columns import in_band
+from sylvaframe.functions.columns import in_band, is_tree_point, truncated_index
 from sylvaframe.operators import cluster, fit, groups, morph, nearest, raster
 from sylvaframe.operators.stems import points_in_layers
 from sylvaframe.plans.tracker import Tracker
@@ -136,46 +136,108 @@ class StemPipeline(SegmentationPipeline):
             return groups.relabel(out).select("cloud_id", "point_id", "instance_id")
 
 
+VARIANTS = ("full", "watershed_crown_top_positions", "watershed_matched_tree_positions")
+
+
 @dataclass(frozen=True)
 class CanopyParameters:
+    """The reference's defaults."""
+
+    variant: str = "full"
+    voxel: float | None = None
+    branches: bool = False
+    trunk_eps: float = 2.5
+    min_trunk_points: int = 100
     cell: float = 0.5
-    min_distance: float = 3.0
+    min_distance: float = 7.0
+    min_cell_points: int = 100
     min_height: float = 2.5
-    min_trunk_points: int = 5
-    trunk_eps: float = 2.5
+    smooth_sigma: float | None = 1.0
     match_distance: float = 5.0
     correct: bool = True
+    max_spacing: float = 0.08
+    grow_radius: float = 1.0
+    outside_factor: float = 2.0
+    grow_neighbours: int = 27
+    z_scale: float = 0.5
 
 
 class CanopyPipeline(SegmentationPipeline):
-    """Crown tops and trunks become tree positions; a watershed of the canopy gives the labels."""
+    """Crown tops and trunks become tree positions, a watershed of the canopy gives the labels, overlapping crowns are grown anew.
+
+    The variants stop earlier: after the watershed from the crown tops of all tree points, or
+    after the watershed from the matched positions.
+    """
 
     def __init__(self, parameters: CanopyParameters = CanopyParameters()) -> None:  # noqa: B008
         super().__init__()
+        if parameters.variant not in VARIANTS:
+            raise ValueError(f"variant must be one of {', '.join(VARIANTS)}")
         self.p = parameters
 
     def transform(self, points: DataFrame) -> DataFrame:
         """points: cloud_id, point_id, x, y, z, cls (1 trunk, 2 crown, 3 branch)."""
         p = self.p
-        trees = cut(points.where(F.col("cls").isin(1, 2, 3)).select("cloud_id", "point_id", "x", "y", "z", "cls"))
+        trees = cut(points.where(is_tree_point("cls", p.branches)).select("cloud_id", "point_id", "x", "y", "z", "cls"))
+        with self.tracker.measure("downsampling"):
+            thin = trees if p.voxel is None else cut(groups.voxel_downsample(trees, p.voxel).drop("vx", "vy", "vz"))
+        labels = self.segment(thin)
+        if p.voxel is not None:
+            with self.tracker.measure("upsampling"):
+                keyed = thin.join(labels, "point_id").select("cloud_id", *groups.voxel_keys(p.voxel), "instance_id")
+                labels = groups.upsample(trees.select("cloud_id", "point_id", "x", "y", "z"), keyed, p.voxel, "instance_id").select("point_id", "instance_id")
+        rest = points.select("cloud_id", "point_id").join(labels, "point_id", "left")
+        return groups.relabel(rest.select("cloud_id", "point_id", F.coalesce("instance_id", F.lit(-1)).cast("bigint").alias("instance_id")))
+
+    def segment(self, trees: DataFrame) -> DataFrame:
+        """point_id, instance_id (a tree's number in its cloud, -1: none) of tree points."""
+        p = self.p
         corner = trees.groupBy("cloud_id").agg(F.min("x").alias("x0"), F.min("y").alias("y0"))
-        chm = cut(raster.height_map(trees, p.cell))
-        tops = morph.find_crown_tops(chm, p.cell, min_distance=p.min_distance, min_height=p.min_height).join(corner, "cloud_id")
-        tops = tops.select("cloud_id", F.xxhash64("cloud_id", "ix", "iy").alias("id"), ((F.col("ix") + 0.5) * p.cell + F.col("x0")).alias("x"), ((F.col("iy") + 0.5) * p.cell + F.col("y0")).alias("y"))
-        own = cut(cluster.cluster_trunks(trees, p.trunk_eps).where("cluster IS NOT NULL"))
-        big = own.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= p.min_trunk_points).select("cluster")
-        own = cut(own.join(big, "cluster", "left_semi"))
-        trunks = trees.join(own, "point_id").groupBy("cloud_id", F.col("cluster").alias("id")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
-        at = cut(nearest.tree_positions(cut(trunks), cut(tops), p.match_distance))
-        number = F.row_number().over(_order()) - 1
-        at = at.join(corner, "cloud_id").select("cloud_id", "id", "kind", number.alias("tree_no"), F.floor((F.col("x") - F.col("x0")) / p.cell).alias("ix"), F.floor((F.col("y") - F.col("y0")) / p.cell).alias("iy"))
-        at = cut(at)
-        labels = morph.segment_canopy(chm, at, correct=p.correct)
-        first = own.join(at.where("kind = 'trunk'").select(F.col("id").alias("cluster"), "tree_no"), "cluster").select("point_id", F.col("tree_no").cast("bigint").alias("instance_id"))
-        start = trees.join(first, "point_id", "left").join(corner, "cloud_id")
-        out = raster.raster_labels(start, labels, p.cell, x0=F.col("x0"), y0=F.col("y0"))
-        rest = points.select("cloud_id", "point_id").join(out.select("point_id", "instance_id"), "point_id", "left")
-        return groups.relabel(rest.select("cloud_id", "point_id", F.coalesce("instance_id", F.lit(-1)).alias("instance_id")))
+        cell = lambda c: F.floor((F.col(c) - F.col(f"{c}0")) / p.cell)
+        placed = cut(trees.join(corner, "cloud_id").select(*trees.columns, cell("x").alias("ix"), cell("y").alias("iy")))
+        with self.tracker.measure("crown tops"):
+            # the full variant looks for tops among crown points, in the raster of all tree points' box
+            seen = placed if p.variant == "watershed_crown_top_positions" else placed.where("cls = 2")
+            low = seen.groupBy(F.col("cloud_id").alias("g")).agg(F.min("z").alias("z0"))
+            chm = seen.join(low, F.col("cloud_id") == F.col("g")).groupBy("cloud_id", "ix", "iy").agg(F.max(F.col("z") - F.col("z0")).alias("h"), F.count(F.lit(1)).alias("n"))
+            chm = cut(chm)
+            tops = morph.find_crown_tops(chm, p.cell, min_distance=p.min_distance, min_height=p.min_height, min_points=p.min_cell_points, sigma=p.smooth_sigma)
+        if p.variant == "watershed_crown_top_positions":
+            at, own = cut(tops.select("cloud_id", F.col("top_no").alias("tree_no"), "ix", "iy")), None
+        else:
+            at, own = self.positions(trees, tops, corner)
+        with self.tracker.measure("watershed"):
+            labels = cut(morph.segment_canopy(chm, at, correct=p.correct))
+        start = placed.withColumn("instance_id", F.lit(-1).cast("bigint")) if own is None else placed.join(own, "point_id", "left")
+        region = labels.where("label > 0").select("cloud_id", "ix", "iy", (F.col("label") - 1).alias("region"))
+        coarse = start.join(region, ["cloud_id", "ix", "iy"], "left").withColumn("instance_id", F.coalesce("instance_id", "region", F.lit(-1).cast("bigint"))).drop("region")
+        if own is None:
+            coarse = start.drop("instance_id").join(region.withColumnRenamed("region", "instance_id"), ["cloud_id", "ix", "iy"], "left").withColumn("instance_id", F.coalesce("instance_id", F.lit(-1).cast("bigint")))
+        if p.variant != "full":
+            return coarse.select("point_id", "instance_id")
+        with self.tracker.measure("overlaps"):
+            marked = cut(morph.overlapping_crowns(cut(coarse), labels, p.max_spacing, trunks=(1, 3) if p.branches else (1,)))
+        with self.tracker.measure("growth"):
+            grown = morph.grow_crowns(marked, labels, at, k=p.grow_neighbours, radius=p.grow_radius, factor=p.outside_factor, z_scale=p.z_scale)
+        grown = grown.select("point_id", F.col("instance_id").alias("grown"))
+        return marked.join(grown, "point_id", "left").select("point_id", F.coalesce("grown", "instance_id").alias("instance_id"))
+
+    def positions(self, trees: DataFrame, tops: DataFrame, corner: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(cloud_id, tree_no, ix, iy: trunks first, then unmatched tops; point_id, instance_id of trunk points)."""
+        p = self.p
+        with self.tracker.measure("trunks"):
+            tops = tops.join(corner, "cloud_id").select("cloud_id", F.xxhash64("cloud_id", "ix", "iy").alias("id"), *[(F.col(f"i{c}") * p.cell + F.col(f"{c}0")).alias(c) for c in "xy"])
+            own = cut(cluster.cluster_trunks(trees, p.trunk_eps, p.branches).where("cluster IS NOT NULL"))
+            big = own.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= p.min_trunk_points).select("cluster")
+            own = cut(own.join(big, "cluster", "left_semi"))
+            trunks = trees.join(own, "point_id").groupBy("cloud_id", F.col("cluster").alias("id")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+        with self.tracker.measure("matching"):
+            at = nearest.tree_positions(cut(trunks), cut(tops), p.match_distance)
+            number = F.row_number().over(_order()) - 1
+            index = lambda c: truncated_index(c, p.cell, F.col(f"{c}0")).alias(f"i{c}")
+            at = cut(at.join(corner, "cloud_id").select("cloud_id", "id", "kind", number.cast("bigint").alias("tree_no"), index("x"), index("y")))
+        first = own.join(at.where("kind = 'trunk'").select(F.col("id").alias("cluster"), F.col("tree_no").alias("instance_id")), "cluster").select("point_id", "instance_id")
+        return at, first
 
 
 def _order():

@@ -6,6 +6,7 @@ Every query reads its whole tables. Distinct valid points are what the operators
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -575,9 +576,54 @@ def e6_evaluation(spark: Spark, d: Dir) -> DataFrame:
     return evaluate(pts(spark, d)).metrics
 
 
+#: the test clouds have few points a tree: cells, trunks and spacings of that size
+SPARSE_CANOPY = CanopyParameters(cell=1.0, min_distance=3.0, min_cell_points=1, min_trunk_points=5, branches=True, max_spacing=1.5, grow_radius=3.0)
+
+
+@query()
+def f15_coarse_crowns(spark: Spark, d: Dir) -> DataFrame:
+    return CanopyPipeline(replace(SPARSE_CANOPY, variant="watershed_matched_tree_positions")).transform(pts(spark, d))
+
+
+@query()
+def f15_crown_tops_only(spark: Spark, d: Dir) -> DataFrame:
+    return CanopyPipeline(replace(SPARSE_CANOPY, variant="watershed_crown_top_positions")).transform(pts(spark, d))
+
+
 @query()
 def f15_f16_canopy_pipeline(spark: Spark, d: Dir) -> DataFrame:
-    return CanopyPipeline(CanopyParameters(cell=1.0)).transform(pts(spark, d))
+    return CanopyPipeline(SPARSE_CANOPY).transform(pts(spark, d))
+
+
+@query()
+def f16_default_canopy(spark: Spark, d: Dir) -> DataFrame:
+    """The default parameters as they are."""
+    return CanopyPipeline().transform(pts(spark, d))
+
+
+def _coarse(spark: Spark, d: Dir) -> tuple[DataFrame, DataFrame]:
+    """Tree points with the delivered instance and their cell, and the canopy's labels from the trees' tops."""
+    p = pts(spark, d).where(C.is_tree_point())
+    chm = cut(R.height_map(p, 1.0))
+    tops = MO.find_crown_tops(chm, 1.0, min_distance=3.0).withColumnRenamed("top_no", "tree_no")
+    labels = cut(MO.segment_canopy(chm, cut(tops)))
+    corner = p.groupBy("cloud_id").agg(F.min("x").alias("x0"), F.min("y").alias("y0"))
+    p = p.join(corner, "cloud_id").select("cloud_id", "point_id", "x", "y", "z", "cls", F.floor(F.col("x") - F.col("x0")).alias("ix"), F.floor(F.col("y") - F.col("y0")).alias("iy"))
+    own = labels.where("label > 0").select("cloud_id", "ix", "iy", (F.col("label") - 1).alias("instance_id"))
+    return cut(p.join(own, ["cloud_id", "ix", "iy"], "left").withColumn("instance_id", F.coalesce("instance_id", F.lit(-1)))), labels
+
+
+@query()
+def f11_overlapping_crowns(spark: Spark, d: Dir) -> DataFrame:
+    return MO.overlapping_crowns(*_coarse(spark, d), 1.5).select("point_id", "instance_id", "is_seed")
+
+
+@query()
+def f13_grow_crowns(spark: Spark, d: Dir) -> DataFrame:
+    p, labels = _coarse(spark, d)
+    marked = cut(MO.overlapping_crowns(p, labels, 1.5))
+    at = labels.where("label > 0").groupBy("cloud_id", (F.col("label") - 1).alias("tree_no")).agg(F.min(F.struct("ix", "iy")).alias("c")).select("cloud_id", "tree_no", "c.*")
+    return MO.grow_crowns(marked, labels, at, radius=3.0)
 
 
 @query()

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from sylvaframe.plans.evaluation import evaluate
-from sylvaframe.plans.pipelines import PRESETS, CanopyPipeline, StemParameters, StemPipeline
+from sylvaframe.plans.pipelines import PRESETS, CanopyParameters, CanopyPipeline, StemParameters, StemPipeline
 from sylvaframe.plans.tracker import Tracker
 from sylvaframe.sources.pointfiles import read_csv_points, register, write_clouds, write_las, write_table
 
@@ -55,7 +55,7 @@ def test_canopy_pipeline_and_evaluation(spark, trees):
 
     cls = F.when(F.col("target") == 0, 0).when(F.col("z") < 3.1, 1).otherwise(2)
     pts = trees.withColumn("cls", cls).where((F.col("cls") != 1) | (F.col("point_id") % 5 == 0))
-    out = CanopyPipeline().transform(pts).withColumnRenamed("instance_id", "prediction")
+    out = CanopyPipeline(CanopyParameters(min_cell_points=1)).transform(pts).withColumnRenamed("instance_id", "prediction")
     both = pts.withColumn("target", F.col("target") - 1).join(out.select("point_id", "prediction"), "point_id")
     e = evaluate(both, partitions=5)
     m = e.metrics.first()
@@ -63,6 +63,19 @@ def test_canopy_pipeline_and_evaluation(spark, trees):
     assert e.partition_xy.count() and e.partition_z.count()
 
 
+@pytest.mark.parametrize(("variant", "branches", "voxel"), [("full", True, 0.05), ("full", False, None), ("watershed_crown_top_positions", True, None), ("watershed_matched_tree_positions", False, 0.05)])
+def test_canopy_variants_label_every_point(spark, variant, branches, voxel):
+    rng = np.random.default_rng(0)
+    rows = [("c", i, *map(float, v), int(i % 4)) for i, v in enumerate(rng.normal(0, 2, (30, 3)))]
+    points = spark.createDataFrame(rows, "cloud_id string, point_id bigint, x double, y double, z double, cls bigint")
+    p = CanopyParameters(variant=variant, branches=branches, voxel=voxel, min_trunk_points=1, min_cell_points=1, min_height=0.1, min_distance=1.0, max_spacing=5.0)
+    got = CanopyPipeline(p).transform(points).collect()
+    assert sorted(r.point_id for r in got) == list(range(30))
+    assert all(r.instance_id == -1 for r in got if r.point_id % 4 == 0 or (r.point_id % 4 == 3 and not branches))
+    with pytest.raises(ValueError):
+        CanopyPipeline(CanopyParameters(variant="none"))
+
+
 def test_las_round_trip(spark, tmp_path):
     rng = np.random.default_rng(1)
     p = np.round(rng.uniform([412000, 115000, -5], [412100, 115100, 30], (1000, 3)), 3)

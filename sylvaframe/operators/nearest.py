@@ -11,7 +11,7 @@ holds k points of its group; a far-off query therefore visits few leaves and wid
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -95,7 +95,27 @@ def _distances(a: np.ndarray, b: np.ndarray, a_ids: np.ndarray, b_ids: np.ndarra
     return out
 
 
-HITS = "ids array<bigint>, d2s array<double>"
+HITS = "ids array<bigint>, d2s array<double>, vs array<double>"
+#: (row of each hit, ascending; number of rows; squared distances; carried values) -> a number per row
+Reduce = Callable[[np.ndarray, int, np.ndarray, np.ndarray], np.ndarray]
+
+
+def distance_sum(row: np.ndarray, n: int, d2: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return np.bincount(row, np.sqrt(d2), minlength=n)
+
+
+def inverse_distance_mean(power: float) -> Reduce:
+    """Mean of the carried values weighted by distance^-power; hits at distance 0 alone hold where there are any."""
+
+    def run(row: np.ndarray, n: int, d2: np.ndarray, v: np.ndarray) -> np.ndarray:
+        exact = d2 == 0
+        w = np.where(exact, 0.0, np.where(exact, 1.0, d2) ** (-power / 2))
+        here = np.bincount(row[exact], minlength=n)
+        w = np.where(here[row] > 0, exact, w)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return np.bincount(row, w * v, minlength=n) / np.bincount(row, w, minlength=n)
+
+    return run
 
 
 def _ragged(n: int, row: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.ListArray:
@@ -103,15 +123,16 @@ def _ragged(n: int, row: np.ndarray, values: np.ndarray, kind: pa.DataType) -> p
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)), pa.int32()), pa.array(values, kind))
 
 
-def nearest_lists(queries: DataFrame, points: DataFrame | None, k: int, *, dims: tuple[str, ...] = ("x", "y"), group: str = "cloud_id", query_id: str = "query_id", point_id: str = "point_id", exclude_self: bool = False, radius: float | None = None, target: int = 20_000, sums: bool = False) -> DataFrame:
+def nearest_lists(queries: DataFrame, points: DataFrame | None, k: int, *, dims: tuple[str, ...] = ("x", "y"), group: str = "cloud_id", query_id: str = "query_id", point_id: str = "point_id", exclude_self: bool = False, radius: float | None = None, target: int = 20_000, carry: str | None = None, reduce: Reduce | None = None) -> DataFrame:
     """query_id and its k nearest points of the same group as lists ``ids`` and ``d2s``, ties by id.
 
     Without ``points`` the queries are the points, too, and are shipped once. Queries of a group
     with fewer than k points get all of them, those of a group without points an empty list. With
     ``radius`` only points at most that far away count. dims beyond the first two count in the
     distance only. Ids are unique within all groups; rows with null, NaN or infinite coordinates
-    have no part. What the driver sees is a bounded sample. With ``sums`` the lists give way to
-    their length ``n`` and the sum ``total`` of the distances.
+    have no part. What the driver sees is a bounded sample. With ``reduce`` the lists give way to
+    their length ``n`` and the number ``total`` that it makes of them, where the hits are found;
+    ``carry`` names a column of the points that it needs.
     """
     spark = queries.sparkSession
     nd = len(dims)
@@ -121,7 +142,8 @@ def nearest_lists(queries: DataFrame, points: DataFrame | None, k: int, *, dims:
         ok = F.col(i).isNotNull() & F.col(group).isNotNull()
         for c in dims:
             ok = ok & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) != float("inf"))
-        return df.where(ok).select(F.xxhash64(group).alias("g"), F.col(i).cast("bigint").alias("id"), F.lit(role).cast("tinyint").alias("role"), *[F.col(c).cast("double").alias(f"c{j}") for j, c in enumerate(dims)])
+        v = F.col(carry).cast("double") if carry is not None and role != QUERY else F.lit(0.0)
+        return df.where(ok).select(F.xxhash64(group).alias("g"), F.col(i).cast("bigint").alias("id"), F.lit(role).cast("tinyint").alias("role"), *[F.col(c).cast("double").alias(f"c{j}") for j, c in enumerate(dims)], v.alias("v"))
 
     rows = pick(queries, query_id, BOTH if points is None else QUERY)
     if points is not None:
@@ -129,21 +151,23 @@ def nearest_lists(queries: DataFrame, points: DataFrame | None, k: int, *, dims:
     rows = cut(rows)
     tree, n_rows = sampled_tree(rows, target=target, least_edge=1e-6)
     schema = f"query_id bigint, {HITS}"
+    reduced = "query_id bigint, n bigint, total double"
     if not n_rows:
-        return spark.createDataFrame([], "query_id bigint, n bigint, total double" if sums else schema)
+        return spark.createDataFrame([], reduced if reduce else schema).drop("vs")
     shared = spark.sparkContext.broadcast(tree)
     most2 = np.inf if radius is None else float(radius) * float(radius)
-    row_schema = "leaf bigint, g bigint, id bigint, role tinyint, bound double, " + ", ".join(f"{c} double" for c in coords)
+    shipped = [*coords, "v"]
+    row_schema = "leaf bigint, g bigint, id bigint, role tinyint, bound double, " + ", ".join(f"{c} double" for c in shipped)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shared.value
         for b in batches:
             leaf = t.leaf(b.column("c0").to_numpy(), b.column("c1").to_numpy(), root_of(b.column("g").to_numpy()))
-            yield pa.RecordBatch.from_arrays([pa.array(leaf), b.column("g"), b.column("id"), b.column("role"), pa.array(np.full(len(leaf), most2)), *[b.column(c) for c in coords]], names=["leaf", "g", "id", "role", "bound", *coords])
+            yield pa.RecordBatch.from_arrays([pa.array(leaf), b.column("g"), b.column("id"), b.column("role"), pa.array(np.full(len(leaf), most2)), *[b.column(c) for c in shipped]], names=["leaf", "g", "id", "role", "bound", *shipped])
 
     def answered(table: pa.Table) -> Iterator[tuple]:
         """Per group of a leaf: (rows of its queries, their hits) of what ``search`` finds."""
-        g, ids, role, bound = (table[c].to_numpy() for c in ("g", "id", "role", "bound"))
+        g, ids, role, bound, v = (table[c].to_numpy() for c in ("g", "id", "role", "bound", "v"))
         xyz = np.stack([table[c].to_numpy() for c in coords], 1)
         for own in np.unique(g):
             here = np.flatnonzero(g == own)
@@ -151,14 +175,14 @@ def nearest_lists(queries: DataFrame, points: DataFrame | None, k: int, *, dims:
             if len(q):
                 row, col, d2 = search(xyz[q], ids[q], bound[q], xyz[p], ids[p], k, exclude_self)
                 order = np.argsort(row, kind="stable")
-                yield q, row[order], ids[p][col[order]], d2[order]
+                yield q, row[order], ids[p][col[order]], d2[order], v[p][col[order]]
 
     first_schema = f"query_id bigint, is_open boolean, g bigint, bound double, {', '.join(f'{c} double' for c in coords)}, n bigint, total double, {HITS}"
 
     def first(table: pa.Table) -> pa.Table:
         t: QuadTree = shared.value
         parts = []
-        for q, row, hit, d2 in answered(table):
+        for q, row, hit, d2, v in answered(table):
             n = np.bincount(row, minlength=len(q))
             bound = np.full(len(q), most2)
             full = n >= k
@@ -169,16 +193,16 @@ def nearest_lists(queries: DataFrame, points: DataFrame | None, k: int, *, dims:
             edge = np.minimum(np.minimum(x - square[0], square[1] - x), np.minimum(y - square[2], square[3] - y)) * 0.999999
             is_open = ~((edge > 0) & (edge * edge > bound))
             is_open &= ~np.isposinf(edge)  # the leaf is all there is
-            total = np.bincount(row, np.sqrt(d2), minlength=len(q)).astype(float)  # no hits at all give integers
-            if sums or is_open.any():  # lists nobody reads: open queries search anew
-                keep = np.zeros(len(row), bool) if sums else ~is_open[row]
-                row, hit, d2 = row[keep], hit[keep], d2[keep]
-            parts.append(pa.table({"query_id": own["id"], "is_open": pa.array(is_open), "g": own["g"], "bound": pa.array(bound), **{c: own[c] for c in coords}, "n": pa.array(n), "total": pa.array(total), "ids": _ragged(len(q), row, hit, pa.int64()), "d2s": _ragged(len(q), row, d2, pa.float64())}))
+            total = (reduce(row, len(q), d2, v) if reduce else np.zeros(len(q))).astype(float)  # no hits at all give integers
+            if reduce or is_open.any():  # lists nobody reads: open queries search anew
+                keep = np.zeros(len(row), bool) if reduce else ~is_open[row]
+                row, hit, d2, v = row[keep], hit[keep], d2[keep], v[keep]
+            parts.append(pa.table({"query_id": own["id"], "is_open": pa.array(is_open), "g": own["g"], "bound": pa.array(bound), **{c: own[c] for c in coords}, "n": pa.array(n), "total": pa.array(total), "ids": _ragged(len(q), row, hit, pa.int64()), "d2s": _ragged(len(q), row, d2, pa.float64()), "vs": _ragged(len(q), row, v, pa.float64())}))
         return pa.concat_tables(parts) if parts else pa.Table.from_pylist([], schema=_arrow(first_schema))
 
     placed = rows.mapInArrow(place, row_schema)
     near = cut(placed.groupBy("leaf").applyInArrow(first, first_schema))
-    done = near.where(~F.col("is_open")).select("query_id", *(("n", "total") if sums else ("ids", "d2s")))
+    done = near.where(~F.col("is_open")).select("query_id", *(("n", "total") if reduce else ("ids", "d2s")))
     open_ = near.where("is_open").select("query_id", "g", "bound", *coords)
     if open_.isEmpty():
         return done
@@ -189,28 +213,36 @@ def nearest_lists(queries: DataFrame, points: DataFrame | None, k: int, *, dims:
     if radius is None:
         lacking = open_.where(F.col("bound") == float("inf"))
         bounded = open_.where(F.col("bound") != float("inf")).unionByName(_bounded(lacking, leaves, shared, nd, k + exclude_self))
-    visits = bounded.select("query_id", "g", "bound", *coords).mapInArrow(_visits(shared, nd), row_schema)
+    visits = bounded.select("query_id", "g", "bound", *coords).mapInArrow(_visits(shared, nd), row_schema.removesuffix(", v double"))
     there = leaves.select(F.col("g").alias("lg"), F.col("leaf").alias("ll"), *[f"{e}{j}" for j in range(nd) for e in ("lo", "hi")])
     gap2 = _gap2(nd)
     visits = visits.join(there, (F.col("g") == F.col("lg")) & (F.col("leaf") == F.col("ll"))).where(gap2 * 0.999999 <= F.col("bound"))
-    visits = cut(visits.select("leaf", "g", "id", "role", "bound", *coords))
+    visits = cut(visits.select("leaf", "g", "id", "role", "bound", *coords, F.lit(0.0).alias("v")))
     needed = placed.where(F.col("role") != QUERY).withColumn("role", F.lit(POINT).cast("tinyint")).join(visits.select("leaf").distinct(), "leaf", "left_semi")
 
     def second(table: pa.Table) -> pa.Table:
         parts = []
-        for q, row, hit, d2 in answered(table):
-            parts.append(pa.table({"query_id": table["id"].take(pa.array(q)), "ids": _ragged(len(q), row, hit, pa.int64()), "d2s": _ragged(len(q), row, d2, pa.float64())}))
+        for q, row, hit, d2, v in answered(table):
+            parts.append(pa.table({"query_id": table["id"].take(pa.array(q)), "ids": _ragged(len(q), row, hit, pa.int64()), "d2s": _ragged(len(q), row, d2, pa.float64()), "vs": _ragged(len(q), row, v, pa.float64())}))
         return pa.concat_tables(parts) if parts else pa.Table.from_pylist([], schema=_arrow(schema))
 
-    again = needed.select("leaf", "g", "id", "role", "bound", *coords).unionByName(visits).groupBy("leaf").applyInArrow(second, schema)
+    again = needed.select("leaf", "g", "id", "role", "bound", *shipped).unionByName(visits).groupBy("leaf").applyInArrow(second, schema)
     # the own leaf is among those visited; a query that visits none has no points at all
-    hits = F.array_sort(F.flatten(F.collect_list(F.arrays_zip(F.col("d2s").alias("d2"), F.col("ids").alias("id")))))
+    hits = F.array_sort(F.flatten(F.collect_list(F.arrays_zip(F.col("d2s").alias("d2"), F.col("ids").alias("id"), F.col("vs").alias("v")))))
     merged = again.groupBy("query_id").agg(F.slice(hits, 1, k).alias("h"))
     merged = open_.select("query_id").join(merged, "query_id", "left")
-    merged = merged.select("query_id", *[F.coalesce(F.transform("h", lambda h: h[f]), F.array().cast(f"array<{t}>")).alias(n) for f, t, n in (("id", "bigint", "ids"), ("d2", "double", "d2s"))])
-    if sums:
-        merged = merged.select("query_id", F.size("d2s").cast("bigint").alias("n"), F.aggregate("d2s", F.lit(0.0), lambda t, d: t + F.sqrt(d)).alias("total"))
-    return done.unionByName(merged)
+    merged = merged.select("query_id", *[F.coalesce(F.transform("h", lambda h: h[f]), F.array().cast(f"array<{t}>")).alias(n) for f, t, n in (("id", "bigint", "ids"), ("d2", "double", "d2s"), ("v", "double", "vs"))])
+    if not reduce:
+        return done.unionByName(merged.drop("vs"))
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size = b.column("d2s").value_lengths().to_numpy()
+            row = np.repeat(np.arange(b.num_rows), size)
+            d2, v = (b.column(c).flatten().to_numpy() for c in ("d2s", "vs"))
+            yield pa.RecordBatch.from_arrays([b.column("query_id"), pa.array(size, pa.int64()), pa.array(reduce(row, b.num_rows, d2, v).astype(float))], names=["query_id", "n", "total"])
+
+    return done.unionByName(merged.mapInArrow(number, reduced))
 
 
 def _arrow(ddl: str) -> pa.Schema:
@@ -305,7 +337,7 @@ def tree_positions(trunks: DataFrame, crowns: DataFrame, limit: float, *, group:
 
 def mean_neighbour_distance(points: DataFrame, k: int, *, group: str = "cloud_id", dims: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
     """point_id and the mean distance to its k nearest others (null where there is none)."""
-    near = nearest_lists(points, None, k, dims=dims, group=group, query_id="point_id", exclude_self=True, sums=True)
+    near = nearest_lists(points, None, k, dims=dims, group=group, query_id="point_id", exclude_self=True, reduce=distance_sum)
     return near.select(F.col("query_id").alias("point_id"), F.try_divide("total", "n").alias("mean_distance"))
 
 
@@ -327,7 +359,5 @@ def interpolate_terrain(nodes: DataFrame, terrain: DataFrame, k: int, power: flo
 
     If some of them lie exactly at the node, their mean alone holds.
     """
-    near = nearest(nodes, terrain, k, group=group).join(terrain.select("point_id", "z"), "point_id")
-    w = F.when(F.col("d2") > 0, F.pow(F.sqrt("d2"), F.lit(-float(power))))
-    agg = near.groupBy("query_id").agg(F.avg(F.when(F.col("d2") == 0, F.col("z"))).alias("exact"), F.sum(w * F.col("z")).alias("s"), F.sum(w).alias("w"))
-    return agg.select("query_id", F.coalesce("exact", F.try_divide("s", "w")).alias("h"))
+    near = nearest_lists(nodes, terrain, k, group=group, carry="z", reduce=inverse_distance_mean(power))
+    return near.select("query_id", F.when(F.col("n") > 0, F.col("total")).alias("h"))

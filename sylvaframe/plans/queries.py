@@ -210,7 +210,7 @@ _KNN = "j AS (SELECT a.cloud_id, a.point_id AS p, (a.x - b.x) * (a.x - b.x) + (a
 def c4_c9_self_knn(spark: Spark, d: Dir) -> DataFrame:
     """All points and k = 27, the point itself included."""
     p = pts(spark, d).select("cloud_id", "point_id", "x", "y", "z")
-    near = N.nearest_lists(p, None, 26, dims=("x", "y", "z"), query_id="point_id", exclude_self=True, sums=True)
+    near = N.nearest_lists(p, None, 26, dims=("x", "y", "z"), query_id="point_id", exclude_self=True, reduce=N.distance_sum)
     return near.where("n > 0").select("query_id", r6(F.col("total"), "total"))
 
 

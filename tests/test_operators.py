@@ -8,7 +8,7 @@ from sylvaframe.operators.cluster import connected_components, dbscan, grow_regi
 from sylvaframe.operators.groups import filter_extent, filter_intensity, filter_min_points, fit_line, principal_axes, voxel_downsample
 from sylvaframe.operators.hotkeys import Dense, hot_keys, keyed_statistics
 from sylvaframe.operators.near import containing_region, pairs_within
-from sylvaframe.operators.nearest import interpolate_terrain, nearest, nearest_lists, remove_outliers
+from sylvaframe.operators.nearest import distance_sum, interpolate_terrain, nearest, nearest_lists, remove_outliers
 from sylvaframe.operators.raster import height_above_terrain
 
 
@@ -97,7 +97,7 @@ def test_nearest_equals_brute_force(spark, k, dims, radius):
         d = sorted((sum((a - b) ** 2 for a, b in zip(v[: len(dims)], w, strict=False)), j) for h, j, *w in points if h == g)
         d = [x for x in d if radius is None or x[0] <= radius * radius][:k]
         assert got[i][0] == [j for _, j in d] and np.allclose(got[i][1], [x for x, _ in d])
-    mean = nearest_lists(spark.createDataFrame(points, cols.format("point_id")), None, 5, dims=tuple(dims), query_id="point_id", exclude_self=True, sums=True, target=60)
+    mean = nearest_lists(spark.createDataFrame(points, cols.format("point_id")), None, 5, dims=tuple(dims), query_id="point_id", exclude_self=True, reduce=distance_sum, target=60)
     got = {r.query_id: (r.n, r.total) for r in mean.collect()}
     for g, i, *v in points[::9]:
         d = sorted(sum((a - b) ** 2 for a, b in zip(v[: len(dims)], w, strict=False)) ** 0.5 for h, j, *w in points if h == g and j != i)[:5]

@@ -8,11 +8,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylvaframe.operators.near import pairs_within
+from sylvaframe.operators.near import neighbour_counts, pairs_within
 from sylvaframe.operators.nearest import nearest
 from sylvaframe.session import cut
 
 
+#: fronts of a growth that are read as a union before they are written together
+COMPACT = 8
+
+
 def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """id, component: the smallest id that each vertex is connected to.
 
@@ -36,33 +40,33 @@ def dbscan(points: DataFrame, eps: float, min_points: int, *, dims: tuple[str, .
     """point_id, cluster: the smallest core point_id of the cluster, null for noise.
 
     ``min_points`` counts the point itself. A border point in reach of several clusters goes to
-    the one with the smallest id. Points repeating an id count once.
+    the one with the smallest id. Points repeating an id count once. Neighbours are counted where
+    they meet, core points are linked by cells, and only pairs of a border and a core point are
+    ever written: fewer than ``min_points`` for each border point.
     """
-    ids = points.select(F.col("point_id").alias("id")).distinct()
-    pairs = cut(pairs_within(points, eps, group=group, dims=dims).select(F.col("point_id_a").alias("a"), F.col("point_id_b").alias("b")))
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    degree = ends.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    core = cut(ids.join(degree, "id", "left").where(F.coalesce("n", F.lit(0)) + 1 >= min_points).select("id"))
-    between = pairs.join(core.withColumnRenamed("id", "a"), "a", "left_semi").join(core.withColumnRenamed("id", "b"), "b", "left_semi")
-    label = cut(connected_components(core, between))
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    border = both.join(core.withColumnRenamed("id", "a"), "a", "left_anti").join(label.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("component"))
-    return ids.join(label.unionByName(border), "id", "left").select(F.col("id").alias("point_id"), F.col("component").alias("cluster"))
+    p = cut(points.select(group, "point_id", *dims).dropDuplicates(["point_id"]))
+    n = neighbour_counts(p, eps, group=group, dims=dims)
+    p = cut(p.join(n, "point_id", "left").select(group, "point_id", *dims, (F.coalesce("n_near", F.lit(0)) + 1 >= min_points).alias("is_core")))
+    label = cut(single_linkage(p.where("is_core"), eps, group=group, dims=dims))
+    pairs = pairs_within(p, eps, group=group, dims=dims, flag="is_core")
+    both = pairs.select(F.col("point_id_a").alias("point_id"), F.col("point_id_b").alias("core")).unionByName(pairs.select(F.col("point_id_b").alias("point_id"), F.col("point_id_a").alias("core")))
+    border = both.join(label.withColumnRenamed("point_id", "core"), "core").groupBy("point_id").agg(F.min("cluster").alias("cluster"))
+    return p.select("point_id").join(label.unionByName(border), "point_id", "left").select("point_id", "cluster")
 
 
-def single_linkage(points: DataFrame, eps: float, *, group: str = "cloud_id") -> DataFrame:
-    """point_id, cluster: what is connected by steps of at most ``eps`` (3-D), named by its smallest id.
+def single_linkage(points: DataFrame, eps: float, *, group: str = "cloud_id", dims: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
+    """point_id, cluster: what is connected by steps of at most ``eps``, named by its smallest id.
 
     All points of a cell with diagonal eps belong together, so cells are the vertices and one
     pair is enough to link two of them: edges follow the occupied volume, not the density.
     """
-    cell = eps / 3**0.5 * 0.999999
-    p = cut(points.select(group, "point_id", "x", "y", "z").dropDuplicates(["point_id"]))
-    at = [F.floor(F.col(c) / cell).alias(f"c{c}") for c in "xyz"]
-    named = p.select(group, "point_id", *at)
-    cells = named.groupBy(group, "cx", "cy", "cz").agg(F.min("point_id").alias("rep"))
-    own = cut(named.join(cells, [group, "cx", "cy", "cz"]).select("point_id", "rep"))
-    pairs = pairs_within(p, eps, group=group, link_cell=cell)
+    cell = eps / len(dims) ** 0.5 * 0.999999
+    p = cut(points.select(group, "point_id", *dims).dropDuplicates(["point_id"]))
+    at = [f"c{i}" for i in range(len(dims))]
+    named = p.select(group, "point_id", *[F.floor(F.col(c) / cell).alias(a) for a, c in zip(at, dims, strict=True)])
+    cells = named.groupBy(group, *at).agg(F.min("point_id").alias("rep"))
+    own = cut(named.join(cells, [group, *at]).select("point_id", "rep"))
+    pairs = pairs_within(p, eps, group=group, link_cell=cell, dims=dims)
     ends = pairs.join(own.select(F.col("point_id").alias("point_id_a"), F.col("rep").alias("a")), "point_id_a").join(own.select(F.col("point_id").alias("point_id_b"), F.col("rep").alias("b")), "point_id_b")
     label = connected_components(own.select(F.col("rep").alias("id")), ends.select("a", "b"))
     return own.join(label.select(F.col("id").alias("rep"), "component"), "rep").select("point_id", F.col("component").alias("cluster"))
@@ -115,29 +119,37 @@ def grow_regions(
     only tree points join. RuntimeError when ``max_iterations`` steps don't end the growth.
     """
     pts = cut(points.select(group, "point_id", "x", "y", (F.col("z") / z_scale).alias("z"), "is_tree"))
-    labels = cut(seeds.select("point_id", "instance_id").groupBy("point_id").agg(F.min("instance_id").alias("instance_id")))
-    n_trees = labels.select("instance_id").distinct().count()
-    front, radius, still, total = labels, voxel, 0, 0.0
+    front = cut(seeds.select("point_id", "instance_id").groupBy("point_id").agg(F.min("instance_id").alias("instance_id")))
+    n_trees = front.select("instance_id").distinct().count()
+    labels, n_fronts = front, 1  # a union of the fronts, written anew every ``COMPACT`` steps
+    free = cut(pts.join(labels, "point_id", "left_anti"))
+    n_free, radius, still, total, only_trees = free.count(), voxel, 0, 0.0, False
     for step in range(max_iterations + 1):
-        if radius > max_radius or front.isEmpty():
-            break
-        free = pts.join(labels, "point_id", "left_anti")
-        if total > terrain_distance:
-            free = free.where("is_tree")
-        free = cut(free)
-        n_free = free.count()
-        if not n_free:
+        if radius > max_radius or not n_free or front.isEmpty():
             break
         if step == max_iterations:
             raise RuntimeError(f"growth did not end within {max_iterations} steps")
+        if total > terrain_distance and not only_trees:
+            only_trees = True
+            free = cut(free.where("is_tree"))
+            n_free = free.count()
+            if not n_free:
+                break
         near = nearest(free.withColumnRenamed("point_id", "query_id"), pts.join(front, "point_id", "left_semi"), 1, dims=("x", "y", "z"), group=group, radius=radius)
         new = cut(near.select("query_id", "point_id").join(front, "point_id").select(F.col("query_id").alias("point_id"), "instance_id"))
         got = new.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("instance_id").alias("t")).first()
-        labels = cut(labels.unionByName(new))
+        if got["n"]:
+            labels, n_fronts = labels.unionByName(new), n_fronts + 1
+            if n_fronts == COMPACT:
+                labels, n_fronts = cut(labels), 1
+            free = free.join(new, "point_id", "left_anti")
+            if n_fronts == 1:
+                free = cut(free)
         if got["n"] / n_free < least_total or got["t"] / max(1, n_trees) < least_trees:
             radius, front, still = radius + voxel, labels, 0
         else:
             front, still = new, still + 1
+        n_free -= got["n"]
         if radius > voxel and still == decrease_after:
             radius, still = radius - voxel, 0
         total += radius

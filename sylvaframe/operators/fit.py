@@ -5,13 +5,16 @@ A group is the points of one stem in one layer; the kernels see such groups only
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sylvaframe.session import default_parallelism
+
 SECTORS = 73  # of a circle, for its completeness
 
 
@@ -120,12 +123,12 @@ def spline_outline(theta: np.ndarray, r: np.ndarray, *, knots: int = 20, smooth:
     return basis(np.linspace(-np.pi, np.pi, 360, endpoint=False)) @ coef
 
 
-def outline_diameter(x: np.ndarray, y: np.ndarray, cx: float, cy: float, max_difference: float) -> float | None:
+def outline_diameter(x: np.ndarray, y: np.ndarray, cx: float, cy: float, max_difference: float | None) -> float | None:
     """Diameter of the circle as large as the outline; None if the outline isn't plausible."""
     if len(x) < 8:
         return None
     r = spline_outline(np.arctan2(y - cy, x - cx), np.hypot(x - cx, y - cy))
-    if (r < 0).any() or r.max() - r.min() > max_difference:
+    if (r < 0).any() or (max_difference is not None and r.max() - r.min() > max_difference):
         return None
     t = np.linspace(-np.pi, np.pi, 360, endpoint=False)
     px, py = r * np.cos(t), r * np.sin(t)
@@ -136,37 +139,54 @@ def outline_diameter(x: np.ndarray, y: np.ndarray, cx: float, cy: float, max_dif
 LAYER_SHAPES = "cloud_id string, stem_id bigint, layer int, mid_height double, n bigint, circle struct<cx:double,cy:double,r:double>, ellipse struct<cx:double,cy:double,a:double,b:double,theta:double>"
 
 
-def fit_layers(points: DataFrame, *, min_diameter: float = 0.02, max_diameter: float = 1.0, min_points: int = 15, ellipses: bool = True, least_ratio: float = 0.6) -> DataFrame:
+def _stretches(pdf: pd.DataFrame, keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The groups of a bucket of groups, each in order of x and y."""
+    pdf = pdf.sort_values([*keys, "x", "y"], ignore_index=True)
+    if len(pdf):
+        new = np.flatnonzero((pdf[keys].ne(pdf[keys].shift())).any(axis=1).to_numpy())
+        for lo, hi in zip(new, np.r_[new[1:], len(pdf)], strict=True):
+            yield pdf.iloc[lo:hi]
+
+
+def _bucket(points: DataFrame, keys: list[str]) -> Column:
+    """Buckets of many small groups: a Python call per bucket, not per group."""
+    return F.pmod(F.xxhash64(*keys), F.lit(4 * default_parallelism(points.sparkSession)))
+
+
+def fit_layers(points: DataFrame, *, min_diameter: float = 0.02, max_diameter: float = 1.0, min_points: int = 15, ellipses: bool = True, least_ratio: float = 0.6, bandwidth: float = 0.01) -> DataFrame:
     """A circle and, where there is none, an ellipse per (cloud_id, stem_id, layer).
 
     points: cloud_id, stem_id, layer, mid_height, x, y. Layers with too few points are left out.
+    A circle's points lie within twice the bandwidth of it.
     """
+    keys = ["cloud_id", "stem_id", "layer"]
+    names = [*keys, "mid_height", "n", "circle", "ellipse"]
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["x", "y"])
-        x, y = pdf["x"].to_numpy(float), pdf["y"].to_numpy(float)
-        if len(x) < min_points:
-            return pd.DataFrame(columns=["cloud_id", "stem_id", "layer", "mid_height", "n", "circle", "ellipse"])
-        c = robust_circle(x, y, min_diameter / 2, max_diameter / 2, seed=int(key[1]) * 64 + int(key[2]))
-        e = ellipse(x, y) if ellipses and c is None else None
-        if e is not None and not (e[3] / e[2] >= least_ratio and min_diameter <= e[2] + e[3] <= max_diameter):
-            e = None
-        return pd.DataFrame(
-            {"cloud_id": [key[0]], "stem_id": [key[1]], "layer": [key[2]], "mid_height": [pdf["mid_height"].iloc[0]], "n": [len(x)], "circle": [c and dict(zip("cx cy r".split(), c, strict=True))], "ellipse": [e and dict(zip("cx cy a b theta".split(), e, strict=True))]}
-        )
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for own in _stretches(pdf, keys):
+            if len(own) < min_points:
+                continue
+            x, y, head = own["x"].to_numpy(float), own["y"].to_numpy(float), own.iloc[0]
+            c = robust_circle(x, y, min_diameter / 2, max_diameter / 2, band=2 * bandwidth, seed=int(head["stem_id"]) * 64 + int(head["layer"]))
+            e = ellipse(x, y) if ellipses and c is None else None
+            if e is not None and not (e[3] / e[2] >= least_ratio and min_diameter <= e[2] + e[3] <= max_diameter):
+                e = None
+            rows.append([*head[keys], head["mid_height"], len(x), c and dict(zip("cx cy r".split(), c, strict=True)), e and dict(zip("cx cy a b theta".split(), e, strict=True))])
+        return pd.DataFrame(rows, columns=names)
 
-    return points.groupBy("cloud_id", "stem_id", "layer").applyInPandas(run, LAYER_SHAPES)
+    return points.select(*keys, "mid_height", "x", "y").groupBy(_bucket(points, keys)).applyInPandas(run, LAYER_SHAPES)
 
 
 def fit_ellipses(points: DataFrame, keys: list[str]) -> DataFrame:
     """keys, n and the ellipse of each group (null where there is none)."""
     schema = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in keys) + ", n bigint, cx double, cy double, a double, b double, theta double"
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        e = ellipse(pdf["x"].to_numpy(float), pdf["y"].to_numpy(float)) or (None,) * 5
-        return pd.DataFrame([[*key, len(pdf), *e]], columns=[*keys, "n", "cx", "cy", "a", "b", "theta"])
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = [[*own.iloc[0][keys], len(own), *(ellipse(own["x"].to_numpy(float), own["y"].to_numpy(float)) or (None,) * 5)] for own in _stretches(pdf, keys)]
+        return pd.DataFrame(rows, columns=[*keys, "n", "cx", "cy", "a", "b", "theta"])
 
-    return points.groupBy(*keys).applyInPandas(run, schema)
+    return points.select(*keys, "x", "y").groupBy(_bucket(points, keys)).applyInPandas(run, schema)
 
 
 def best_combination(diameter: np.ndarray, x: np.ndarray, y: np.ndarray, k: int, max_std: float, max_std_position: float | None) -> tuple[int, ...] | None:
@@ -216,7 +236,7 @@ def stem_positions(stable: DataFrame, height: float = 1.3) -> DataFrame:
     return px.join(py, keys).join(d, keys)
 
 
-def outline_diameters(points: DataFrame, stable: DataFrame, max_difference: float = 0.3) -> DataFrame:
+def outline_diameters(points: DataFrame, stable: DataFrame, max_difference: float | None = 0.3) -> DataFrame:
     """Stable layers with the diameter of their outline where that is plausible.
 
     points: cloud_id, stem_id, layer, x, y around the layer's shape.

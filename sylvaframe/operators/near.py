@@ -270,6 +270,8 @@ def pairs_within(
     target: int = 20_000,
     seed: int = 17,
     link_cell: float | None = None,
+    flag: str | None = None,
+    counts: bool = False,
 ) -> DataFrame:
     """Pairs (<id>_a < <id>_b) of different points of one group at most ``radius`` apart.
 
@@ -278,27 +280,30 @@ def pairs_within(
     sees of the table; ``target`` is the expected load of a leaf. The first two of ``dims``
     shape the tree, all of them make the distance. With ``link_cell`` a leaf reports a single
     pair for each two cells of that width that any pair links, and none within a cell: enough
-    to know what is connected, without all the pairs of dense places. One shuffle, of the points and the copies
-    along leaf edges.
+    to know what is connected, without all the pairs of dense places. With ``flag`` (a boolean
+    column) only pairs come out whose flags differ. With ``counts`` no pairs come out but ``id_col``
+    and ``n_near`` of the points that have any, counted in the leaf that owns the point. One
+    shuffle, of the points and the copies along leaf edges.
     """
-    require(points, group, id_col, *dims)
+    require(points, group, id_col, *dims, *([flag] if flag else []))
     if not radius >= 0:
         raise ValueError("radius must be a number >= 0")
     finite = F.col(id_col).isNotNull() & F.col(group).isNotNull()
     for c in dims:
         finite = finite & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) != float("inf"))
-    rows = points.where(finite).select(F.xxhash64(group).alias("g"), F.col(id_col).alias("id"), *[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(dims)])
+    rows = points.where(finite).select(F.xxhash64(group).alias("g"), F.col(id_col).alias("id"), *[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(dims)], *([F.col(flag).cast("double").alias("flag")] if flag else []))
     tree, _ = sampled_tree(rows, target=target, least_edge=max(2.0 * radius, 1e-9), sample_rows=sample_rows, seed=seed)
     root = root_of
     shared = points.sparkSession.sparkContext.broadcast(tree)
     reach = radius * 1.000001
     coords = [f"c{i}" for i in range(len(dims))]
+    shipped = coords + (["flag"] if flag else [])
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shared.value
         often = _Repeats()
         for b in batches:
-            g, i, *c = [b.column(k).to_numpy(zero_copy_only=False) for k in range(2 + len(coords))]
+            g, i, *c = [b.column(k).to_numpy(zero_copy_only=False) for k in range(2 + len(shipped))]
             keep = often.first_of(i)
             g, i, c = g[keep], i[keep], [v[keep] for v in c]
             r = root(g)
@@ -308,7 +313,7 @@ def pairs_within(
             new = np.c_[np.ones(len(i), bool), np.diff(found, axis=1) != 0]
             row, col = np.nonzero(new)
             arrays = [pa.array(found[row, col]), pa.array(g[row]), pa.array(i[row]), *[pa.array(x[row]) for x in c]]
-            yield pa.RecordBatch.from_arrays(arrays, names=["leaf", "g", "id", *coords])
+            yield pa.RecordBatch.from_arrays(arrays, names=["leaf", "g", "id", *shipped])
 
     def probe(table: pa.Table) -> pa.Table:
         t = shared.value
@@ -317,6 +322,7 @@ def pairs_within(
         _, first = np.unique(i, return_index=True)
         p = np.stack([table[c].to_numpy() for c in coords], 1)[first]
         g, i = g[first], i[first]
+        side = table["flag"].to_numpy()[first] if flag else None
         found_a, found_b = [], []
         for own in np.unique(g):
             here = np.flatnonzero(g == own)
@@ -327,7 +333,18 @@ def pairs_within(
                 _, cell_no = np.unique(np.floor(q / link_cell), axis=0, return_inverse=True)
                 cell_no = cell_no.ravel().astype(np.int64)
                 linked = np.empty(0, np.int64)
+            if counts:
+                n_near = np.zeros(len(q), np.int64)
+                for a, b in near_pairs(q, radius):
+                    n_near += np.bincount(a, minlength=len(q)) + np.bincount(b, minlength=len(q))
+                mine = (n_near > 0) & (t.leaf(q[:, 0], q[:, 1], np.broadcast_to(owner, len(q))) == leaf)
+                found_a.append(k[mine])
+                found_b.append(n_near[mine])
+                continue
             for a, b in near_pairs(q, radius):
+                if flag:
+                    differ = side[order[a]] != side[order[b]]
+                    a, b = a[differ], b[differ]
                 ref = np.minimum(q[a], q[b])
                 mine = t.leaf(ref[:, 0], ref[:, 1], np.broadcast_to(owner, len(a))) == leaf
                 a, b = a[mine], b[mine]
@@ -342,16 +359,16 @@ def pairs_within(
         cat = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
         return pa.table({"a": pa.array(cat(found_a), pa.int64()), "b": pa.array(cat(found_b), pa.int64())})
 
-    leaves = rows.mapInArrow(assign, "leaf bigint, g bigint, id bigint, " + ", ".join(f"{c} double" for c in coords))
+    leaves = rows.mapInArrow(assign, "leaf bigint, g bigint, id bigint, " + ", ".join(f"{c} double" for c in shipped))
     found = leaves.groupBy("leaf").applyInArrow(probe, "a bigint, b bigint")
+    if counts:
+        return found.select(F.col("a").alias(id_col), F.col("b").alias("n_near"))
     return found.select(F.col("a").alias(f"{id_col}_a"), F.col("b").alias(f"{id_col}_b"))
 
 
 def neighbour_counts(points: DataFrame, radius: float, *, group: str = "cloud_id", id_col: str = "point_id", dims: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
     """``n_near``: the number of other points within ``radius``, for points that have any."""
-    pairs = pairs_within(points, radius, group=group, id_col=id_col, dims=dims)
-    ends = pairs.select(F.explode(F.array(f"{id_col}_a", f"{id_col}_b")).alias(id_col))
-    return ends.groupBy(id_col).agg(F.count(F.lit(1)).alias("n_near"))
+    return pairs_within(points, radius, group=group, id_col=id_col, dims=dims, counts=True)
 
 
 def in_ring(x: np.ndarray, y: np.ndarray, ring: np.ndarray) -> np.ndarray:

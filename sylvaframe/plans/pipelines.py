@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sylvaframe.functions.columns import in_band, is_tree_point, truncated_index
 from sylvaframe.operators import cluster, fit, groups, morph, nearest, raster
-from sylvaframe.operators.stems import points_in_layers
+from sylvaframe.operators.stems import points_in_layers, points_near_circles, points_near_ellipses
 from sylvaframe.plans.tracker import Tracker
 from sylvaframe.session import cut
 
@@ -27,6 +27,8 @@ class SegmentationPipeline(ABC):
 
 @dataclass(frozen=True)
 class StemParameters:
+    """The reference's defaults."""
+
     csf_resolution: float = 0.5
     csf_threshold: float = 0.5
     csf_iterations: int = 500
@@ -49,7 +51,14 @@ class StemParameters:
     layer_height: float = 0.225
     layer_overlap: float = 0.025
     layer_points: int = 15
+    bandwidth: float = 0.01
     ellipses: bool = False
+    refine: bool = False
+    buffer_switch: float = 0.3
+    buffer_small: float = 0.06
+    buffer_large: float = 0.09
+    outline_buffer: float = 0.03
+    outline_difference: float | None = 0.3
     combination: int = 6
     max_std_diameter: float = 0.04
     max_std_position: float | None = None
@@ -73,18 +82,23 @@ class StemPipeline(SegmentationPipeline):
     def __init__(self, parameters: StemParameters = StemParameters()) -> None:  # noqa: B008
         super().__init__()
         self.p = parameters
+        self.dtm: DataFrame | None = None
 
     def heights(self, points: DataFrame) -> DataFrame:
-        """points with ``terrain`` (0 ground) and ``h`` above it; the grid's nodes stem from ground points."""
+        """points with ``terrain`` (0 ground) and ``h`` above it; keeps the terrain model's nodes as ``dtm``.
+
+        The model has only the nodes around cells with points: a far-off point adds four.
+        """
         p = self.p
         classed = cut(morph.classify_terrain(points, p.csf_resolution, p.csf_threshold, 2, p.csf_iterations))
         ground = groups.voxel_downsample(classed.where("terrain = 0").select("cloud_id", "point_id", "x", "y", "z"), p.terrain_voxel)
-        box = points.groupBy("cloud_id").agg(*[f(c).alias(f"{k}_{c}") for c in "xy" for k, f in (("lo", F.min), ("hi", F.max))])
-        line = lambda c: F.explode(F.sequence(F.floor(F.col(f"lo_{c}") / p.terrain_resolution), F.floor(F.col(f"hi_{c}") / p.terrain_resolution) + 1))
-        nodes = box.withColumn("ix", line("x")).withColumn("iy", line("y")).select("cloud_id", "ix", "iy", *[(F.col(f"i{c}") * p.terrain_resolution).alias(c) for c in "xy"], F.xxhash64("cloud_id", "ix", "iy").alias("query_id"))
+        used = points.select("cloud_id", *[F.floor(F.col(c) / p.terrain_resolution).alias(f"i{c}") for c in "xy"]).distinct()
+        line = lambda c: F.explode(F.array(F.col(f"i{c}"), F.col(f"i{c}") + 1))
+        nodes = used.withColumn("ix", line("x")).withColumn("iy", line("y")).distinct()
+        nodes = nodes.select("cloud_id", "ix", "iy", *[(F.col(f"i{c}") * p.terrain_resolution).alias(c) for c in "xy"], F.xxhash64("cloud_id", "ix", "iy").alias("query_id"))
         level = nearest.interpolate_terrain(nodes, ground, p.terrain_neighbours, 1.0)
-        dtm = cut(nodes.join(level, "query_id").select("cloud_id", "ix", "iy", "h"))
-        return cut(raster.height_above_terrain(classed, dtm, p.terrain_resolution).withColumnRenamed("height", "h"))
+        self.dtm = cut(nodes.join(level, "query_id").select("cloud_id", "ix", "iy", "h"))
+        return cut(raster.height_above_terrain(classed, self.dtm, p.terrain_resolution).withColumnRenamed("height", "h"))
 
     def stems(self, points: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(stems: cloud_id, stem_id, x, y, diameter; their points: point_id, stem_id)."""
@@ -110,14 +124,38 @@ class StemPipeline(SegmentationPipeline):
             ok = groups.principal_axes(solid).where(F.coalesce(F.col("inclination") <= p.max_inclination, F.lit(True))).select("instance_id")
             solid = solid.join(ok, "instance_id", "left_semi")
         solid = cut(solid.withColumnRenamed("instance_id", "stem_id"))
-        level = solid.groupBy("stem_id").agg(F.avg(F.col("z") - F.col("h")).alias("terrain"))
+        if self.dtm is None:
+            level = solid.groupBy("stem_id").agg(F.avg(F.col("z") - F.col("h")).alias("terrain"))
+        else:
+            middle = solid.groupBy("cloud_id", "stem_id").agg(F.avg("x").alias("x"), F.avg("y").alias("y")).withColumn("z", F.lit(0.0))
+            level = raster.height_above_terrain(middle, self.dtm, p.terrain_resolution).select("stem_id", (-F.col("height")).alias("terrain"))
+        level = cut(level)
         rows = points_in_layers(solid, level, n_layers=p.n_layers, start=p.layer_start, height=p.layer_height, overlap=p.layer_overlap, least=p.layer_points)
-        shapes = fit.fit_layers(rows.join(solid.select("point_id", "x", "y"), "point_id"), min_points=p.layer_points, ellipses=p.ellipses)
-        shapes = shapes.select("cloud_id", "stem_id", "layer", "mid_height", "circle.*", F.col("ellipse.cx").alias("ex"), F.col("ellipse.cy").alias("ey"), F.col("ellipse.a").alias("a"), F.col("ellipse.b").alias("b"))
+        shapes = self.shapes(rows.join(solid.select("point_id", "x", "y"), "point_id"))
+        near = None
+        if p.refine:
+            near = cut(self.around(band, shapes, level, p.buffer_small, p.buffer_large))
+            shapes = self.shapes(near.join(shapes.select("cloud_id", "stem_id", "layer", "mid_height"), ["cloud_id", "stem_id", "layer"]))
         stable = cut(fit.stable_layers(shapes, p.combination, p.max_std_diameter, p.max_std_position))
+        if near is None:
+            near = self.around(thin, shapes, level, p.outline_buffer, p.outline_buffer)
+        stable = cut(fit.outline_diameters(near, stable, p.outline_difference))
         found = cut(fit.stem_positions(stable))
         return found, solid.join(found.select("stem_id"), "stem_id", "left_semi").select("point_id", "stem_id")
 
+    def shapes(self, rows: DataFrame) -> DataFrame:
+        """Circle and ellipse of each layer as flat columns."""
+        p = self.p
+        s = fit.fit_layers(rows, min_points=p.layer_points, ellipses=p.ellipses, bandwidth=p.bandwidth)
+        return cut(s.select("cloud_id", "stem_id", "layer", "mid_height", "circle.*", F.col("ellipse.cx").alias("ex"), F.col("ellipse.cy").alias("ey"), *[F.col(f"ellipse.{c}").alias(c) for c in ("a", "b", "theta")]))
+
+    def around(self, points: DataFrame, shapes: DataFrame, level: DataFrame, small: float, large: float) -> DataFrame:
+        """cloud_id, stem_id, layer, x, y of all points around the layers' shapes."""
+        p = self.p
+        more = {"height": p.layer_height, "limit": p.buffer_switch, "small": small, "large": large}
+        near = points_near_circles(points, shapes, level, **more).unionByName(points_near_ellipses(points, shapes, level, **more))
+        return near.join(points.select("point_id", "x", "y"), "point_id").select("cloud_id", "stem_id", "layer", "x", "y")
+
     def transform(self, points: DataFrame) -> DataFrame:
         p = self.p
         with self.tracker.measure("heights"):
@@ -246,9 +284,10 @@ def _order():
     return W.partitionBy("cloud_id").orderBy(F.desc("kind"), "id")
 
 
-#: Parameters for clouds from the ground (dense) and from the air or a backpack (sparser).
+#: The reference's presets by what they change. Scans from the ground (tls) are the defaults.
 PRESETS = {
     "default": StemParameters(),
-    "dense": StemParameters(),
-    "sparse": StemParameters(voxel=0.05, eps_2d=0.15, eps_3d=0.4, min_points_2d=10, min_points_3d=5, min_cluster_points=30, n_layers=8, layer_height=0.4, layer_overlap=0.1, layer_points=8, combination=3, max_std_diameter=0.1, grow_voxel=0.2, grow_max_radius=1.5),
+    "tls": StemParameters(),
+    "original": StemParameters(max_z=3.0, min_extent=1.3, refine=True, ellipses=True, n_layers=14, layer_height=0.125, layer_points=50, max_std_diameter=0.0185, outline_difference=None),
+    "uls": StemParameters(max_z=5.0, eps_2d=0.07, min_points_2d=15, eps_3d=0.3, min_points_3d=1, min_cluster_points=20, n_layers=4, layer_height=1.4, layer_overlap=0.4, bandwidth=0.03, max_std_diameter=0.1, combination=2),
 }

@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+from pyspark.sql.classic.dataframe import DataFrame
 
 
 def local_session(cpus: int | str = 8, partitions: int = 8) -> SparkSession:
@@ -32,7 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not path:
         master = sc.master
-        if not master.startswith("local"):
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="sylva-")
         spark.conf.set("spark.checkpoint.dir", path)
@@ -42,9 +43,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder; a lost executor loses nothing of it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` in the shared folder; a lost executor loses nothing of it.
+
+    A checkpoint inherits its plan's estimated size, which a join multiplies. In a loop the number
+    of its digits doubles from round to round, until planning takes minutes: estimates beyond
+    reason are given up, together with what else is known of the plan.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    done = df.checkpoint(eager=True)
+    plan = done._jdf.queryExecution()
+    if plan.optimizedPlan().stats().sizeInBytes().bit_length() > 60:
+        return DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.toRdd(), done._jdf.schema(), False), spark)
+    return done
 
 
 def default_parallelism(spark: SparkSession) -> int:

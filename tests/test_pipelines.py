@@ -1,4 +1,3 @@
-import os
 import struct
 
 import numpy as np
@@ -31,7 +30,6 @@ def trees(spark):
     return df.repartition(4)
 
 
-@pytest.mark.skipif(not os.environ.get("SYLVA_SLOW"), reason="takes five minutes; set SYLVA_SLOW=1")
 def test_stems_are_found_where_they_are(spark, trees):
     pipe = StemPipeline(StemParameters(csf_resolution=0.5, csf_threshold=0.05, csf_iterations=200, terrain_resolution=0.5, terrain_neighbours=8, voxel=0.03, eps_2d=0.06, eps_3d=0.15, min_points_2d=4, min_points_3d=4, min_cluster_points=100, min_extent=1.0, n_layers=6, layer_height=0.3, layer_overlap=0.1, layer_points=10, combination=3))
     stems, _ = pipe.stems(pipe.heights(trees))

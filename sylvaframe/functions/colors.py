@@ -25,6 +25,24 @@ def _rgba(c: tuple[int, int, int, int]) -> Column:
     return F.struct(*[F.lit(v).alias(k) for k, v in zip("rgba", c, strict=True)])
 
 
+#: Predictions without a target, targets without a prediction.
+FALSE_POSITIVE, FALSE_NEGATIVE = (255, 0, 0, 255), (0, 0, 255, 255)
+
+
+def color_errors(points: DataFrame, false_positives: DataFrame, false_negatives: DataFrame, group: str = "cloud_id") -> DataFrame:
+    """points whose ``rgba`` is red in false positives (group, prediction_id), blue in false negatives (group, target_id).
+
+    The former hold where both apply; ``rgba`` stays as it is elsewhere, background if there is none.
+    """
+    fp = false_positives.select(F.col(group).alias("__pg"), F.col("prediction_id").alias("__p"), F.lit(True).alias("__fp")).distinct()
+    fn = false_negatives.select(F.col(group).alias("__tg"), F.col("target_id").alias("__t"), F.lit(True).alias("__fn")).distinct()
+    out = points.join(fp, (F.col(group) == F.col("__pg")) & (F.col("prediction") == F.col("__p")), "left")
+    out = out.join(fn, (F.col(group) == F.col("__tg")) & (F.col("target") == F.col("__t")), "left")
+    own = F.col("rgba") if "rgba" in points.columns else _rgba(BACKGROUND)
+    out = out.withColumn("rgba", F.when(F.col("__fp"), _rgba(FALSE_POSITIVE)).when(F.col("__fn"), _rgba(FALSE_NEGATIVE)).otherwise(own))
+    return out.drop("__pg", "__p", "__fp", "__tg", "__t", "__fn")
+
+
 def color_instances(points: DataFrame, label: str = "instance_id", group: str = "cloud_id") -> DataFrame:
     """points with ``rgba``: labels in their order cycle through the palette, others are background."""
     ids = points.where(F.col(label) >= 0).select(group, label).distinct()

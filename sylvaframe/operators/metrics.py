@@ -60,26 +60,51 @@ def hungarian(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (cols, rows) if flip else (rows, cols)
 
 
+def _components(t: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Number of the connected set of each pair (t, p), by the smallest pair reached."""
+    label = np.arange(len(t))
+    while True:
+        new = label.copy()
+        for side in (t, p):
+            least = np.full(side.max() + 1, len(t))
+            np.minimum.at(least, side, new)
+            new = least[side]
+        if (new == label).all():
+            return label
+        label = new
+
+
 def _assign(pdf: pd.DataFrame, rule: str) -> pd.DataFrame:
-    """Matches of one cloud's pairs by a rule that looks at all of them together."""
-    pdf = pdf.sort_values(["target_id", "prediction_id"])
+    """Matches of one cloud's pairs by a rule that looks at all of them together.
+
+    The assignment is solved for each connected set of pairs by itself: a set holds the
+    instances that overlap each other in a chain, never all of a cloud.
+    """
+    pdf = pdf.sort_values(["target_id", "prediction_id"], ignore_index=True)
+    rows: list[tuple[int, int]] = []
     if rule == "tree_learn":
-        t, p = np.unique(pdf["target_id"]), np.unique(pdf["prediction_id"])
-        iou = np.zeros((len(t), len(p)))
-        iou[np.searchsorted(t, pdf["target_id"]), np.searchsorted(p, pdf["prediction_id"])] = pdf["iou"]
-        i, j = hungarian(-iou)
-        ok = iou[i, j] > 0.5
-        return pd.DataFrame({"target_id": t[i[ok]], "prediction_id": p[j[ok]]})
+        if not len(pdf):
+            return pd.DataFrame(columns=["target_id", "prediction_id"], dtype="int64")
+        place = lambda c: np.unique(pdf[c], return_inverse=True)[1]
+        for _, own in pdf.groupby(_components(place("target_id"), place("prediction_id"))):
+            t, p = np.unique(own["target_id"]), np.unique(own["prediction_id"])
+            iou = np.zeros((len(t), len(p)))
+            iou[np.searchsorted(t, own["target_id"]), np.searchsorted(p, own["prediction_id"])] = own["iou"]
+            i, j = hungarian(-iou)
+            ok = iou[i, j] > 0.5
+            rows += zip(t[i[ok]].tolist(), p[j[ok]].tolist(), strict=True)
+        return pd.DataFrame(rows, columns=["target_id", "prediction_id"], dtype="int64")
     used: set[int] = set()
-    rows = []
-    for (_, target), own in sorted(pdf.groupby(["height", "target_id"]), key=lambda g: (-g[0][0], g[0][1])):
-        free = own[~own["prediction_id"].isin(used)]
-        if len(free):
-            best = free.sort_values(["iou", "prediction_id"], ascending=[False, True]).iloc[0]
-            if rule == "for_instance" and best["iou"] < 0.5:
-                continue
-            used.add(int(best["prediction_id"]))
-            rows.append((int(target), int(best["prediction_id"])))
+    pdf = pdf.sort_values(["height", "target_id", "iou", "prediction_id"], ascending=[False, True, False, True])
+    done: int | None = None
+    for target, prediction, iou in zip(pdf["target_id"].tolist(), pdf["prediction_id"].tolist(), pdf["iou"].tolist(), strict=True):
+        if target == done or prediction in used:
+            continue
+        done = target  # its best free partner; whether that is good enough doesn't free the target
+        if rule == "for_instance" and iou < 0.5:
+            continue
+        used.add(prediction)
+        rows.append((target, prediction))
     return pd.DataFrame(rows, columns=["target_id", "prediction_id"], dtype="int64")
 
 
@@ -137,18 +162,26 @@ def match_instances(points: DataFrame, rule: str = "panoptic_segmentation", grou
     return out.select(group, "target_id", F.coalesce("prediction_id", F.lit(INVALID)).alias("prediction_id"), F.coalesce("tp", F.lit(0)).alias("tp"), F.coalesce("fp", F.lit(0)).alias("fp"), F.coalesce("fn", "__n").alias("fn"))
 
 
-def matched_predictions(points: DataFrame, matches: DataFrame, group: str = "cloud_id", *, labelled: Column | None = None, min_precision: float | None = None) -> DataFrame:
+def matched_predictions(points: DataFrame, matches: DataFrame, group: str = "cloud_id", *, labelled: Column | None = None, min_precision: float | None = None, height: Column | str | None = None, min_height: float | None = None) -> DataFrame:
     """Every prediction with its target (-1: false positive, -2: can't be judged).
 
     An unmatched prediction is uncertain when less than ``min_precision`` of its points are
-    labelled (by default: belong to a target).
+    labelled (by default: belong to a target), or when none of its points is ``min_height`` above
+    the terrain (``height``: a column of the points, such as height_above_terrain gives).
     """
     p = points.where("prediction >= 0").groupBy(group, F.col("prediction").alias("prediction_id"))
     share = F.avg(F.coalesce(labelled if labelled is not None else F.col("target") >= 0, F.lit(False)).cast("int"))
+    if min_height is not None and height is None:
+        raise ValueError("min_height needs the points' height above the terrain")
+    top = F.max(F.col(height) if isinstance(height, str) else height) if min_height is not None else F.lit(None).cast("double")
     best = matches.where("prediction_id >= 0").groupBy(group, "prediction_id").agg(F.min("target_id").alias("t"))
-    out = p.agg(share.alias("share")).join(best, [group, "prediction_id"], "left")
-    none = F.lit(INVALID) if min_precision is None else F.when(F.col("share") < min_precision, UNCERTAIN).otherwise(INVALID)
-    return out.select(group, "prediction_id", F.coalesce("t", none).cast("bigint").alias("target_id"))
+    out = p.agg(share.alias("share"), top.alias("top")).join(best, [group, "prediction_id"], "left")
+    doubt = F.lit(False)
+    if min_precision is not None:
+        doubt = doubt | (F.col("share") < min_precision)
+    if min_height is not None:
+        doubt = doubt | (F.greatest(F.coalesce("top", F.lit(0.0)), F.lit(0.0)) < min_height)
+    return out.select(group, "prediction_id", F.coalesce("t", F.when(doubt, UNCERTAIN).otherwise(INVALID)).cast("bigint").alias("target_id"))
 
 
 def _ratios(tp: Column, fp: Column, fn: Column) -> list[Column]:
@@ -254,3 +287,17 @@ def pooled_totals(matches: DataFrame, false_positives: DataFrame, dataset: Colum
     n = t.unionByName(p).rollup("dataset", group).agg(*[F.sum(c).alias(c) for c in ("TP", "FP", "FN")], F.avg("iou").alias("MeanIoU"))
     f1 = F.try_divide(2 * F.col("TP"), 2 * F.col("TP") + F.col("FP") + F.col("FN"))
     return n.select("dataset", group, "TP", "FP", "FN", f1.alias("F1Score"), "MeanIoU", (f1 * F.col("MeanIoU")).alias("PanopticQuality"))
+
+
+def run_times(rows: DataFrame, groups: dict[str, list[str]], *, description: str = "description", value: str = "wall_s", by: tuple[str, ...] = ()) -> DataFrame:
+    """by, step, place, value: run times summed by named groups of descriptions, in the order of ``groups``.
+
+    Descriptions that no group names are summed as 'Other', last; null values count as 0.
+    """
+    require(rows, description, value, *by)
+    step = F.lit("Other")
+    for name, members in reversed(list(groups.items())):
+        step = F.when(F.col(description).isin(*members), name).otherwise(step)
+    order = F.coalesce(F.array_position(F.array(*[F.lit(n) for n in groups]), F.col("step")), F.lit(0))
+    sums = rows.withColumn("step", step).groupBy(*by, "step").agg(F.sum(F.coalesce(F.col(value), F.lit(0.0))).alias(value))
+    return sums.select(*by, "step", F.when(order == 0, len(groups) + 1).otherwise(order).cast("int").alias("place"), value)

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sylvaframe.functions import columns as C
-from sylvaframe.functions.colors import color_classes, color_instances
+from sylvaframe.functions.colors import BACKGROUND, color_classes, color_errors, color_instances, palette
 from sylvaframe.operators import cluster as CL
 from sylvaframe.operators import fit as FIT
 from sylvaframe.operators import groups as G
@@ -276,7 +276,23 @@ def d4_principal_axes(spark: Spark, d: Dir) -> DataFrame:
     return G.principal_axes(pts(spark, d)).select("cloud_id", "instance_id", "n", F.col("inclination").isNotNull().alias("has_axis"))
 
 
-@query()
+def _pca_sql() -> str:
+    """Eigenvalues of the covariance in closed form; the axis from (A - l2)(A - l3)."""
+    a = [["xx", "xy", "xz"], ["xy", "yy", "yz"], ["xz", "yz", "zz"]]
+    less = lambda i, j, v: f"({a[i][j]}{f' - {v}' if i == j else ''})"
+    product = ", ".join(f"{' + '.join(f'{less(i, k, chr(108) + chr(50))} * {less(k, j, chr(108) + chr(51))}' for k in range(3))} AS b{i}{j}" for i in range(3) for j in range(3))
+    norm = lambda j: f"sqrt(b0{j} * b0{j} + b1{j} * b1{j} + b2{j} * b2{j})"
+    axis = " ".join(f"WHEN {norm(j)} >= greatest({norm(0)}, {norm(1)}, {norm(2)}) THEN abs(b2{j}) / nullif({norm(j)}, 0)" for j in range(3))
+    good = f"""m AS (SELECT cloud_id, instance_id, {', '.join(f'covar_pop({u}, {v}) AS {u}{v}' for u, v in ('xx', 'xy', 'xz', 'yy', 'yz', 'zz'))} FROM v WHERE instance_id >= 0 GROUP BY 1, 2),
+q AS (SELECT *, (xx + yy + zz) / 3 AS q FROM m), p AS (SELECT *, sqrt((pow(xx - q, 2) + pow(yy - q, 2) + pow(zz - q, 2) + 2 * (xy * xy + xz * xz + yz * yz)) / 6) AS p FROM q),
+r AS (SELECT *, CASE WHEN p > 0 THEN greatest(-1, least(1, ((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)) / (2 * p * p * p))) ELSE 1 END AS r FROM p),
+l AS (SELECT *, q + 2 * p * cos(acos(r) / 3) AS l1, q + 2 * p * cos(acos(r) / 3 + 2 * pi() / 3) AS l3 FROM r), k AS (SELECT *, 3 * q - l1 - l3 AS l2 FROM l), b AS (SELECT *, {product} FROM k),
+c AS (SELECT cloud_id, instance_id, q, l1 / nullif(3 * q, 0) AS share, degrees(acos(least(1, CASE {axis} END))) AS inclination FROM b),
+s AS (SELECT cloud_id, instance_id FROM c WHERE q <= 0 OR (coalesce(inclination <= 45.0, true) AND coalesce(share >= 0.5, true)))"""
+    return f"{PTS}, {good}, {_RELABEL.format(src='s')} SELECT v.point_id, coalesce(d.r, -1) AS instance_id FROM v LEFT JOIN d ON v.cloud_id = d.cloud_id AND v.instance_id = d.instance_id"
+
+
+@query(_pca_sql())
 def d4_filter_pca(spark: Spark, d: Dir) -> DataFrame:
     return G.filter_pca(pts(spark, d), 45.0, 0.5).select("point_id", "instance_id")
 
@@ -335,8 +351,17 @@ def _match_query(rule: str, sql: str | None):
 _match_query("panoptic_segmentation", _matched(_PANOPTIC))
 _match_query("for_ai_net", _matched(_FOR_AI))
 _match_query("for_ai_net_coverage", _matched(_COVERAGE))
-for _rule in ("point2tree", "for_instance", "tree_learn"):
-    _match_query(_rule, None)
+_GREEDY = """h AS (SELECT cloud_id, target AS target_id, max(z) - min(z) AS height FROM v WHERE target >= 0 GROUP BY 1, 2),
+o2 AS (SELECT pr.cloud_id, pr.target_id, list({{'p': prediction_id, 'u': iou}} ORDER BY iou DESC, prediction_id) AS c, any_value(height) AS height FROM pr JOIN h ON pr.cloud_id = h.cloud_id AND pr.target_id = h.target_id GROUP BY 1, 2),
+n2 AS (SELECT *, row_number() OVER (PARTITION BY cloud_id ORDER BY height DESC, target_id) AS k FROM o2),
+w AS (SELECT cloud_id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS target_id, CAST(NULL AS BIGINT) AS got FROM n2 GROUP BY cloud_id
+      UNION ALL SELECT cloud_id, k, CASE WHEN got IS NULL THEN used ELSE list_append(used, got) END, target_id, got FROM (
+        SELECT w.cloud_id, n2.k, w.used, n2.target_id, (SELECT CASE WHEN x.u >= {least} THEN x.p END FROM (SELECT list_filter(n2.c, lambda y: NOT list_contains(w.used, y.p))[1] AS x) AS z) AS got FROM w JOIN n2 ON w.cloud_id = n2.cloud_id AND n2.k = w.k + 1) AS q),
+f AS (SELECT pr.* FROM w JOIN pr ON w.cloud_id = pr.cloud_id AND w.target_id = pr.target_id AND w.got = pr.prediction_id)"""
+_match_query("point2tree", "WITH RECURSIVE " + _matched(_GREEDY.format(least=0)).removeprefix("WITH "))
+_match_query("for_instance", "WITH RECURSIVE " + _matched(_GREEDY.format(least=0.5)).removeprefix("WITH "))
+# the best assignment keeps every pair above a half: two of them can't share an instance
+_match_query("tree_learn", _matched(_PANOPTIC))
 
 _MATCHES = "m AS (SELECT DISTINCT cloud_id, target_id, prediction_id, tp, fp, fn FROM instance_matches)"
 
@@ -466,14 +491,43 @@ def d12_d13_fit_layers(spark: Spark, d: Dir) -> DataFrame:
     return out.select("cloud_id", "stem_id", "layer", "mid_height", "n", "circle.*", F.col("ellipse.a").alias("a"), F.col("ellipse.b").alias("b"))
 
 
-@query()
+_TRIPLES = """
+s AS (SELECT cloud_id, stem_id, layer, mid_height, true AS is_circle, cx AS x, cy AS y, 2 * r AS d FROM l WHERE r > 0 UNION ALL SELECT cloud_id, stem_id, layer, mid_height, false, ex, ey, a + b FROM l WHERE a > 0 AND b > 0),
+t AS (SELECT p.cloud_id, p.stem_id, p.is_circle, p.layer AS i, q.layer AS j, r.layer AS k, sqrt((pow(p.d - (p.d + q.d + r.d) / 3, 2) + pow(q.d - (p.d + q.d + r.d) / 3, 2) + pow(r.d - (p.d + q.d + r.d) / 3, 2)) / 3) AS dev
+      FROM s AS p JOIN s AS q ON p.stem_id = q.stem_id AND p.is_circle = q.is_circle AND p.layer < q.layer JOIN s AS r ON p.stem_id = r.stem_id AND p.is_circle = r.is_circle AND q.layer < r.layer),
+b AS (SELECT *, row_number() OVER (PARTITION BY stem_id ORDER BY is_circle DESC, dev, i, j, k) AS n FROM t WHERE dev <= 0.04),
+st AS (SELECT s.cloud_id, s.stem_id, s.layer, s.mid_height, s.x, s.y, s.d AS diameter, s.is_circle FROM s JOIN b ON s.stem_id = b.stem_id AND s.is_circle = b.is_circle AND b.n = 1 AND s.layer IN (b.i, b.j, b.k))"""
+_AT = lambda c: f"CASE WHEN var_pop(mid_height) > 0 THEN avg({c}) + covar_pop(mid_height, {c}) / var_pop(mid_height) * (1.3 - avg(mid_height)) ELSE avg({c}) END"
+
+
+@query(f"WITH {_LAYERS}, {_TRIPLES} SELECT * FROM st")
 def d15_stable_layers(spark: Spark, d: Dir) -> DataFrame:
     return FIT.stable_layers(layers(spark, d), k=3, max_std=0.04)
 
 
-@query()
+@query(f"WITH {_LAYERS}, {_TRIPLES} SELECT cloud_id, stem_id, round({_AT('x')}, 3) AS x, round({_AT('y')}, 3) AS y, round({_AT('diameter')}, 6) AS diameter FROM st GROUP BY cloud_id, stem_id")
 def d16_d17_stem_positions(spark: Spark, d: Dir) -> DataFrame:
-    return FIT.stem_positions(FIT.stable_layers(layers(spark, d), k=3, max_std=0.04))
+    out = FIT.stem_positions(FIT.stable_layers(layers(spark, d), k=3, max_std=0.04))
+    return out.select("cloud_id", "stem_id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), r6(F.col("diameter"), "diameter"))
+
+
+@query()
+def d14_refined_layers(spark: Spark, d: Dir) -> DataFrame:
+    """Shapes fitted anew to all points around the stored ones."""
+    p, l, g = pts(spark, d), layers(spark, d), stem_ground(spark, d)
+    near = ST.points_near_circles(p, l, g, height=0.6).unionByName(ST.points_near_ellipses(p, l, g, height=0.6))
+    rows = near.join(p.select("point_id", "x", "y"), "point_id").join(l.select("cloud_id", "stem_id", "layer", "mid_height"), ["cloud_id", "stem_id", "layer"])
+    out = FIT.fit_layers(rows, min_points=5)
+    return out.select("cloud_id", "stem_id", "layer", "mid_height", "n", "circle.*", F.col("ellipse.a").alias("a"), F.col("ellipse.b").alias("b"))
+
+
+@query()
+def d17_d18_outline_diameters(spark: Spark, d: Dir) -> DataFrame:
+    """Positions and diameters with the outlines of the points around each stable layer's shape."""
+    p, l, g = pts(spark, d), layers(spark, d), stem_ground(spark, d)
+    near = ST.points_near_circles(p, l, g, height=0.6).unionByName(ST.points_near_ellipses(p, l, g, height=0.6))
+    near = near.join(p.select("point_id", "x", "y"), "point_id").select("cloud_id", "stem_id", "layer", "x", "y")
+    return FIT.stem_positions(FIT.outline_diameters(near, cut(FIT.stable_layers(l, k=3, max_std=0.04))))
 
 
 @query(f"WITH RECURSIVE {PTS.removeprefix('WITH ')}, t AS (SELECT * FROM v WHERE cls = 1), e AS (SELECT a.point_id AS p, b.point_id AS q FROM t AS a JOIN t AS b ON a.cloud_id = b.cloud_id WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= 6.25), r AS (SELECT p AS id, p AS root FROM e UNION SELECT e.q, r.root FROM r JOIN e ON r.id = e.p WHERE e.q > r.root) SELECT id AS point_id, min(root) AS cluster FROM r GROUP BY id")
@@ -481,14 +535,21 @@ def f3_trunk_clusters(spark: Spark, d: Dir) -> DataFrame:
     return CL.cluster_trunks(pts(spark, d).select("cloud_id", "point_id", "x", "y", "z", "cls"), 2.5)
 
 
-@query()
+@query(f"""WITH RECURSIVE {PTS.removeprefix('WITH ')}, t AS (SELECT * FROM v WHERE cls = 1 AND z >= 0.5 AND z < 5),
+e AS (SELECT a.point_id AS p, b.point_id AS q FROM t AS a JOIN t AS b ON a.cloud_id = b.cloud_id WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 1.0),
+c AS (SELECT p AS id FROM e GROUP BY p HAVING count(*) >= 3), ce AS (SELECT e.* FROM e JOIN c ON e.p = c.id JOIN c AS c2 ON e.q = c2.id),
+r AS (SELECT p AS id, p AS root FROM ce UNION SELECT ce.q, r.root FROM r JOIN ce ON r.id = ce.p WHERE ce.q > r.root), g AS (SELECT id, min(root) AS cluster FROM r GROUP BY id)
+SELECT t.point_id, coalesce(g.cluster, (SELECT min(g2.cluster) FROM e JOIN g AS g2 ON e.q = g2.id WHERE e.p = t.point_id)) AS cluster FROM t LEFT JOIN g ON t.point_id = g.id""")
 def f1_stem_clusters(spark: Spark, d: Dir) -> DataFrame:
     """Plan-view density clusters of the trunk points in the stem layer."""
     p = pts(spark, d).where("cls = 1 AND z >= 0.5 AND z < 5").select("cloud_id", "point_id", "x", "y", "z")
     return CL.dbscan(p, 1.0, 3, dims=("x", "y"))
 
 
-@query()
+@query(f"""{PTS}, s AS (SELECT cloud_id, stem_id, min(x) AS x, min(y) AS y, min(diameter) AS diameter FROM stems WHERE diameter > 0 AND diameter < 3 GROUP BY 1, 2),
+w AS (SELECT *, CASE WHEN cls = 1 AND instance_id >= 0 THEN instance_id END AS own FROM v)
+SELECT point_id, own AS instance_id FROM w JOIN s ON w.own = s.stem_id
+UNION ALL SELECT w.point_id, min(s.stem_id) FROM w JOIN s ON w.cloud_id = s.cloud_id WHERE own IS NULL AND w.z BETWEEN 1.0 AND 1.6 AND sqrt((w.x - s.x) * (w.x - s.x) + (w.y - s.y) * (w.y - s.y)) <= greatest(s.diameter / 2 * 1.05, 0.025) GROUP BY w.point_id""")
 def f5_stem_seeds(spark: Spark, d: Dir) -> DataFrame:
     return CL.stem_seeds(*_stem_inputs(spark, d))
 
@@ -541,11 +602,23 @@ def m1_color_numbers(spark: Spark, d: Dir) -> DataFrame:
     return p.select("point_id", F.when(F.col("instance_id") < 0, -1).otherwise(F.col("instance_id") % 27).cast("bigint").alias("color_no"))
 
 
-@query()
+_COLORS = f"pal(k, r, g, b, a) AS (VALUES {', '.join(f'({i}, {r}, {g}, {b}, {a})' for i, (r, g, b, a) in enumerate([*palette(), BACKGROUND]))})"
+
+
+@query(f"{PTS}, {_RELABEL.format(src='v')}, {_COLORS} SELECT v.point_id, pal.r, pal.g, pal.b, pal.a FROM v LEFT JOIN d ON v.cloud_id = d.cloud_id AND v.instance_id = d.instance_id JOIN pal ON pal.k = coalesce(d.r % 27, 27)")
 def m1_color_instances(spark: Spark, d: Dir) -> DataFrame:
     return color_instances(pts(spark, d)).select("point_id", "rgba.*")
 
 
+@query(f"{PTS}, {_PAIRS}, {_PANOPTIC} SELECT v.point_id, CASE WHEN v.prediction >= 0 AND f.target_id IS NULL THEN 'fp' WHEN v.target >= 0 AND g.target_id IS NULL THEN 'fn' ELSE 'none' END AS kind FROM v LEFT JOIN f ON v.cloud_id = f.cloud_id AND v.prediction = f.prediction_id LEFT JOIN f AS g ON v.cloud_id = g.cloud_id AND v.target = g.target_id")
+def m1_color_errors(spark: Spark, d: Dir) -> DataFrame:
+    p = pts(spark, d)
+    m = cut(M.match_instances(p))
+    rows = color_errors(p, M.matched_predictions(p, m).where("target_id = -1"), m.where("prediction_id = -1"))
+    kind = F.when((F.col("rgba.r") == 255) & (F.col("rgba.b") == 0), "fp").when((F.col("rgba.b") == 255) & (F.col("rgba.r") == 0), "fn").otherwise("none")
+    return rows.select("point_id", kind.alias("kind"))
+
+
 @query(f"{PTS}, c(cls, r, g, b, a) AS (VALUES (1, 139, 69, 19, 255), (2, 34, 139, 34, 255)) SELECT point_id, coalesce(r, 220) AS r, coalesce(g, 219) AS g, coalesce(b, 209) AS b, coalesce(a, 127) AS a FROM v LEFT JOIN c ON v.cls = c.cls")
 def m2_color_classes(spark: Spark, d: Dir) -> DataFrame:
     return pts(spark, d).select("point_id", color_classes("cls", {1: "#8B4513", 2: "#228B22"}).alias("c")).select("point_id", "c.*")
@@ -571,9 +644,38 @@ def c8_nearest_seed(spark: Spark, d: Dir) -> DataFrame:
     return ST.nearest_seed(p.where(~is_seed).drop("instance_id"), p.where(is_seed), 2.0)
 
 
-@query()
+_SEGMENT = f"cv AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cloud_id, target_id ORDER BY iou DESC, prediction_id) AS i FROM pr) AS q WHERE i = 1), ins AS (SELECT nt.cloud_id, nt.target_id, coalesce(cv.prediction_id, -1) AS prediction_id, coalesce(cv.iou, 0) AS iou, CAST(cv.tp AS DOUBLE) / (cv.tp + cv.fp) AS pre, coalesce(CAST(cv.tp AS DOUBLE) / (cv.tp + cv.fn), 0) AS rec FROM nt LEFT JOIN cv ON nt.cloud_id = cv.cloud_id AND nt.target_id = cv.target_id)"
+
+
+@query(f'{_DETECT}, {_SEGMENT}, sg AS (SELECT cloud_id, round(avg(iou), 6) AS i, round(avg(pre), 6) AS p, round(avg(rec), 6) AS r FROM ins GROUP BY cloud_id), dt AS (SELECT cloud_id, tp AS "TP", fp AS "FP", fn AS "FN", {_RATIO} FROM c) SELECT dt.cloud_id, "TP" AS "DetectionTP", "FP" AS "DetectionFP", "FN" AS "DetectionFN", {", ".join(f'"{c}" AS "Detection{c}"' for c in ("Precision", "CommissionError", "Recall", "OmissionError", "F1Score"))}, sg.i AS "SegmentationMeanIoU", sg.p AS "SegmentationMeanPrecision", sg.r AS "SegmentationMeanRecall" FROM dt LEFT JOIN sg ON dt.cloud_id = sg.cloud_id')
 def e6_evaluation(spark: Spark, d: Dir) -> DataFrame:
-    return evaluate(pts(spark, d)).metrics
+    m = evaluate(pts(spark, d)).metrics
+    return m.select(*[r6(F.col(c), c) if t == "double" else F.col(c) for c, t in m.dtypes])
+
+
+@query(f'{PTS}, {_PAIRS}, {_SEGMENT} SELECT cloud_id, target_id AS "TargetID", prediction_id AS "PredictionID", round(iou, 6) AS "IoU", round(pre, 6) AS "Precision", round(rec, 6) AS "Recall" FROM ins')
+def e6_instances(spark: Spark, d: Dir) -> DataFrame:
+    return evaluate(pts(spark, d)).instances.select("cloud_id", "TargetID", "PredictionID", *[r6(F.col(c), c) for c in ("IoU", "Precision", "Recall")])
+
+
+def _e6_frames(name: str) -> None:
+    """The frames per partition of the whole evaluation."""
+
+    def run(spark: Spark, d: Dir) -> DataFrame:
+        e = getattr(evaluate(pts(spark, d), partitions=10), name)
+        return e.select(*[r6(F.col(c), c) if t == "double" else F.col(c) for c, t in e.dtypes])
+
+    query(name=f"e6_{name}")(run)
+
+
+for _name in ("partition_xy", "instances_xy", "partition_z", "instances_z"):
+    _e6_frames(_name)
+
+
+@query(f"{PTS}, {_PAIRS}, {_PANOPTIC}, {_DTM}, hh AS (SELECT q.point_id, q.z - g.ground AS height FROM q LEFT JOIN g ON q.point_id = g.point_id), s AS (SELECT v.cloud_id, v.prediction AS prediction_id, avg(CASE WHEN v.target >= 0 THEN 1.0 ELSE 0.0 END) AS share, greatest(coalesce(max(hh.height), 0), 0) AS top FROM v LEFT JOIN hh ON v.point_id = hh.point_id WHERE v.prediction >= 0 GROUP BY 1, 2), mt AS (SELECT cloud_id, prediction_id, min(target_id) AS t FROM f GROUP BY 1, 2) SELECT s.cloud_id, s.prediction_id, coalesce(mt.t, CASE WHEN share < 0.5 OR top < 5.0 THEN -2 ELSE -1 END) AS target_id FROM s LEFT JOIN mt ON s.cloud_id = mt.cloud_id AND s.prediction_id = mt.prediction_id")
+def e4_uncertain_predictions(spark: Spark, d: Dir) -> DataFrame:
+    p = R.height_above_terrain(pts(spark, d), load(spark, d, "dtm"), RES)
+    return M.matched_predictions(p, M.match_instances(p), min_precision=0.5, height="height", min_height=5.0)
 
 
 #: the test clouds have few points a tree: cells, trunks and spacings of that size

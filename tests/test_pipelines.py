@@ -1,11 +1,15 @@
 import struct
+import zlib
 
 import numpy as np
 import pytest
 
+from sylvaframe.functions.colors import BACKGROUND, palette
+from sylvaframe.operators.metrics import run_times
 from sylvaframe.plans.evaluation import evaluate
 from sylvaframe.plans.pipelines import PRESETS, CanopyParameters, CanopyPipeline, StemParameters, StemPipeline
 from sylvaframe.plans.tracker import Tracker
+from sylvaframe.sources import rasters
 from sylvaframe.sources.pointfiles import read_csv_points, register, write_clouds, write_las, write_table
 
 
@@ -83,6 +87,40 @@ def test_las_round_trip(spark, tmp_path):
     assert np.allclose(got[["x", "y", "z"]], p, atol=1e-6) and got.classification.tolist() == [i % 5 for i in range(1000)]
 
 
+def test_las_sink_keeps_attributes(spark, tmp_path):
+    rows = [(float(i), i * 0.5, -1.0 * i, 7.0, i % 5, i - 1, None if i % 3 else 0.25 * i, "text") for i in range(500)] + [(None, 1.0, 1.0, 1.0, 1, 1, 1.0, "t")]
+    df = spark.createDataFrame(rows, "x double, y double, z double, intensity double, classification bigint, instance_id bigint, score double, note string")
+    register(spark)
+    df.repartition(3).write.format("las").mode("append").save(str(tmp_path / "out"))
+    got = spark.read.format("las").load(str(tmp_path / "out")).orderBy("x").toPandas()
+    assert list(got.columns) == ["x", "y", "z", "intensity", "classification", "instance_id", "score"] and len(got) == 500
+    assert got.instance_id.tolist() == [i - 1 for i in range(500)] and got.classification.tolist() == [i % 5 for i in range(500)]
+    assert [s for s in got.score if s == s] == [0.25 * i for i in range(0, 500, 3)]
+
+
+def test_raster_files(spark, tmp_path):
+    dtm = spark.createDataFrame([("c", 0, 0, 1.5), ("c", 3, 1, 2.5), ("c", 3, 1, 2.0), ("c", 5, 0, 9.0), ("c", 1, 1, None), ("d", -1, -1, 4.0)], "cloud_id string, ix int, iy int, h double")
+    got = {(r.cloud_id, r.tx, r.ty): r.file for r in rasters.write_heights(dtm, str(tmp_path / "tif"), 0.5, x0=100.0, tile=4).collect()}
+    assert set(got) == {("c", 0, 0), ("c", 1, 0), ("d", -1, -1)}
+    raw = open(got["c", 0, 0], "rb").read()
+    tags = {t: (k, n, v) for t, k, n, v in (struct.unpack_from("<HHII", raw, 10 + 12 * i) for i in range(struct.unpack_from("<H", raw, 8)[0]))}
+    image = np.frombuffer(raw, "<f4", 16, tags[273][2]).reshape(4, 4)
+    assert tags[256][2] == tags[257][2] == 4 and image[3, 0] == 1.5 and image[2, 3] == 2.0 and (image == rasters.NO_DATA).sum() == 14
+    assert struct.unpack_from("<6d", raw, tags[33922][2]) == (0, 0, 0, 100.0, 2.0, 0)
+    labels = spark.createDataFrame([("c", 0, 0, 1), ("c", 1, 0, 0), ("c", 3, 3, 2)], "cloud_id string, ix int, iy int, label bigint")
+    (row,) = rasters.write_tree_maps(labels, str(tmp_path / "png"), labels.where("label = 2"), tile=4).collect()
+    raw = open(row.file, "rb").read()
+    size = struct.unpack_from(">I", raw, 33)[0]
+    pixels = np.frombuffer(zlib.decompress(raw[41 : 41 + size]), np.uint8).reshape(4, 17)[:, 1:].reshape(4, 4, 4)
+    assert tuple(pixels[3, 0]) == palette()[0] and tuple(pixels[0, 3]) == (0, 0, 0, 255) and tuple(pixels[3, 1]) == BACKGROUND
+
+
+def test_run_times(spark):
+    rows = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 2.0), ("a", "z", 4.0), ("a", "q", None)], "cloud_id string, description string, wall_s double")
+    got = [(r.step, r.place, r.wall_s) for r in run_times(rows, {"second": ["z"], "first": ["x", "y"]}, by=("cloud_id",)).orderBy("place").collect()]
+    assert got == [("second", 1, 4.0), ("first", 2, 3.0), ("Other", 3, 0.0)]
+
+
 def test_ply(spark, tmp_path):
     head = "ply\nformat {} 1.0\ncomment c\nelement vertex 2\nproperty double x\nproperty float y\nproperty uchar z\nelement face 0\nend_header\n"
     (tmp_path / "t").mkdir()

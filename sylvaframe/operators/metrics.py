@@ -231,6 +231,8 @@ def partition_metrics(points: DataFrame, matches: DataFrame, axis: str, n_bins:
     """
     if axis not in ("xy", "z"):
         raise ValueError("axis must be 'xy' or 'z'")
+    if n_bins < 1:
+        raise ValueError("there must be at least one partition")
     own = points.where("target >= 0").select(group, F.col("target").alias("t"), "x", "y", "z")
     low = own.groupBy(group, "t").agg(F.min("z").alias("z0"))
     own = own.join(low, [group, "t"])
@@ -289,6 +291,12 @@ def pooled_totals(matches: DataFrame, false_positives: DataFrame, dataset: Colum
     return n.select("dataset", group, "TP", "FP", "FN", f1.alias("F1Score"), "MeanIoU", (f1 * F.col("MeanIoU")).alias("PanopticQuality"))
 
 
+def ablation(rows: DataFrame, variants: list[str], *, variant: str = "variant", value: str = "PanopticQuality", by: tuple[str, ...] = ("cloud_id",)) -> DataFrame:
+    """A column per variant with its value for each ``by``; the first by size where a row is repeated, null where none."""
+    require(rows, variant, value, *by)
+    return rows.groupBy(*by).pivot(variant, variants).agg(F.min(value))
+
+
 def run_times(rows: DataFrame, groups: dict[str, list[str]], *, description: str = "description", value: str = "wall_s", by: tuple[str, ...] = ()) -> DataFrame:
     """by, step, place, value: run times summed by named groups of descriptions, in the order of ``groups``.
 

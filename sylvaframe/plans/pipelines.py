@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import logging
 from abc import ABC, abstractmethod
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvaframe.functions.columns import in_band, is_tree_point, truncated_index
+from sylvaframe.functions.columns import in_band, is_tree_point, remap_invalid, truncated_index
 from sylvaframe.operators import cluster, fit, groups, morph, nearest, raster
 from sylvaframe.operators.stems import points_in_layers, points_near_circles, points_near_ellipses
 from sylvaframe.plans.tracker import Tracker
@@ -20,6 +21,13 @@ class SegmentationPipeline(ABC):
 
     def __init__(self) -> None:
         self.tracker = Tracker()
+        self.logger = logging.getLogger(f"{__name__}.{type(self).__name__}")
+
+    def performance_metrics(self, spark: SparkSession) -> DataFrame:
+        """description, wall_s, cpu_s, rss_gb, rss_delta_gb of the steps so far, in their order."""
+        names = ("wall_s", "cpu_s", "rss_gb", "rss_delta_gb")
+        rows = [(k, *[float(v.get(n, 0.0)) for n in names]) for k, v in self.tracker.rows.items()]
+        return spark.createDataFrame(rows, "description string, " + ", ".join(f"{n} double" for n in names))
 
     @abstractmethod
     def transform(self, points: DataFrame) -> DataFrame: ...
@@ -71,6 +79,20 @@ class StemParameters:
     seed_height: float = 0.6
     seed_factor: float = 1.05
     seed_min_diameter: float = 0.05
+    min_diameter: float = 0.02
+    max_diameter: float = 1.0
+    invalid_id: int = -1
+
+    def __post_init__(self) -> None:
+        checks = {
+            "invalid_id must not be above 0": self.invalid_id <= 0,
+            "min_z must not be below csf_threshold": self.min_z >= self.csf_threshold,
+            "layer_start must not be below min_z": self.layer_start >= self.min_z,
+            "min_diameter must be below max_diameter": self.min_diameter < self.max_diameter,
+        }
+        for message, fine in checks.items():
+            if not fine:
+                raise ValueError(message)
 
     def with_values(self, **values) -> StemParameters:
         return replace(self, **values)
@@ -146,7 +168,7 @@ class StemPipeline(SegmentationPipeline):
     def shapes(self, rows: DataFrame) -> DataFrame:
         """Circle and ellipse of each layer as flat columns."""
         p = self.p
-        s = fit.fit_layers(rows, min_points=p.layer_points, ellipses=p.ellipses, bandwidth=p.bandwidth)
+        s = fit.fit_layers(rows, min_diameter=p.min_diameter, max_diameter=p.max_diameter, min_points=p.layer_points, ellipses=p.ellipses, bandwidth=p.bandwidth)
         return cut(s.select("cloud_id", "stem_id", "layer", "mid_height", "circle.*", F.col("ellipse.cx").alias("ex"), F.col("ellipse.cy").alias("ey"), *[F.col(f"ellipse.{c}").alias(c) for c in ("a", "b", "theta")]))
 
     def around(self, points: DataFrame, shapes: DataFrame, level: DataFrame, small: float, large: float) -> DataFrame:
@@ -162,8 +184,10 @@ class StemPipeline(SegmentationPipeline):
             high = self.heights(points)
         with self.tracker.measure("stems"):
             stems, own = self.stems(high)
-        if stems.isEmpty():
-            return points.select("cloud_id", "point_id", F.lit(-1).cast("bigint").alias("instance_id"))
+        n_stems = stems.count()
+        self.logger.info("%d stems", n_stems)
+        if not n_stems:
+            return points.select("cloud_id", "point_id", F.lit(p.invalid_id).cast("bigint").alias("instance_id"))
         with self.tracker.measure("crowns"):
             labelled = high.join(own, "point_id", "left").withColumn("is_tree", F.col("h") >= p.csf_threshold)
             thin = cut(groups.voxel_downsample(labelled.select("cloud_id", "point_id", "x", "y", "z", "h", "stem_id", "is_tree"), p.grow_voxel))
@@ -171,7 +195,7 @@ class StemPipeline(SegmentationPipeline):
             grown = cluster.grow_regions(thin, seeds, voxel=p.grow_voxel, max_radius=p.grow_max_radius, max_iterations=p.grow_max_iterations, least_total=p.grow_least_total, least_trees=p.grow_least_trees, terrain_distance=p.grow_terrain_distance)
             reduced = thin.join(grown, "point_id", "left").select("cloud_id", "vx", "vy", "vz", F.coalesce("instance_id", F.lit(-1)).alias("instance_id"))
             out = groups.upsample(points.select("cloud_id", "point_id", "x", "y", "z"), reduced, p.grow_voxel, "instance_id")
-            return groups.relabel(out).select("cloud_id", "point_id", "instance_id")
+            return groups.relabel(out).select("cloud_id", "point_id", remap_invalid("instance_id", p.invalid_id).cast("bigint").alias("instance_id"))
 
 
 VARIANTS = ("full", "watershed_crown_top_positions", "watershed_matched_tree_positions")

@@ -448,12 +448,39 @@ def e8_totals(spark: Spark, d: Dir) -> DataFrame:
     return out.select("dataset", "cloud_id", "TP", "FP", "FN", *[r6(F.col(c), c) for c in ("F1Score", "MeanIoU", "PanopticQuality")])
 
 
-@query(f'WITH {_MATCHES}, {_INST}, p AS (SELECT cloud_id, CASE WHEN iou = 0 THEN \'none\' WHEN iou < 0.5 THEN \'weak\' ELSE \'good\' END AS kind, iou FROM i) SELECT cloud_id, round(avg(iou) FILTER (kind = \'good\'), 6) AS good, round(avg(iou) FILTER (kind = \'none\'), 6) AS "none", round(avg(iou) FILTER (kind = \'weak\'), 6) AS weak FROM p GROUP BY cloud_id')
+_VARIANTS = {"panoptic_segmentation": _PANOPTIC, "for_ai_net": _FOR_AI, "for_ai_net_coverage": _COVERAGE}
+
+
+def _quality_sql(i: int, rule: str) -> str:
+    """F1 times the mean IoU of the matched targets, per cloud, for one rule."""
+    return f"""f{i} AS (SELECT * FROM ({_VARIANTS[rule].removeprefix('f AS (').removesuffix(')')}) AS q),
+y{i} AS (SELECT nt.cloud_id, count(f.tp) AS tp, count(*) - count(f.tp) AS fn, avg(f.iou) AS mi FROM nt LEFT JOIN f{i} AS f ON nt.cloud_id = f.cloud_id AND nt.target_id = f.target_id GROUP BY nt.cloud_id),
+z{i} AS (SELECT np.cloud_id, count(*) AS fp FROM np LEFT JOIN f{i} AS f ON np.cloud_id = f.cloud_id AND np.prediction_id = f.prediction_id WHERE f.tp IS NULL GROUP BY np.cloud_id)"""
+
+
+@query(f"{PTS}, {_PAIRS}, {', '.join(_quality_sql(i, r) for i, r in enumerate(_VARIANTS))}, c AS (SELECT DISTINCT cloud_id FROM nt) SELECT c.cloud_id, {', '.join(f'round(CAST(2 * y{i}.tp AS DOUBLE) / (2 * y{i}.tp + coalesce(z{i}.fp, 0) + y{i}.fn) * y{i}.mi, 6) AS {r}' for i, r in enumerate(_VARIANTS))} FROM c {' '.join(f'LEFT JOIN y{i} ON y{i}.cloud_id = c.cloud_id LEFT JOIN z{i} ON z{i}.cloud_id = c.cloud_id' for i in range(len(_VARIANTS)))}")
 def e9_pivot(spark: Spark, d: Dir) -> DataFrame:
-    rows = M.instance_metrics(stored_matches(spark, d))
-    kind = F.when(F.col("IoU") == 0, "none").when(F.col("IoU") < 0.5, "weak").otherwise("good")
-    out = rows.groupBy("cloud_id").pivot("kind", ["good", "none", "weak"]) if "kind" in rows.columns else rows.withColumn("kind", kind).groupBy("cloud_id").pivot("kind", ["good", "none", "weak"])
-    return out.agg(F.round(F.avg("IoU"), 6))
+    """Panoptic quality per cloud, one column per matching rule."""
+    p = cut(pts(spark, d))
+    parts = []
+    for rule in _VARIANTS:
+        m = cut(M.match_instances(p, rule))
+        total = M.pooled_totals(m, M.matched_predictions(p, m).where("target_id = -1"), F.lit("all")).where("cloud_id IS NOT NULL")
+        parts.append(total.select("cloud_id", F.lit(rule).alias("variant"), "PanopticQuality"))
+    return M.ablation(parts[0].unionByName(parts[1]).unionByName(parts[2]), list(_VARIANTS)).select("cloud_id", *[r6(F.col(v), v) for v in _VARIANTS])
+
+
+@query(f"{PTS}, n AS (SELECT cloud_id, point_id, z / 2 AS z FROM v) SELECT cloud_id, round(min(z), 6) AS low, round(max(z), 6) AS high, count(*) AS n FROM n GROUP BY cloud_id")
+def b17_scale_z(spark: Spark, d: Dir) -> DataFrame:
+    p = C.scale_z(pts(spark, d), 2.0)
+    return p.groupBy("cloud_id").agg(r6(F.min("z"), "low"), r6(F.max("z"), "high"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN (doc_id % 256) / 255.0 END AS r, CASE WHEN doc_id % 2 = 0 THEN 16 / 255.0 END AS g, CASE WHEN doc_id % 2 = 0 THEN 1.0 END AS b FROM documents")
+def b16_hex_to_rgba(spark: Spark, d: Dir) -> DataFrame:
+    """Colour codes made of ids; odd ones are no code."""
+    code = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("#"), F.lpad(F.hex(F.col("doc_id") % 256), 2, "0"), F.lit("10FF"))).otherwise("none")
+    return load(spark, d, "documents").select("doc_id", C.hex_to_rgba(code).alias("c")).select("doc_id", "c.r", "c.g", "c.b")
 
 
 @query(f"WITH {_MATCHES}, s AS (SELECT cloud_id, prediction_id, count(*) AS n FROM m WHERE prediction_id >= 0 GROUP BY 1, 2) SELECT cloud_id, prediction_id, n, row_number() OVER (PARTITION BY cloud_id ORDER BY n DESC, prediction_id) AS place FROM s")

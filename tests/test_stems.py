@@ -97,6 +97,12 @@ def test_growth_takes_the_trees_and_eight_ground_points(spark):
     assert sum(i < 10_000 for i in got) == 8
 
 
+@pytest.mark.parametrize("wrong", [{"invalid_id": 1}, {"min_z": 0.4}, {"layer_start": 0.9}, {"min_diameter": 1.0}])
+def test_parameters_are_checked(wrong):
+    with pytest.raises(ValueError):
+        StemParameters(**wrong)
+
+
 def two_trees():
     def trunk(x, y, r, layers):
         out = []
@@ -122,6 +128,7 @@ def test_positions_diameters_and_filters(spark, refine, intensities):
     got = sorted((r.x, r.y, r.diameter) for r in pipe.stems(high)[0].collect())
     want = [(2.05, 2.05, 0.3), (5.65, 5.65, 0.5)][intensities:]
     assert len(got) == len(want) and np.abs(np.array(got) - want).max() < 0.015
+    assert {"heights"} >= {r.description for r in pipe.performance_metrics(spark).collect()}
     if intensities:
         none = StemPipeline(StemParameters(eps_2d=0.05, eps_3d=0.25, min_points_3d=5, min_cluster_points=10_000))
         none.dtm = pipe.dtm

@@ -376,7 +376,7 @@ _DETECT = f"{PTS}, {_PAIRS}, {_PANOPTIC}, k AS (SELECT nt.cloud_id, CASE WHEN f.
 
 @query(f'{_DETECT} SELECT cloud_id, tp AS "TP", fp AS "FP", fn AS "FN", {_RATIO} FROM c')
 def e1_detection_metrics(spark: Spark, d: Dir) -> DataFrame:
-    p = pts(spark, d)
+    p = cut(pts(spark, d).select("cloud_id", "target", "prediction", "z"))
     m = M.match_instances(p)
     out = M.detection_metrics(m, M.matched_predictions(p, m))
     return out.select("cloud_id", "TP", "FP", "FN", *[r6(F.col(c), c) for c in ("Precision", "CommissionError", "Recall", "OmissionError", "F1Score")])
@@ -410,7 +410,7 @@ SELECT cloud_id, t AS "TargetID", p AS "PredictionID", bin AS "Partition", round
 
 def _partition_query(axis: str) -> None:
     def run(spark: Spark, d: Dir) -> DataFrame:
-        p = pts(spark, d)
+        p = cut(pts(spark, d).select("cloud_id", "target", "prediction", "x", "y", "z"))
         out = M.partition_metrics(p, M.match_instances(p), axis)
         return out.select("cloud_id", "TargetID", "PredictionID", "Partition", *[r6(F.col(c), c) for c in ("IoU", "Precision", "Recall")])
 

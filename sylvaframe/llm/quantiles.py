@@ -248,6 +248,8 @@ def _reduced(partial: DataFrame, key_cols: list[tuple[str, str]], k: int, fan_in
 
 
 def _types(df: DataFrame, keys: list[str]) -> list[tuple[str, str]]:
+    if clash := set(keys) & set(COLUMNS):
+        raise ValueError(f"a key can't have the name of a sketch's column: {', '.join(sorted(clash))}")
     return [(c, df.schema[c].dataType.simpleString()) for c in keys]
 
 

@@ -186,6 +186,18 @@ def test_stated_error_is_relative_to_the_tail():
     assert len(s.row()[2]) < 20_000 and len(s.up.at) + len(s.down.at) <= 4 * quantiles.MOST_STEPS
 
 
+def test_sketch_cases(spark):
+    rows = [("a", 1.0), ("a", 1.0), ("a", None), ("b", float("nan")), (None, 2.0), ("a", float("inf"))]
+    df = spark.createDataFrame(rows, "k string, z double").withColumn("items", F.lit("clash")).withColumn("part", F.lit(0))
+    made = quantiles.sketches(df, ["k"], "z")
+    got = {(r.k, r.q): (r.n, r.lower, r.upper) for r in quantiles.percentiles(made, ["k"], (0.0, 0.5, 1.0)).collect()}
+    assert got["a", 0.5] == (3, 1.0, 1.0) and got["a", 1.0] == (3, float("inf"), float("inf")) and got[None, 0.0] == (1, 2.0, 2.0) and len(got) == 6
+    assert quantiles.sketches(df.where("false"), ["k"], "z").count() == 0
+    assert quantiles.merge_sketches(made.where("false"), ["k"]).count() == 0
+    with pytest.raises(ValueError):
+        quantiles.sketches(df.withColumn("n", F.lit(1)), ["n"], "z")
+
+
 def test_low_tail(spark):
     df = spark.range(50_000).select(F.lit(1).alias("k"), (F.col("id") % 49_999).cast("double").alias("z"))
     got = {r.q: r for r in quantiles.percentiles(quantiles.sketches(df, ["k"], "z", k=16, protect="low"), ["k"], (0.0, 0.001, 0.5), k=16, protect="low").collect()}

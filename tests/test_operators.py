@@ -104,6 +104,19 @@ def test_nearest_equals_brute_force(spark, k, dims, radius):
         assert got[i][0] == 5 and abs(got[i][1] - sum(d)) < 1e-6 * max(1, sum(d))
 
 
+def test_near_operators_without_rows(spark):
+    p = spark.createDataFrame([("c", 1, 0.0, 0.0, 0.0), ("c", 2, None, 1.0, 1.0), (None, 3, 1.0, 1.0, 1.0), ("c", None, 1.0, 1.0, 1.0), ("c", 4, float("nan"), 0.0, 0.0)], "cloud_id string, point_id bigint, x double, y double, z double")
+    p = p.withColumns({"leaf": F.lit(0), "role": F.lit("clash"), "g": F.lit(1), "region_id": F.lit(9)})
+    boxes = spark.createDataFrame([("c", 1, -1.0, 1.0, -1.0, 1.0), ("c", 2, 1.0, -1.0, 0.0, 0.0), ("c", 3, None, 1.0, 0.0, 1.0)], "cloud_id string, region_id bigint, x_min double, x_max double, y_min double, y_max double")
+    assert [(r.point_id, r.region_id) for r in containing_region(p, boxes).collect()] == [(1, 1)]
+    none, empty = p.where("false"), boxes.where("false")
+    assert containing_region(none, boxes).count() == 0 and containing_region(p, empty).count() == 0
+    assert pairs_within(none, 1.0).count() == 0 and pairs_within(p, 1.0).count() == 0
+    asked = p.withColumnRenamed("point_id", "query_id")
+    assert [(r.query_id, r.ids) for r in nearest_lists(asked, none, 2).collect()] == [(1, [])]
+    assert nearest_lists(asked.where("false"), p, 2).count() == 0 and nearest(asked, p, 2).count() == 1
+
+
 def test_containing_polygon(spark):
     ring = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (2.0, 1.0), (0.0, 4.0)]
     regions = spark.createDataFrame([("c", 1, [{"x": x, "y": y} for x, y in ring]), ("c", 1, [{"x": x, "y": y} for x, y in ring]), ("c", 2, [{"x": 0.0, "y": 0.0}]), (None, 3, [{"x": x, "y": y} for x, y in ring])], "cloud_id string, region_id bigint, ring array<struct<x:double,y:double>>")

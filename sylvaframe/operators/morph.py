@@ -126,21 +126,50 @@ def correct_watershed(label: np.ndarray, filled: np.ndarray, markers: np.ndarray
     Cells at the edge to trees outside that ground keep what they had in ``label``, lines included.
     """
     label, filled = label.copy(), filled.copy()
-    for k in np.unique(filled[filled > 0]):
-        region = filled == k
-        ring = set(np.unique(filled[dilate(region, np.ones((3, 3), bool)) & ~region]).tolist())
+    boxes = {}
+    _find_boxes(filled, (0, 0), boxes)
+    square, cross = np.ones((3, 3), bool), disk(1)
+    for k in np.unique(filled[filled > 0]).tolist():
+        at = _around([boxes[k]], filled.shape)
+        f = filled[at]
+        region = f == k
+        if not region.any():
+            continue
+        ring = set(np.unique(f[dilate(region, square) & ~region]).tolist())
         if region.sum() != 1 and (0 in ring or len(ring) != 1):
             continue
         ring -= {0}
-        area = region | np.isin(filled, list(ring))
-        sub = np.where(area & np.isin(markers, [k, *ring]), markers, 0)
-        new_label, new_filled = watershed(np.zeros(label.shape), sub, area & mask)
-        filled = np.where(area, new_filled, filled)
-        outer = area & (dilate(np.where(area, 0, filled), disk(1)) > 0)
-        label = np.where(area & ~outer, new_label, label)
+        at = _around([boxes[j] for j in (k, *ring)], filled.shape)
+        f, m = filled[at], markers[at]
+        area = np.isin(f, [k, *ring])
+        sub = np.where(area & np.isin(m, [k, *ring]), m, 0)
+        new_label, new_filled = watershed(np.zeros(f.shape), sub, area & mask[at])
+        f = np.where(area, new_filled, f)
+        outer = area & (dilate(np.where(area, 0, f), cross) > 0)
+        filled[at] = f
+        label[at] = np.where(area & ~outer, new_label, label[at])
+        _find_boxes(np.where(area, f, 0), (at[0].start, at[1].start), boxes)
     return label, filled
 
 
+def _find_boxes(labels: np.ndarray, corner: tuple[int, int], boxes: dict[int, tuple[int, int, int, int]]) -> None:
+    """Sets the box (first and last row and column) of each label above 0."""
+    i, j = np.nonzero(labels)
+    if not len(i):
+        return
+    k = labels[i, j]
+    order = np.argsort(k, kind="stable")
+    first = np.flatnonzero(np.r_[True, np.diff(k[order]) != 0])
+    ends = [f.reduceat(v[order], first) + c for v, c in ((i, corner[0]), (j, corner[1])) for f in (np.minimum, np.maximum)]
+    boxes.update(zip(k[order][first].tolist(), zip(*[e.tolist() for e in ends], strict=True), strict=True))
+
+
+def _around(boxes: list[tuple[int, int, int, int]], shape: tuple[int, int]) -> tuple[slice, slice]:
+    """What all the boxes span, and one cell around."""
+    b = np.array(boxes)
+    return slice(max(0, b[:, 0].min() - 1), min(shape[0], b[:, 1].max() + 2)), slice(max(0, b[:, 2].min() - 1), min(shape[1], b[:, 3].max() + 2))
+
+
 def signed_distance(region: np.ndarray) -> np.ndarray:
     """Distance in cells to the other side of the region's edge; negative inside."""
     inside, outside = np.argwhere(region), np.argwhere(~region)

@@ -19,10 +19,11 @@ from sylvaframe.session import cut
 TILE = 256
 
 
-def windows(raster: DataFrame, tile: int, halo: int) -> DataFrame:
-    """Each cell once for every tile whose window holds it, with tx, ty."""
+def windows(raster: DataFrame, tile: int, halo: int, group: str = "cloud_id") -> DataFrame:
+    """Each cell once for every tile with cells of its own whose window holds it, with tx, ty."""
     span = lambda c: F.explode(F.sequence(F.floor((F.col(c) - halo) / tile), F.floor((F.col(c) + halo) / tile)))
-    return raster.withColumn("tx", span("ix")).withColumn("ty", span("iy"))
+    own = raster.select(group, *[F.floor(F.col(f"i{c}") / tile).alias(f"t{c}") for c in "xy"]).distinct()
+    return raster.withColumn("tx", span("ix")).withColumn("ty", span("iy")).join(own, [group, "tx", "ty"], "left_semi")
 
 
 def own_cells(pdf: pd.DataFrame, tile: int, ring: int = 0) -> np.ndarray:
@@ -42,7 +43,7 @@ def by_tiles(raster: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame],
             return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
         return kernel(pdf)
 
-    return windows(raster, tile, halo).groupBy(group, "tx", "ty").applyInPandas(run, schema)
+    return windows(raster, tile, halo, group).groupBy(group, "tx", "ty").applyInPandas(run, schema)
 
 
 def agreed(raster: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame], values: dict[str, str], *, halo: int, tolerance: float = 0.0, most: int | None = None, group: str = "cloud_id", tile: int = TILE) -> DataFrame:
@@ -66,7 +67,7 @@ def agreed(raster: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame], va
     raster = cut(raster)
     span = raster.agg(F.max(F.col("ix")) - F.min("ix"), F.max(F.col("iy")) - F.min("iy")).first()
     widest = max(span[0] or 0, span[1] or 0) + 1
-    whole = cut(windows(raster, tile, halo).groupBy(group, "tx", "ty").applyInPandas(run, schema))
+    whole = cut(windows(raster, tile, halo, group).groupBy(group, "tx", "ty").applyInPandas(run, schema))
     while most is None or halo < most:  # a tile done with the widest halo is right, so each round leaves fewer that are not
         own = whole.where("is_own").select(F.col(group).alias("g"), F.col("ix").alias("jx"), F.col("iy").alias("jy"), F.col("tx").alias("ox"), F.col("ty").alias("oy"), *[F.col(c).alias(f"own_{c}") for c in names])
         ring = whole.where(~F.col("is_own"))
@@ -78,6 +79,6 @@ def agreed(raster: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame], va
         if bad.isEmpty():
             break
         halo = min(2 * halo, widest, most or widest)
-        again = windows(raster, tile, halo).join(bad, [group, "tx", "ty"], "left_semi").groupBy(group, "tx", "ty").applyInPandas(run, schema)
+        again = windows(raster, tile, halo, group).join(bad, [group, "tx", "ty"], "left_semi").groupBy(group, "tx", "ty").applyInPandas(run, schema)
         whole = cut(whole.join(bad, [group, "tx", "ty"], "left_anti").unionByName(again))
     return whole.where("is_own").select(group, "ix", "iy", *names)

@@ -415,7 +415,21 @@ def cloth(surface: np.ndarray, rigidness: int = 2, iterations: int = 500, time_s
         fill = ~known & (n > 0)
         ground = np.where(fill, total / np.where(n > 0, n, 1), ground)
         known = known | fill
-    # only cells of the cloth are kept: neighbours along an axis as pairs of their numbers
+    if known.mean() < DENSE:
+        now = _fallen_cells(ground, known, rigidness, iterations, time_step)
+    else:
+        now = _fallen_grid(ground, known, rigidness, iterations, time_step)
+    out = np.full(surface.shape, np.nan)
+    out[known] = -now
+    return out
+
+
+#: share of a window's cells with cloth from which whole slices are faster than lists of cells
+DENSE = 0.15
+
+
+def _fallen_cells(ground: np.ndarray, known: np.ndarray, rigidness: int, iterations: int, time_step: float) -> np.ndarray:
+    """Heights of the known cells; only they are kept: neighbours along an axis as pairs of their numbers."""
     place = np.cumsum(known.ravel()).reshape(known.shape) - 1
     pairs = []
     for axis in (0, 1):
@@ -444,23 +458,65 @@ def cloth(surface: np.ndarray, rigidness: int = 2, iterations: int = 500, time_s
         free &= ~low
         if not free.any() or np.abs(now - last)[free].max() < 0.005:
             break
-    out = np.full(surface.shape, np.nan)
-    out[known] = -now
-    return out
+    return now
 
 
-def classify_terrain(points: DataFrame, resolution: float = 0.5, threshold: float = 0.5, rigidness: int = 2, iterations: int = 500, group: str = "cloud_id", halo: int = 32, tile: int = 256) -> DataFrame:
-    """points with ``terrain``: 0 within ``threshold`` of the cloth, else 1.
+def _fallen_grid(ground: np.ndarray, known: np.ndarray, rigidness: int, iterations: int, time_step: float) -> np.ndarray:
+    """As ``_fallen_cells``, number for number, on slices of the whole window."""
+    ends = []
+    for axis in (0, 1):
+        for first in (0, 1):
+            n = (known.shape[axis] - first) // 2 * 2
+            one, two = [slice(None)] * 2, [slice(None)] * 2
+            one[axis], two[axis] = slice(first, first + n, 2), slice(first + 1, first + n, 2)
+            if n:
+                one, two = tuple(one), tuple(two)
+                ends.append((one, two, known[one] & known[two], np.empty(known[one].shape), np.empty(known[one].shape)))
+    level = np.where(known, ground, -np.inf)
+    now = np.where(known, level.max() + 0.05, 0.0)
+    last = now
+    free = known.copy()
+    fall = -0.2 * time_step * time_step
+    weights: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(iterations):
+        if not weights:  # they change where cells come to rest
+            for one, two, both, _, _ in ends:
+                fa, fb = free[one], free[two]
+                share = np.where(fa & fb, 0.25, 0.5) * both
+                weights.append((share * fa, share * fb))
+        step = now - last
+        step *= 0.99
+        step += now
+        step += fall
+        step = np.where(free, step, now)
+        last, now = now, step
+        for _ in range(rigidness):
+            for (one, two, _, d, part), (wa, wb) in zip(ends, weights, strict=True):
+                np.subtract(now[two], now[one], out=d)
+                now[one] += np.multiply(wa, d, out=part)
+                now[two] -= np.multiply(wb, d, out=part)
+        low = now < level
+        if low.any():
+            now = np.where(low, level, now)
+            if (free & low).any():
+                free &= ~low
+                weights = []
+        if not free.any() or np.abs(now - last)[free].max() < 0.005:
+            break
+    return now[known]
+
+
+def cloth_heights(points: DataFrame, resolution: float = 0.5, threshold: float = 0.5, rigidness: int = 2, iterations: int = 500, group: str = "cloud_id", halo: int = 32, tile: int = 256) -> DataFrame:
+    """group, ix, iy, ground: the cloth's height in each raster cell that has points.
 
     Only the lowest height of each raster cell goes into the simulation, which runs tile by tile
     with a halo that widens, up to 128 cells, until the cloth's heights on both sides of each edge
-    agree to a fifth of the threshold. Points meet their cell's height in one join.
+    agree to a fifth of the threshold.
     """
     if rigidness not in (1, 2, 3):
         raise ValueError("rigidness must be 1, 2 or 3")
-    at = [F.floor(F.col(c) / resolution).alias(f"__i{c}") for c in "xy"]
-    rows = points.select("*", *at)
-    low = rows.groupBy(F.col(group).alias("__g"), F.col("__ix").alias("ix"), F.col("__iy").alias("iy")).agg(F.min("z").alias("h"))
+    cell = [F.floor(F.col(c) / resolution).alias(f"i{c}") for c in "xy"]
+    low = points.groupBy(F.col(group).alias("__g"), *cell).agg(F.min("z").alias("h"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         corner = _corner(pdf)
@@ -468,8 +524,15 @@ def classify_terrain(points: DataFrame, resolution: float = 0.5, threshold: floa
         ix, iy = pdf["ix"].to_numpy(int), pdf["iy"].to_numpy(int)
         return pd.DataFrame({"ix": ix, "iy": iy, "ground": surface[ix - corner[0], iy - corner[1]]})
 
-    ground = agreed(low, run, {"ground": "double"}, halo=halo, tolerance=0.2 * threshold, most=128, group="__g", tile=tile)
-    ground = ground.select("__g", F.col("ix").alias("__jx"), F.col("iy").alias("__jy"), F.col("ground").alias("__ground"))
+    ground = agreed(low, run, {"ground": "double"}, halo=halo, tolerance=0.2 * threshold, most=128, group="__g", tile=tile, packed=True)
+    return ground.withColumnRenamed("__g", group)
+
+
+def classify_terrain(points: DataFrame, resolution: float = 0.5, threshold: float = 0.5, rigidness: int = 2, iterations: int = 500, group: str = "cloud_id", halo: int = 32, tile: int = 256) -> DataFrame:
+    """points with ``terrain``: 0 within ``threshold`` of the cloth, else 1; points meet their cell's height in one join."""
+    ground = cloth_heights(points, resolution, threshold, rigidness, iterations, group, halo, tile)
+    rows = points.select("*", *[F.floor(F.col(c) / resolution).alias(f"__i{c}") for c in "xy"])
+    ground = ground.select(F.col(group).alias("__g"), F.col("ix").alias("__jx"), F.col("iy").alias("__jy"), F.col("ground").alias("__ground"))
     out = rows.join(ground, (F.col(group) == F.col("__g")) & (F.col("__ix") == F.col("__jx")) & (F.col("__iy") == F.col("__jy")))
     flag = F.when(F.abs(F.col("z") - F.col("__ground")) <= threshold, 0).otherwise(1)
     return out.withColumn("terrain", flag).drop("__g", "__ix", "__iy", "__jx", "__jy", "__ground")

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylvaframe.session import cut
+from sylvaframe.session import cut, packed_cut, sweep
 
 TILE = 256
 
@@ -46,13 +46,14 @@ def by_tiles(raster: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame],
     return windows(raster, tile, halo, group).groupBy(group, "tx", "ty").applyInPandas(run, schema)
 
 
-def agreed(raster: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame], values: dict[str, str], *, halo: int, tolerance: float = 0.0, most: int | None = None, group: str = "cloud_id", tile: int = TILE) -> DataFrame:
+def agreed(raster: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame], values: dict[str, str], *, halo: int, tolerance: float = 0.0, most: int | None = None, group: str = "cloud_id", tile: int = TILE, packed: bool = False) -> DataFrame:
     """group, ix, iy and ``values`` of all cells, from windows wide enough that neighbouring tiles agree.
 
     kernel: a window's rows to its cells (ix, iy, values). What a tile says of the ring of cells
     around it is compared with what their own tiles say. Tiles that disagree by more than
     ``tolerance`` are done again with twice the halo, in the end with the whole group in the window,
     or with ``most`` cells of halo where a kernel only approximates what no window can decide.
+    With ``packed`` the cells are kept packed: less disk, some more time in Python.
     """
     names = list(values)
     schema = f"{group} string, tx bigint, ty bigint, ix bigint, iy bigint, is_own boolean, " + ", ".join(f"{c} {t}" for c, t in values.items())
@@ -64,12 +65,20 @@ def agreed(raster: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame], va
         out = out[own_cells(out, tile, 1)]
         return out.assign(is_own=own_cells(out, tile), **{group: pdf[group].iloc[0]})[[c.split()[0] for c in schema.split(", ")]]
 
-    raster = cut(raster)
+    keep = packed_cut if packed else cut
+    raster = keep(raster)
     span = raster.agg(F.max(F.col("ix")) - F.min("ix"), F.max(F.col("iy")) - F.min("iy")).first()
     widest = max(span[0] or 0, span[1] or 0) + 1
-    whole = cut(windows(raster, tile, halo, group).groupBy(group, "tx", "ty").applyInPandas(run, schema))
+    if packed:
+        sweep(raster.sparkSession)
+    whole = keep(windows(raster, tile, halo, group).groupBy(group, "tx", "ty").applyInPandas(run, schema))
+    if packed:
+        sweep(raster.sparkSession)
     while most is None or halo < most:  # a tile done with the widest halo is right, so each round leaves fewer that are not
-        own = whole.where("is_own").select(F.col(group).alias("g"), F.col("ix").alias("jx"), F.col("iy").alias("jy"), F.col("tx").alias("ox"), F.col("ty").alias("oy"), *[F.col(c).alias(f"own_{c}") for c in names])
+        edge = F.lit(False)  # the ring around a tile lies on its neighbours' edges
+        for c in "xy":
+            edge = edge | F.pmod(F.col(f"i{c}"), F.lit(tile)).isin(0, tile - 1)
+        own = whole.where(F.col("is_own") & edge).select(F.col(group).alias("g"), F.col("ix").alias("jx"), F.col("iy").alias("jy"), F.col("tx").alias("ox"), F.col("ty").alias("oy"), *[F.col(c).alias(f"own_{c}") for c in names])
         ring = whole.where(~F.col("is_own"))
         differs = F.lit(False)
         for c in names:
@@ -80,5 +89,8 @@ def agreed(raster: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame], va
             break
         halo = min(2 * halo, widest, most or widest)
         again = windows(raster, tile, halo, group).join(bad, [group, "tx", "ty"], "left_semi").groupBy(group, "tx", "ty").applyInPandas(run, schema)
-        whole = cut(whole.join(bad, [group, "tx", "ty"], "left_anti").unionByName(again))
+        whole = keep(whole.join(bad, [group, "tx", "ty"], "left_anti").unionByName(again))
+        if packed:
+            del own, ring, met, again
+            sweep(raster.sparkSession)
     return whole.where("is_own").select(group, "ix", "iy", *names)

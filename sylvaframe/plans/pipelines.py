@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylvaframe.functions.columns import in_band, is_tree_point, remap_invalid, truncated_index
-from sylvaframe.operators import cluster, fit, groups, morph, nearest, raster
+from sylvaframe.operators import cluster, fit, groups, morph, nearest, raster, terrain
 from sylvaframe.operators.stems import points_in_layers, points_near_circles, points_near_ellipses
 from sylvaframe.plans.tracker import Tracker
-from sylvaframe.session import cut
+from sylvaframe.session import cut, packed_cut, sweep
 
 
 class SegmentationPipeline(ABC):
@@ -104,29 +104,40 @@ class StemPipeline(SegmentationPipeline):
     def __init__(self, parameters: StemParameters = StemParameters()) -> None:  # noqa: B008
         super().__init__()
         self.p = parameters
+        #: a terrain model of the caller's for the stems' centres; else that of ``heights``
         self.dtm: DataFrame | None = None
+        self.ground: DataFrame | None = None
 
     def heights(self, points: DataFrame) -> DataFrame:
-        """points with ``terrain`` (0 ground) and ``h`` above it; keeps the terrain model's nodes as ``dtm``.
+        """points with ``terrain`` (0 ground) and ``h`` above it; keeps the ground points of the terrain model.
 
-        The model has only the nodes around cells with points: a far-off point adds four.
+        The model has only the nodes around cells with points, made where the points are: a far-off point adds four.
         """
         p = self.p
-        classed = cut(morph.classify_terrain(points, p.csf_resolution, p.csf_threshold, 2, p.csf_iterations))
-        ground = groups.voxel_downsample(classed.where("terrain = 0").select("cloud_id", "point_id", "x", "y", "z"), p.terrain_voxel)
-        used = points.select("cloud_id", *[F.floor(F.col(c) / p.terrain_resolution).alias(f"i{c}") for c in "xy"]).distinct()
+        cloth = morph.cloth_heights(points, p.csf_resolution, p.csf_threshold, 2, p.csf_iterations)
+        sweep(points.sparkSession)
+        high, self.ground = terrain.terrain_heights(points, cloth, resolution=p.csf_resolution, threshold=p.csf_threshold, voxel=p.terrain_voxel, node=p.terrain_resolution, k=p.terrain_neighbours)
+        del cloth
+        sweep(points.sparkSession)
+        return high
+
+    def model_at(self, places: DataFrame) -> DataFrame:
+        """The terrain model's nodes (cloud_id, ix, iy, h) of the cells that hold places (cloud_id, x, y)."""
+        p = self.p
+        used = places.select("cloud_id", *[F.floor(F.col(c) / p.terrain_resolution).alias(f"i{c}") for c in "xy"]).distinct()
         line = lambda c: F.explode(F.array(F.col(f"i{c}"), F.col(f"i{c}") + 1))
         nodes = used.withColumn("ix", line("x")).withColumn("iy", line("y")).distinct()
         nodes = nodes.select("cloud_id", "ix", "iy", *[(F.col(f"i{c}") * p.terrain_resolution).alias(c) for c in "xy"], F.xxhash64("cloud_id", "ix", "iy").alias("query_id"))
-        level = nearest.interpolate_terrain(nodes, ground, p.terrain_neighbours, 1.0)
-        self.dtm = cut(nodes.join(level, "query_id").select("cloud_id", "ix", "iy", "h"))
-        return cut(raster.height_above_terrain(classed, self.dtm, p.terrain_resolution).withColumnRenamed("height", "h"))
+        level = nearest.interpolate_terrain(nodes, self.ground, p.terrain_neighbours, 1.0)
+        return cut(nodes.join(level, "query_id").select("cloud_id", "ix", "iy", "h"))
 
     def stems(self, points: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(stems: cloud_id, stem_id, x, y, diameter; their points: point_id, stem_id)."""
         p = self.p
         band = points.where(in_band("h", p.min_z, p.max_z))
-        thin = cut(groups.voxel_downsample(band.select("cloud_id", "point_id", "x", "y", "z", "h", *[c for c in ("intensity",) if c in band.columns]), p.voxel))
+        thin = packed_cut(groups.voxel_downsample(band.select("cloud_id", "point_id", "x", "y", "z", "h", *[c for c in ("intensity",) if c in band.columns]), p.voxel))
+
+        sweep(points.sparkSession)
 
         def clustered(df: DataFrame, eps: float, least: int, dims: tuple[str, ...], group: str) -> DataFrame:
             own = cluster.dbscan(df, eps, least, dims=dims, group=group)
@@ -146,11 +157,12 @@ class StemPipeline(SegmentationPipeline):
             ok = groups.principal_axes(solid).where(F.coalesce(F.col("inclination") <= p.max_inclination, F.lit(True))).select("instance_id")
             solid = solid.join(ok, "instance_id", "left_semi")
         solid = cut(solid.withColumnRenamed("instance_id", "stem_id"))
-        if self.dtm is None:
+        if self.dtm is None and (self.ground is None or solid.isEmpty()):
             level = solid.groupBy("stem_id").agg(F.avg(F.col("z") - F.col("h")).alias("terrain"))
         else:
-            middle = solid.groupBy("cloud_id", "stem_id").agg(F.avg("x").alias("x"), F.avg("y").alias("y")).withColumn("z", F.lit(0.0))
-            level = raster.height_above_terrain(middle, self.dtm, p.terrain_resolution).select("stem_id", (-F.col("height")).alias("terrain"))
+            middle = cut(solid.groupBy("cloud_id", "stem_id").agg(F.avg("x").alias("x"), F.avg("y").alias("y")).withColumn("z", F.lit(0.0)))
+            dtm = self.model_at(middle) if self.dtm is None else self.dtm
+            level = raster.height_above_terrain(middle, dtm, p.terrain_resolution).select("stem_id", (-F.col("height")).alias("terrain"))
         level = cut(level)
         rows = points_in_layers(solid, level, n_layers=p.n_layers, start=p.layer_start, height=p.layer_height, overlap=p.layer_overlap, least=p.layer_points)
         shapes = self.shapes(rows.join(solid.select("point_id", "x", "y"), "point_id"))
@@ -190,7 +202,7 @@ class StemPipeline(SegmentationPipeline):
             return points.select("cloud_id", "point_id", F.lit(p.invalid_id).cast("bigint").alias("instance_id"))
         with self.tracker.measure("crowns"):
             labelled = high.join(own, "point_id", "left").withColumn("is_tree", F.col("h") >= p.csf_threshold)
-            thin = cut(groups.voxel_downsample(labelled.select("cloud_id", "point_id", "x", "y", "z", "h", "stem_id", "is_tree"), p.grow_voxel))
+            thin = packed_cut(groups.voxel_downsample(labelled.select("cloud_id", "point_id", "x", "y", "z", "h", "stem_id", "is_tree"), p.grow_voxel))
             seeds = cluster.stem_seeds(thin, stems, band=p.seed_height, factor=p.seed_factor, least_diameter=p.seed_min_diameter)
             grown = cluster.grow_regions(thin, seeds, voxel=p.grow_voxel, max_radius=p.grow_max_radius, max_iterations=p.grow_max_iterations, least_total=p.grow_least_total, least_trees=p.grow_least_trees, terrain_distance=p.grow_terrain_distance)
             reduced = thin.join(grown, "point_id", "left").select("cloud_id", "vx", "vy", "vz", F.coalesce("instance_id", F.lit(-1)).alias("instance_id"))
